@@ -145,7 +145,7 @@ def oracle_sql() -> dict[str, str]:
         "p3_lists": f"SELECT run_id, qid, '[' || string_agg(docid, ', ' ORDER BY r) || ']' AS preds FROM ({_TOP}) WHERE r <= 5 GROUP BY run_id, qid",
         "p4_found": """
             WITH v AS (SELECT vec_id, CAST(vec AS DOUBLE[64]) AS u FROM paper_vectors
-                       WHERE vec IS NOT NULL AND list_sum(list_transform(vec, x -> x * x)) > 0),
+                       WHERE vec IS NOT NULL AND list_sum(list_transform(vec, lambda x: x * x)) > 0),
                  s AS (SELECT a.vec_id AS a, b.vec_id AS b, array_cosine_similarity(a.u, b.u) AS s FROM v a JOIN v b ON a.vec_id <> b.vec_id),
                  r AS (SELECT a, b, s, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM s WHERE s >= 0.9)
             SELECT DISTINCT least(a, b) AS vec_id_a, greatest(a, b) AS vec_id_b FROM r WHERE r <= 5""",
