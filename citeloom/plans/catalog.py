@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citeloom.plans import q_eval, q_text  # noqa: F401
+from citeloom.plans import q_eval, q_search, q_text, q_train  # noqa: F401
 from citeloom.plans.registry import QUERIES, SQL
 
 
@@ -16,3 +16,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """BM25 retrieval over the papers, evaluated against the gold papers."""
+    return QUERIES["bm25_evaluated"](spark, d)
