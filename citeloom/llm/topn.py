@@ -73,14 +73,15 @@ def _row_groups(paths: list[str], keys: list[str], score: str) -> list[tuple[flo
     return sorted(found, key=lambda x: -x[0])
 
 
-def winners_of_files(paths: list[str], keys: list[str], item: str, score: str, n: int) -> Iterator[pd.DataFrame]:
-    """Per-row-group winners of clustered files; ``attrs['skipped']`` of the last frame counts skipped row groups."""
+def winners_of_files(paths: list[str], keys: list[str], item: str, score: str, n: int, seen: dict[str, int] | None = None) -> Iterator[pd.DataFrame]:
+    """Per-row-group winners of clustered files; ``seen`` counts row groups ``read`` and ``skipped``."""
     floor: dict[tuple, float] = {}
-    skipped = 0
+    seen = {} if seen is None else seen
     for best, group, file, k in _row_groups(paths, keys, score):
         if group is not None and best < floor.get(group, float("-inf")):
-            skipped += 1
+            seen["skipped"] = seen.get("skipped", 0) + 1
             continue
+        seen["read"] = seen.get("read", 0) + 1
         rows = file.read_row_group(k, columns=[*keys, item, score]).to_pandas()
         if rows.duplicated([*keys, item]).any():
             rows = rows.drop_duplicates([*keys, item])
@@ -88,7 +89,6 @@ def winners_of_files(paths: list[str], keys: list[str], item: str, score: str, n
         rows = rows[rank < n]
         if group is not None and len(rows) == n:
             floor[group] = max(floor.get(group, float("-inf")), float(rows[score].iloc[-1]))
-        rows.attrs["skipped"] = skipped
         yield rows
 
 
