@@ -84,7 +84,7 @@ def clean_translation(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("qid", T.clean_translation("text").alias("result")).distinct()
 
 
-@query("""SELECT DISTINCT pubkey, nullif(lower(regexp_extract(q, 'venue:([^\\s]+)', 1)), '') AS venue, nullif(lower(trim(regexp_extract(q, 'author:(.+)$', 1))), '') AS author
+@query("""SELECT DISTINCT pubkey, nullif(lower(regexp_extract(q, 'venue:([^\\s]+)', 1)), '') AS venue, nullif(lower(trim(regexp_extract(q, 'author:(.+)$', 1), ' ')), '') AS author
     FROM (SELECT pubkey, coalesce(title, '') || ' venue:' || replace(coalesce(venue, ''), ' ', '_') || ' author:' || coalesce(authors, '') AS q FROM collection_data)""")
 def extract_filters(spark: SparkSession, d: str) -> DataFrame:
     none = F.lit("")
@@ -109,13 +109,12 @@ def dedupe_terms(spark: SparkSession, d: str) -> DataFrame:
     return _rows(spark, d).select("qid", F.array_join(F.array_sort(F.array_distinct(T.tokenize_sparse("text"))), " ").alias("terms")).distinct()
 
 
-@query("SELECT DISTINCT qid, docid, CASE WHEN regexp_matches(trim(docid), '^-?[0-9]{1,18}$') THEN try_cast(trim(docid) AS BIGINT) END AS number FROM run_entry")
+@query("SELECT DISTINCT qid, docid, CASE WHEN regexp_matches(trim(docid, ' '), '^-?[0-9]{1,18}$') THEN try_cast(trim(docid, ' ') AS BIGINT) END AS number FROM run_entry")
 def coerce_int(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "run_entry").select("qid", "docid").distinct().withColumn("number", T.whole_number("docid"))
 
 
-@query("""SELECT doc_id, CAST(CASE WHEN text IS NULL OR trim(regexp_replace(text, '\\s+', ' ', 'g')) = '' THEN 0
-        ELSE len(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')) END AS INTEGER) AS words, substr(text, 1, 512) AS cut FROM documents""")
+@query("""SELECT doc_id, CAST(coalesce(len(list_filter(string_split(regexp_replace(text, '\\s+', ' ', 'g'), ' '), lambda w: w <> '')), 0) AS INTEGER) AS words, substr(text, 1, 512) AS cut FROM documents""")
 def truncate_text(spark: SparkSession, d: str) -> DataFrame:
     clean = F.trim(F.regexp_replace("text", r"\s+", " "))
     words = F.when(F.col("text").isNull() | (clean == ""), 0).otherwise(F.size(F.split(clean, " ")))
@@ -146,8 +145,8 @@ def scan_corpus(spark: SparkSession, d: str) -> DataFrame:
     return R.papers_from_json(R.papers_to_json(table(spark, d, "collection_data")))
 
 
-@query("""SELECT qid, coalesce(nullif(trim(text), ''), nullif(trim(text_original), '')) AS query_text FROM (SELECT DISTINCT qid, text, text_original FROM final_de_tradottoen_test)
-    WHERE coalesce(nullif(trim(text), ''), nullif(trim(text_original), '')) IS NOT NULL""")
+@query("""SELECT qid, coalesce(nullif(trim(text, ' '), ''), nullif(trim(text_original, ' '), '')) AS query_text FROM (SELECT DISTINCT qid, text, text_original FROM final_de_tradottoen_test)
+    WHERE coalesce(nullif(trim(text, ' '), ''), nullif(trim(text_original, ' '), '')) IS NOT NULL""")
 def query_text_fallback(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "final_de_tradottoen_test").select("qid", "text", "text_original").distinct()
     return rows.select("qid", R.first_text("text", "text_original").alias("query_text")).filter("query_text IS NOT NULL")
@@ -209,8 +208,8 @@ def qrels_from_queries(spark: SparkSession, d: str) -> DataFrame:
     return base.topics(spark, d).filter("gold IS NOT NULL").select("qid", F.col("gold").alias("docid"), F.lit(1).alias("rel"))
 
 
-@query("""SELECT source, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (text IS NULL OR trim(text) = '') AS BIGINT) AS blank_text,
-    CAST(count(*) FILTER (pubkey IS NULL OR trim(pubkey) = '') AS BIGINT) AS blank_key FROM en_train GROUP BY source""")
+@query("""SELECT source, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (text IS NULL OR trim(text, ' ') = '') AS BIGINT) AS blank_text,
+    CAST(count(*) FILTER (pubkey IS NULL OR trim(pubkey, ' ') = '') AS BIGINT) AS blank_key FROM en_train GROUP BY source""")
 def blank_counts(spark: SparkSession, d: str) -> DataFrame:
     def blank(c: str):
         return F.sum((F.col(c).isNull() | (F.trim(c) == "")).cast("bigint"))
@@ -266,7 +265,7 @@ def json_object_extract(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("qid", R.extract_json_object("noisy").alias("found"))
 
 
-@query("""WITH t AS (SELECT qid, min(text) AS text FROM eval_queries WHERE qid IS NOT NULL GROUP BY qid) SELECT qid, text IS NOT NULL AND trim(text) <> '' AS valid FROM t""")
+@query("""WITH t AS (SELECT qid, min(text) AS text FROM eval_queries WHERE qid IS NOT NULL GROUP BY qid) SELECT qid, text IS NOT NULL AND trim(text, ' ') <> '' AS valid FROM t""")
 def validate_expansion_json(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "eval_queries").filter("qid IS NOT NULL").groupBy("qid").agg(F.min("text").alias("text"))
     payload = F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("keywords"), F.lit("x").alias("sparse")))

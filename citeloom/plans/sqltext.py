@@ -14,7 +14,7 @@ def sub(x: str, pattern: str, by: str) -> str:
 
 
 def ws(x: str) -> str:
-    return f"trim({sub(x, '[' + chr(92) + 's' + chr(92) + 'x{00A0}]+', ' ')})"
+    return f"trim({sub(x, '[' + chr(92) + 's' + chr(92) + 'x{00A0}]+', ' ')}, ' ')"
 
 
 def keep_handles(x: str) -> str:
@@ -58,7 +58,7 @@ def cut(tokens: str, pattern: str = "'s$") -> str:
 
 
 def tok_expansion(x: str) -> str:
-    y = sub(sub(f"lower(trim({x}))", T.MENTION, r"\1"), T.HASHTAG, r"\1\2")
+    y = sub(sub(f"lower(trim({x}, ' '))", T.MENTION, r"\1"), T.HASHTAG, r"\1\2")
     return kept(cut(every(fold(y), r"[a-z0-9_]+(?:'[a-z0-9_]+)?")), 3)
 
 
@@ -106,18 +106,18 @@ def doc_text(title: str = "title", abstract: str = "abstract", authors: str = "a
 CORPUS = f"""corpus AS (
     SELECT pubkey, title, abstract, venue, authors, doc_text FROM (
         SELECT *, row_number() OVER (PARTITION BY pubkey ORDER BY doc_text, coalesce(venue, ''), coalesce(authors, '')) AS first_row
-        FROM (SELECT *, {doc_text()} AS doc_text FROM collection_data) WHERE pubkey IS NOT NULL AND trim(pubkey) <> '' AND doc_text <> '')
+        FROM (SELECT *, {doc_text()} AS doc_text FROM collection_data) WHERE pubkey IS NOT NULL AND trim(pubkey, ' ') <> '' AND doc_text <> '')
     WHERE first_row = 1)"""
 
 #: The evaluation queries: one row a qid, with text.
 TOPICS = """topics AS (
     SELECT qid, min(text) AS text, min(pubkey) AS gold, min(split) AS split, min(source) AS source FROM eval_queries
-    WHERE qid IS NOT NULL AND text IS NOT NULL AND trim(text) <> '' GROUP BY qid)"""
+    WHERE qid IS NOT NULL AND text IS NOT NULL AND trim(text, ' ') <> '' GROUP BY qid)"""
 
 #: The training queries alike.
 TRAIN = """train AS (
     SELECT qid, min(text) AS text, min(pubkey) AS gold, min(source) AS source FROM en_train
-    WHERE qid IS NOT NULL AND text IS NOT NULL AND trim(text) <> '' GROUP BY qid)"""
+    WHERE qid IS NOT NULL AND text IS NOT NULL AND trim(text, ' ') <> '' GROUP BY qid)"""
 
 #: Runs ranked by score, a document once.
 RUNS = """runs AS (
