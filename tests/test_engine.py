@@ -161,3 +161,31 @@ def test_results_do_not_depend_on_partitions(spark):
         seen.add(repr(sorted(map(repr, catalog.queries()["bm25_topk"](spark, DATA).collect()))))
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert len(seen) == 1
+
+
+def test_plugins_and_stems(spark):
+    from citeloom.functions.stem import stem, stemmed
+    from citeloom.operators import plugins
+
+    assert [stem(w) for w in ("caresses", "ponies", "running", "h1n1", "is")] == ["caress", "poni", "run", "h1n1", "is"]
+    assert stem("connections") == stem("connection") and stem("retrieved") == stem("retrieves")
+    df = spark.createDataFrame([(1, "alpha beta"), (2, None)], "id long, text string")
+    rows = {r.id: list(r.v) for r in plugins.encode(df, "text", "v", plugins.hashing_encoder(8)).collect()}
+    assert sum(x * x for x in rows[1]) == pytest.approx(1) and rows[2] == [0.0] * 8
+    assert [r.t for r in df.select(stemmed(F.split("text", " ")).alias("t")).collect()] == [["alpha", "beta"], None]
+    made = plugins.generate(df, "text", "out", lambda: lambda ts: [None for _ in ts], F.lit("rule"), lambda c: c != "")
+    assert {r.out for r in made.collect()} == {"rule"}
+    assert plugins.check_scorer(lambda ps: [float(q in d) for q, d in ps], "a", "a b", "c")
+
+
+def test_stream_intake_drops_repeats(spark, tmp_path):
+    from citeloom.streaming import intake
+
+    rows = [("r", 1, "2026-01-01 00:00:00", "2026-01-01 00:05:00"), ("r", 2, "2026-01-01 00:30:00", "2026-01-20 00:00:00")]
+    df = spark.createDataFrame(rows, "run_id string, qid long, run_at string, loaded_at string").select("run_id", "qid", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("run_at", "loaded_at")])
+    df.union(df).write.parquet(str(tmp_path / "in"))
+    df.write.mode("append").parquet(str(tmp_path / "in"))
+    got = intake.take_in(spark, str(tmp_path / "in"), str(tmp_path / "sink"))
+    assert sorted(r.qid for r in got.collect()) == [1, 2]
+    df.withColumn("qid", F.col("qid") + 10).write.mode("append").parquet(str(tmp_path / "in"))
+    assert sorted(r.qid for r in intake.take_in(spark, str(tmp_path / "in"), str(tmp_path / "sink")).collect()) == [1, 2, 11, 12]
