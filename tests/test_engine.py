@@ -189,3 +189,20 @@ def test_stream_intake_drops_repeats(spark, tmp_path):
     assert sorted(r.qid for r in got.collect()) == [1, 2]
     df.withColumn("qid", F.col("qid") + 10).write.mode("append").parquet(str(tmp_path / "in"))
     assert sorted(r.qid for r in intake.take_in(spark, str(tmp_path / "in"), str(tmp_path / "sink")).collect()) == [1, 2, 11, 12]
+
+
+def test_settings_and_reports(spark, tmp_path):
+    from citeloom.operators.config import RetrievalConfig, canonical_metric, usable_run
+    from citeloom.sources.reports import write_report
+
+    assert RetrievalConfig(top_k=10).pool(25) == 25 and RetrievalConfig(top_k=10).pool(100) == 30
+    assert RetrievalConfig(mode="auto").resolved_mode(True) == "hybrid" and RetrievalConfig(mode="auto").resolved_mode(False) == "dense"
+    for bad in ({"dense_weight": 0, "sparse_weight": 0, "late_weight": 0}, {"top_k": 0}, {"mode": "x"}, {"late_weight": -1}):
+        with pytest.raises(ValueError):
+            RetrievalConfig(**bad)
+    assert [canonical_metric(m) for m in ("hit@10", "MAP", "ndcg@5", "f1", "mrr")] == ["recall_10", "ap", "ndcg_5", "f1_1", "mrr_5"]
+    assert usable_run("a/b.json") and not usable_run("a/archive/b.json") and usable_run("a/archive/b.json", True)
+    rows = spark.createDataFrame([(1, 0.5)], "qid long, mrr_5 double")
+    first = write_report(str(tmp_path / "e.json"), {"system": "s"}, {"mrr_5": 0.5}, rows)
+    second = write_report(str(tmp_path / "e.json"), {}, {})
+    assert first.endswith("e.json") and second.endswith("e_1.json") and '"qid": 1' in open(first).read()
