@@ -4,9 +4,9 @@ Both sides are reduced to word sequences and collapsed to distinct sequences ("c
 class. Two records overlap when their word edit distance is at most ``max(n, m) // 8``.
 
 Candidates: of each evaluation class the word n-gram hashes that are rarest in training are looked up in training. With e
-allowed edits at most L*e of its D distinct L-grams can be lost, so the L*e + 1 rarest must hold one that the other side shares
-(L = 5 from 16 words, else 4; under 7 words no edit is allowed and only equal sequences match). Hot template n-grams thus stay out of the join
-without any cap. Containment of the evaluation record per training record (share of its distinct words, on the JVM) prunes, and
+allowed edits at most L*e of its D distinct L-grams can be lost, so of the L*e + h rarest at least h are shared by a true partner, for
+any h up to D - L*e (L = 5 from 16 words, else 4; h is ``HITS`` or what D allows, at least 1; under 7 words no edit is allowed and only
+equal sequences match). Hot template n-grams thus stay out of the join and chance hits out of the candidates without any cap. Containment of the evaluation record per training record (share of its distinct words, on the JVM) prunes, and
 a banded word edit distance decides.
 
 Scale: n-gram counts are combined before they shuffle; joins are hash-partitioned equi-joins on 64-bit hashes which Catalyst
@@ -31,6 +31,8 @@ WORDS_PER_EDIT = 8
 LEAST_EDITABLE = WORDS_PER_EDIT - 1
 #: Texts of at least so many words use 5-grams, shorter ones 4-grams.
 LONG_TEXT = 16
+#: Rare n-grams that a candidate must share, where the text is long enough for it.
+HITS = 3
 
 
 def word_edit_distance(a: list[str], b: list[str], limit: int) -> int:
@@ -87,14 +89,18 @@ def near_classes(train: DataFrame, held: DataFrame) -> DataFrame:
     length = F.when(F.col("n") < LONG_TEXT, 4).otherwise(5)
     edits = F.floor(F.col("n") / (WORDS_PER_EDIT - 1)).cast("int")
     e_grams = F.when(F.col("n") < LONG_TEXT, _grams(F.col("ws"), F.col("n"), 4)).otherwise(_grams(F.col("ws"), F.col("n"), 5))
-    wanted = e.select(F.col("c").alias("ec"), F.col("n").alias("en"), (length * edits + 1).alias("take"), F.explode(e_grams).alias("g"))
+    wanted = e.select(F.col("c").alias("ec"), F.col("n").alias("en"), (length * edits).alias("lost"), e_grams.alias("gs"))
+    need = F.least(F.lit(HITS), F.greatest(F.lit(1), F.size("gs") - F.col("lost")))
+    wanted = wanted.withColumn("need", need).select("ec", "en", "lost", "need", F.explode("gs").alias("g"))
     counts = postings.groupBy("g").agg(F.count(F.lit(1)).alias("df")).join(wanted.select("g").distinct(), "g")
-    ranked = wanted.join(counts, "g", "left").groupBy("ec", "en", "take").agg(
-        F.slice(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "g"))), 1, F.col("take")).alias("rare")
+    ranked = wanted.join(counts, "g", "left").groupBy("ec", "en", "lost", "need").agg(
+        F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "g"))).alias("grams")
     )
-    rare = ranked.select("ec", "en", F.explode("rare").alias("r")).filter("r.df > 0").select("ec", "en", F.col("r.g").alias("g"))
+    rare = ranked.select("ec", "en", "need", F.explode(F.slice("grams", 1, F.col("lost") + F.col("need"))).alias("r")).filter("r.df > 0")
+    rare = rare.select("ec", "en", "need", F.col("r.g").alias("g"))
     fits = F.abs(F.col("tn") - F.col("en")) <= F.floor(F.greatest("tn", "en") / WORDS_PER_EDIT)
-    pairs = postings.join(rare, "g").filter(fits & (F.col("tc") != F.col("ec"))).select("tc", "ec").distinct()
+    hits = postings.join(rare, "g").filter(fits & (F.col("tc") != F.col("ec")))
+    pairs = hits.groupBy("tc", "ec").agg(F.count(F.lit(1)).alias("hits"), F.max("need").alias("need")).filter("hits >= need").select("tc", "ec")
     both = pairs.join(t.select(F.col("c").alias("tc"), F.col("w").alias("tw"), F.col("n").alias("tn")), "tc").join(
         e.select(F.col("c").alias("ec"), F.col("w").alias("ew"), F.col("n").alias("en")), "ec"
     )
