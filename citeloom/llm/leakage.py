@@ -18,12 +18,14 @@ exactly; repeated rows give a pair once; a null id is dropped; an empty table on
 from __future__ import annotations
 
 import math
+import pickle
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -158,10 +160,11 @@ class ItemIndex:
 
 
 def _leaks_of(corpus: DataFrame, index: ItemIndex) -> DataFrame:
-    shared = corpus.sparkSession.sparkContext.broadcast(index)
+    # Pickled with its class, so that executors need no copy of the package.
+    shared = corpus.sparkSession.sparkContext.broadcast(cloudpickle.dumps(index))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = shared.value
+        own = pickle.loads(shared.value)
         for batch in batches:
             out = []
             for doc, text in zip(batch["id"], batch["t"]):

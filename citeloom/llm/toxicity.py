@@ -19,6 +19,7 @@ sentences train; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -26,6 +27,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import regex
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -375,11 +377,12 @@ def fit(documents: DataFrame, labels: DataFrame, terms: DataFrame | None = None,
 
 def score(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``documents`` with column ``toxicity`` (replaced if it exists)."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    # Pickled with its class, so that executors need no copy of the package.
+    shared = documents.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))
 
     @F.pandas_udf("double")
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        run = shared.value.scorer()
+        run = pickle.loads(shared.value).scorer()
         for texts in batches:
             rows = [t if isinstance(t, str) else None for t in texts]
             yield pd.Series(np.concatenate([run(rows[k : k + 500]) for k in range(0, len(rows), 500)] or [np.empty(0)]))
