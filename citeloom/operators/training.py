@@ -39,12 +39,8 @@ def random_negatives(queries: DataFrame, corpus: DataFrame, n: int, buckets: int
     return pairs.select("qid", "docid").distinct().withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= n)
 
 
-def tiered_negatives(tiers: list[DataFrame], n: int) -> DataFrame:
-    """``qid, docid, pos`` from tiers ``qid, docid, place`` in priority order; a document counts in its first tier."""
-    rows = None
-    for i, t in enumerate(tiers):
-        part = t.select("qid", "docid", F.lit(i).alias("tier"), F.col("place").cast("bigint").alias("place"))
-        rows = part if rows is None else rows.unionByName(part)
+def tiered_negatives(rows: DataFrame, n: int) -> DataFrame:
+    """``qid, docid, tier, pos`` of ``qid, docid, tier, place``: lower tiers first; a document counts in its first tier."""
     best = rows.groupBy("qid", "docid").agg(F.min(F.struct("tier", "place")).alias("at"))
     order = Window.partitionBy("qid").orderBy("at.tier", "at.place", "docid")
     return best.withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= n).select("qid", "docid", F.col("at.tier").alias("tier"), "pos")

@@ -12,7 +12,7 @@ from citeloom.operators import retrieval as R
 from citeloom.plans import base
 from citeloom.plans import sqltext as S
 from citeloom.plans.registry import query
-from citeloom.session import table
+from citeloom.session import materialise, table
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
@@ -201,7 +201,7 @@ def _sparse_weights(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _signals(spark: SparkSession, d: str) -> DataFrame:
-    pool = _dense(spark, d).select("qid", "docid", F.col("score").alias("dense"))
+    pool = materialise(_dense(spark, d).select("qid", "docid", F.col("score").alias("dense")), "dense")
     w = _sparse_weights(spark, d)
     left = pool.select("qid", "docid").join(w.select(F.col("id").alias("qid"), "term", F.col("w").alias("a")), "qid")
     sparse = left.join(w.select(F.col("id").alias("docid"), "term", F.col("w").alias("b")), ["docid", "term"]).groupBy("qid", "docid").agg(F.round(F.sum(F.col("a") * F.col("b")), 6).alias("sparse"))
@@ -389,7 +389,7 @@ def prf_two_pass(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {PRF}, u AS (SELECT qid, docid, min(p * 1000 + rank) AS seen_at FROM (SELECT qid, docid, 0 AS p, rank FROM bm UNION ALL SELECT qid, docid, 1, rank FROM bm2) GROUP BY qid, docid)
     SELECT * FROM (SELECT qid, docid, CAST(row_number() OVER (PARTITION BY qid ORDER BY seen_at) AS INTEGER) AS rank FROM u) WHERE rank <= 120""")
 def prf_hybrid_merge(spark: SparkSession, d: str) -> DataFrame:
-    first = bm25_run(spark, d)
+    first = materialise(bm25_run(spark, d), "first")
     return R.ordered_union(first, _second_pass(spark, d, first), 120)
 
 

@@ -72,7 +72,8 @@ def hard_negatives(spark: SparkSession, d: str) -> DataFrame:
     rows = base.runs(spark, d).filter(F.col("run_id").isin(*ORDER)).filter("rank <= 100").join(base.gold(spark, d), "qid")
     rows = rows.filter(~F.col("docid").eqNullSafe(F.col("gold")))
     first = rows.withColumn("n", F.row_number().over(Window.partitionBy("run_id", "qid").orderBy("rank"))).filter("n <= 8")
-    return N.tiered_negatives([first.filter(F.col("run_id") == r).select("qid", "docid", F.col("rank").alias("place")) for r in ORDER], 15)
+    tier = F.array_position(F.array(*map(F.lit, ORDER)), F.col("run_id")) - 1
+    return N.tiered_negatives(first.select("qid", "docid", tier.cast("int").alias("tier"), F.col("rank").alias("place")), 15)
 
 
 @query(f"""WITH {S.RUNS}, {S.GOLD}, {S.CORPUS}, f AS (SELECT qid, docid, count(*) AS support, round(sum(1 / (60 + rank)), 9) AS rrf, min(rank) AS best, round(avg(rank), 6) AS mean_rank FROM runs GROUP BY qid, docid),
