@@ -6,8 +6,8 @@ the profile (at most ``PROFILE``). The nearest language wins; confidence is its
 Sentences are judged one by one; those too short or too close to call take the language of the surrounding text. Runs of
 one language form segments.
 
-Scale: profiles are counted on the executors over a bounded, documented sample of labelled rows (``SAMPLE`` a language, smallest
-hash first) and are a few thousand short strings, broadcast. Judging is a narrow map.
+Scale: profiles are counted on the executors over a bounded, documented sample of labelled texts (``SAMPLE`` different ones a language,
+smallest hash first, taken in one pass) and are a few thousand short strings, broadcast. Judging is a narrow map.
 
 Defined results: handles, links, hashtags, emoji, quoted and bracketed asides don't speak for a language; null, empty and wordless
 texts have no language (null, confidence 0, no segment); very long texts are judged whole, sentence by sentence; repeated rows
@@ -25,6 +25,7 @@ import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from citeloom.llm.text import HANDLE, URL, fold
 
@@ -90,10 +91,15 @@ def word_grams(word: str) -> list[str]:
 def profiles(df: DataFrame, text: str = "text", label: str = "lang", sample: int = SAMPLE, size: int = PROFILE) -> dict[str, list[str]]:
     """Profiles of the languages that ``label`` names, most frequent n-gram first."""
     rows = df.select(F.col(text).alias("t"), known_label(label).alias("l")).filter("t IS NOT NULL AND l IS NOT NULL")
-    parts = [rows.filter(F.col("l") == code).orderBy(F.xxhash64("t"), "t").limit(sample) for code in LANGUAGES]
-    chosen = parts[0]
-    for p in parts[1:]:
-        chosen = chosen.unionByName(p)
+    # Smallest hashes first: a bound of the hash, from the label counts, leaves some four times the sample to sort.
+    sizes = {r.l: r["count"] for r in rows.groupBy("l").count().collect()}
+    place = F.shiftrightunsigned(F.xxhash64("t"), 1)
+    bound = F.lit(0).cast("bigint")
+    for code, n in sizes.items():
+        bound = F.when(F.col("l") == code, F.lit(min(2**63 - 1, (2**63 - 1) // n * 4 * sample))).otherwise(bound)
+    few = rows.withColumn("p", place).filter(F.col("p") <= bound).dropDuplicates(["l", "t"])
+    order = Window.partitionBy("l").orderBy("p", "t")
+    chosen = few.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= sample).select("l", "t").repartition("t")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[str, Counter] = {}
