@@ -11,8 +11,8 @@ def global_position(df: DataFrame, order: list[str], name: str = "position") ->
     """``df`` with its 0-based position in the total order of the columns ``order`` (which must be unique together).
 
     Rows are spread over buckets that are ranges of the first column, split at approximate quantiles; positions count inside buckets and
-    are shifted by the sizes of the buckets before. Only bucket sizes are gathered in one place. A non-numeric first column is cut by
-    its leading bytes' hash-free order through its own quantile sample.
+    are shifted by the sizes of the buckets before. Only bucket sizes are gathered in one place. The borders of a first column that isn't numeric
+    come from a hash-ordered sample of 4,096 values.
     """
     parts = 64
     first = order[0]

@@ -24,12 +24,22 @@ def split_queries(queries: DataFrame, ratios: tuple[float, float], seed: int = 4
     return queries.select(key).distinct().withColumn("part", F.when(place < dev, "dev").when(place < dev + test, "test").otherwise("train"))
 
 
-def random_negatives(queries: DataFrame, corpus: DataFrame, n: int, buckets: int, seed: int = 42) -> DataFrame:
+#: Rows that a hash bucket holds on average when candidates are drawn.
+BUCKET_ROWS = 30
+
+
+def bucket_count(rows: DataFrame) -> int:
+    """Buckets for drawing from ``rows``."""
+    return max(1, rows.count() // BUCKET_ROWS)
+
+
+def random_negatives(queries: DataFrame, corpus: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """``qid, docid, pos``: n pseudo-random papers other than the gold for each query.
 
-    Papers fall into hash buckets of a few; a query draws from the bucket its own hash names and the next ones until n are found, so each
-    query meets a bounded number of papers instead of all.
+    Papers fall into hash buckets of about ``BUCKET_ROWS``; a query draws from the bucket its own hash names and the next two, so each query
+    meets some 90 papers at any corpus size (all of them in a small corpus).
     """
+    buckets = bucket_count(corpus)
     bucket = F.pmod(F.conv(F.substring(seeded(seed, "docid"), 1, 8), 16, 10).cast("bigint"), F.lit(buckets))
     papers = corpus.select("docid").withColumn("bucket", bucket)
     draw = F.pmod(F.conv(F.substring(seeded(seed, "qid"), 1, 8), 16, 10).cast("bigint"), F.lit(buckets))

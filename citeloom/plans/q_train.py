@@ -40,13 +40,13 @@ def split_groups(spark: SparkSession, d: str) -> DataFrame:
     return N.split_queries(rows, (0.15, 0.0), key="pubkey")
 
 
-@query(f"""WITH {S.TRAIN}, {S.CORPUS}, p AS (SELECT pubkey AS docid, {_hex(_md5(42, 'pubkey'), 8)} % 40 AS bucket FROM corpus),
-    q AS (SELECT qid, gold, ({_hex(_md5(42, 'qid'), 8)} % 40 + i) % 40 AS bucket FROM train, range(3) AS r(i)),
+@query(f"""WITH {S.TRAIN}, {S.CORPUS}, k AS (SELECT greatest(1, count(*) // 30) AS k FROM corpus), p AS (SELECT pubkey AS docid, {_hex(_md5(42, 'pubkey'), 8)} % k AS bucket FROM corpus, k),
+    q AS (SELECT qid, gold, ({_hex(_md5(42, 'qid'), 8)} % k + i) % k AS bucket FROM train, range(3) AS r(i), k),
     j AS (SELECT DISTINCT qid, docid FROM q JOIN p USING (bucket) WHERE docid IS DISTINCT FROM gold)
     SELECT * FROM (SELECT qid, docid, CAST(row_number() OVER (PARTITION BY qid ORDER BY {_md5(42, 'qid', 'docid')}, docid) AS INTEGER) AS pos FROM j) WHERE pos <= 15""")
 def random_negatives(spark: SparkSession, d: str) -> DataFrame:
     docs = base.corpus(spark, d).select(F.col("pubkey").alias("docid"))
-    return N.random_negatives(base.train(spark, d), docs, 15, 40)
+    return N.random_negatives(base.train(spark, d), docs, 15)
 
 
 @query(f"""WITH {S.TRAIN}, v AS (SELECT qid, 'original' AS variant, text FROM train UNION ALL SELECT qid, 'clean', {S.drop_handles('text')} FROM train UNION ALL SELECT qid, 'ws', {S.ws('text')} FROM train)
@@ -144,9 +144,9 @@ def topic_dedup(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).withColumn("k", F.row_number().over(order)).filter("k = 1").drop("k")
 
 
-@query(f"""WITH {GROUPS}, h AS (SELECT qid, docid FROM groups WHERE kind = 'hard'), hn AS (SELECT qid, count(*) AS n FROM h GROUP BY qid), short AS (SELECT g.qid, g.gold, coalesce(hn.n, 0) AS n,
-        {_hex(_md5(7, 'g.qid'), 8)} % 50 AS bucket FROM gold g LEFT JOIN hn USING (qid) WHERE coalesce(hn.n, 0) < 6),
-    src AS (SELECT DISTINCT gold AS docid, {_hex(_md5(7, 'gold'), 8)} % 50 AS bucket FROM gold WHERE gold IS NOT NULL),
+@query(f"""WITH {GROUPS}, bk AS (SELECT greatest(1, count(DISTINCT gold) // 30) AS bk FROM gold), h AS (SELECT qid, docid FROM groups WHERE kind = 'hard'), hn AS (SELECT qid, count(*) AS n FROM h GROUP BY qid), short AS (SELECT g.qid, g.gold, coalesce(hn.n, 0) AS n,
+        {_hex(_md5(7, 'g.qid'), 8)} % bk AS bucket FROM gold g LEFT JOIN hn USING (qid), bk WHERE coalesce(hn.n, 0) < 6),
+    src AS (SELECT DISTINCT gold AS docid, {_hex(_md5(7, 'gold'), 8)} % bk AS bucket FROM gold, bk WHERE gold IS NOT NULL),
     c AS (SELECT s.qid, src.docid, s.n, row_number() OVER (PARTITION BY s.qid ORDER BY {_md5(7, 's.qid', 'src.docid')}) AS k FROM short s JOIN src USING (bucket)
           WHERE src.docid IS DISTINCT FROM s.gold AND (s.qid, src.docid) NOT IN (SELECT (qid, docid) FROM h))
     SELECT qid, docid, CAST(n + k AS BIGINT) AS pos FROM c WHERE n + k <= 6""")
@@ -155,12 +155,14 @@ def pad_negatives(spark: SparkSession, d: str) -> DataFrame:
     hard = N.hard_and_soft(_pool(spark, d), 5, 4, 10, 6).filter("kind = 'hard'").select("qid", "docid")
     counts = hard.groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
 
+    source = base.gold(spark, d).filter("gold IS NOT NULL").select(F.col("gold").alias("docid")).distinct()
+    buckets = N.bucket_count(source)
+
     def bucket(c: str):
-        return F.pmod(F.conv(F.substring(N.seeded(7, c), 1, 8), 16, 10).cast("bigint"), F.lit(50))
+        return F.pmod(F.conv(F.substring(N.seeded(7, c), 1, 8), 16, 10).cast("bigint"), F.lit(buckets))
 
     short = base.gold(spark, d).join(counts, "qid", "left").withColumn("n", F.coalesce("n", F.lit(0))).filter("n < 6").withColumn("bucket", bucket("qid"))
-    source = base.gold(spark, d).filter("gold IS NOT NULL").select(F.col("gold").alias("docid")).distinct().withColumn("bucket", bucket("docid"))
-    pairs = short.join(source, "bucket").filter(~F.col("docid").eqNullSafe(F.col("gold"))).join(hard, ["qid", "docid"], "left_anti")
+    pairs = short.join(source.withColumn("bucket", bucket("docid")), "bucket").filter(~F.col("docid").eqNullSafe(F.col("gold"))).join(hard, ["qid", "docid"], "left_anti")
     k = F.row_number().over(Window.partitionBy("qid").orderBy(N.seeded(7, "qid", "docid")))
     return pairs.withColumn("pos", F.col("n") + k).filter("pos <= 6").select("qid", "docid", "pos")
 
