@@ -34,7 +34,10 @@ def postings(docs: DataFrame, tokens: dict[str, Column]) -> DataFrame:
 
 
 def weighted_postings(index: DataFrame, boosts: dict[str, float] | None = None) -> DataFrame:
-    """``term, docid, w``: BM25 weights, summed over fields with their boosts (exact document length)."""
+    """``term, docid, w``: BM25 weights, summed over fields with their boosts (exact document length).
+
+    The result is partitioned by document, so that scores of a document are summed where its postings are, without another shuffle.
+    """
     lengths = index.select("field", "docid", "dl").distinct().groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     df = index.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
     rows = index.join(df, ["field", "term"]).join(F.broadcast(lengths), "field")
@@ -43,7 +46,7 @@ def weighted_postings(index: DataFrame, boosts: dict[str, float] | None = None)
     boost = F.lit(1.0)
     for name, value in (boosts or {}).items():
         boost = F.when(F.col("field") == name, F.lit(float(value))).otherwise(boost)
-    return rows.select("term", "docid", (boost * idf * tf).alias("w")).groupBy("term", "docid").agg(F.sum("w").alias("w"))
+    return rows.select("term", "docid", (boost * idf * tf).alias("w")).repartition("docid").groupBy("term", "docid").agg(F.sum("w").alias("w"))
 
 
 def query_terms(queries: DataFrame, tokens: Column, boost: float = 1.0) -> DataFrame:

@@ -69,7 +69,7 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     round(avg(CASE WHEN rank BETWEEN 1 AND 5 THEN 1.0 / rank ELSE 0 END), 6) AS mrr_5, round(avg(CASE WHEN rank BETWEEN 1 AND 10 THEN 1 / log2(rank + 1) ELSE 0 END), 6) AS ndcg_10 FROM r""")
 def bm25_evaluated(spark: SparkSession, d: str) -> DataFrame:
     """Retrieval and its evaluation end to end."""
-    run = bm25_run(spark, d).withColumn("run_id", F.lit("bm25"))
+    run = materialise(bm25_run(spark, d).withColumn("run_id", F.lit("bm25")), "run")
     ranked = E.first_relevant_rank(run, base.topics(spark, d).select("qid", "gold"))
     return ranked.groupBy("run_id").agg(
         F.count(F.lit(1)).alias("queries"), F.round(F.avg(E.hit(1)), 6).alias("recall_1"), F.round(F.avg(E.hit(100)), 6).alias("recall_100"),
