@@ -7,10 +7,13 @@ each task slides over its sorted rows and compares every row by exact cosine wit
 The k best of all curves are merged.
 
 Accuracy: approximate. README.md gives the recall measured against brute force. A window does not reach over the
-border of two tasks; the other curves, with other shifts, have other borders.
+border of two tasks; the other curves, with other shifts, have other borders. With ``hold`` the result has that recall at any size:
+where the windows would compare as much as all pairs, or a sample of classes against brute force shows less recall, all pairs
+are compared in blocks (exact).
 
 Scale: rows shuffled are curves x classes; work is linear in the rows. Only a similarity list of k per class and curve
-leaves a task. Nothing is broadcast but the projections (a few kB, in the closure).
+leaves a task. Nothing is broadcast but the projections (a few kB, in the closure) and ``SAMPLE`` vectors. The exact comparison is
+quadratic in the classes; it shuffles classes x (classes / ``BLOCK_ROWS``) rows.
 
 Defined results: null, empty and zero vectors, vectors with a null, NaN or infinite value and vectors of another length than ``dim``
 have no neighbours; ties go to the smaller id; a repeated id counts once; a null id is dropped; an empty table gives no rows;
@@ -32,6 +35,8 @@ from citeloom.session import materialise
 DIMS, BITS = 8, 7
 #: Rows a task should hold at least.
 TASK_ROWS = 20_000
+#: Classes of a block of the exact comparison, and classes whose recall is measured.
+BLOCK_ROWS, SAMPLE = 50_000, 300
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -113,8 +118,73 @@ def best_in_windows(ids: np.ndarray, unit: np.ndarray, k: int, window: int, leas
     return np.concatenate(left), np.concatenate(right), np.concatenate(sims)
 
 
-def neighbours(df: DataFrame, id_col: str, vec: str, k: int = 5, least: float = -1.0, dim: int = 64, curves: int = 8, window: int = 128, seed: int = 7) -> DataFrame:
-    """``id, other, similarity, rank``: the k most similar other vectors of each vector (of similarity ``least`` or more)."""
+def best_of(ids: np.ndarray, unit: np.ndarray, others: np.ndarray, their: np.ndarray, k: int, least: float) -> pd.DataFrame:
+    """``c, d, s``: the k best of each row among all other rows, by exact cosine, a slice of rows at a time."""
+    if not len(ids) or not len(others):
+        return pd.DataFrame({"c": ids[:0], "d": others[:0], "s": np.empty(0)})
+    parts = []
+    starts = np.arange(0, len(others), max(1, len(others) // 256))
+    for a in range(0, len(ids), 256):
+        s = unit[a : a + 256] @ their.T
+        s[ids[a : a + 256, None] == others[None, :]] = -2
+        # The k-th best of the maxima of column ranges is reached by k columns at least.
+        high = np.maximum.reduceat(s, starts, axis=1)
+        bound = np.partition(high, -k, axis=1)[:, -k] if high.shape[1] >= k else np.full(len(s), -1.5, dtype=s.dtype)
+        rows, cols = np.nonzero(s >= np.maximum(bound, max(least, -1.5)).astype(s.dtype)[:, None])
+        part = pd.DataFrame({"c": ids[a + rows], "d": others[cols], "s": s[rows, cols].astype(np.float64)})
+        part = part.sort_values(["c", "s", "d"], ascending=[True, False, True])
+        parts.append(part[part.groupby("c").cumcount() < k])
+    return pd.concat(parts, ignore_index=True)
+
+
+def _matrix(u: pd.Series, dim: int) -> np.ndarray:
+    return np.frombuffer(b"".join(u), dtype=np.float32).reshape(-1, dim)
+
+
+def all_pairs(classes: DataFrame, count: int, k: int, least: float, dim: int) -> DataFrame:
+    """``c, d, s``: the k best of every class within each pair of blocks."""
+    blocks = max(-(-count // BLOCK_ROWS), min(8, count // 4000 + 1))
+    block = F.pmod(F.xxhash64("c"), F.lit(blocks)).cast("int")
+    copies = classes.select("c", "u", block.alias("b")).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    cells = copies.select("c", "u", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
+
+    def compare(cell: pd.DataFrame) -> pd.DataFrame:
+        i, j = cell["i"].iloc[0], cell["j"].iloc[0]
+        sides = [(part["c"].to_numpy(), _matrix(part["u"], dim)) for part in (cell[cell["b"] == i], cell[cell["b"] == j])]
+        found = [best_of(*sides[0], *sides[1], k, least)]
+        if i != j:
+            found.append(best_of(*sides[1], *sides[0], k, least))
+        return pd.concat(found, ignore_index=True)
+
+    return cells.groupBy("i", "j").applyInPandas(compare, "c long, d long, s double")
+
+
+def sample_recall(classes: DataFrame, pairs: DataFrame, k: int, least: float, dim: int) -> float:
+    """Share of the true k best that ``pairs`` (c, d, s) holds, over ``SAMPLE`` classes in hash order."""
+    chosen = classes.select("c", "u").orderBy(F.md5(F.col("c").cast("string"))).limit(SAMPLE).toPandas()
+    ids, unit = chosen["c"].to_numpy(), _matrix(chosen["u"], dim)
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield best_of(ids, unit, batch["c"].to_numpy(), _matrix(batch["u"], dim), k, least)
+
+    found = classes.select("c", "u").mapInPandas(scan, "c long, d long, s double")
+    best = Window.partitionBy("c").orderBy(F.col("s").desc(), "d")
+    true = found.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k).select("c", "s").toPandas()
+    got = pairs.filter(F.col("c").isin([int(i) for i in ids])).select("c", "s").toPandas()
+    floors = true.groupby("c")["s"].min()
+    # By similarity, so that ties count whichever was kept.
+    held = (got["s"] >= got["c"].map(floors) - 1e-6).sum()
+    return min(1.0, float(held) / len(true)) if len(true) else 1.0
+
+
+def neighbours(
+    df: DataFrame, id_col: str, vec: str, k: int = 5, least: float = -1.0, dim: int = 64, curves: int = 8, window: int = 128, seed: int = 7, hold: float = 0.0
+) -> DataFrame:
+    """``id, other, similarity, rank``: the k most similar other vectors of each vector (of similarity ``least`` or more).
+
+    ``hold``: recall that the result must have; 0 takes what the curves give.
+    """
     spark = df.sparkSession
     planes = projections(dim, curves, seed)
 
@@ -157,12 +227,24 @@ def neighbours(df: DataFrame, id_col: str, vec: str, k: int = 5, least: float =
             yield from work(rows)
             held = rows.iloc[-2 * window :]
 
-    tasks = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), classes.count() * curves // TASK_ROWS))
-    placed = classes.select("c", "u").mapInPandas(place_on_curves, "curve int, key long, c long, u binary")
-    found = placed.repartitionByRange(tasks, "curve", "key", "c").sortWithinPartitions("curve", "key", "c").mapInPandas(slide, "c long, d long, s double")
-    pairs = found.groupBy("c", "d").agg(F.max("s").alias("s"))
+    count = classes.count()
     best = Window.partitionBy("c").orderBy(F.col("s").desc(), "d")
-    pairs = pairs.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k).select("c", "d", "s")
+
+    def merged(found: DataFrame) -> DataFrame:
+        pairs = found.groupBy("c", "d").agg(F.max("s").alias("s"))
+        return pairs.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k).select("c", "d", "s")
+
+    if hold and count <= 3 * curves * window:
+        pairs = merged(all_pairs(classes, count, k, least, dim))
+    else:
+        tasks = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), count * curves // TASK_ROWS))
+        placed = classes.select("c", "u").mapInPandas(place_on_curves, "curve int, key long, c long, u binary")
+        found = placed.repartitionByRange(tasks, "curve", "key", "c").sortWithinPartitions("curve", "key", "c").mapInPandas(slide, "c long, d long, s double")
+        pairs = merged(found)
+        if hold:
+            pairs = materialise(pairs, "pairs")
+            if sample_recall(classes, pairs, k, least, dim) < hold:
+                pairs = merged(all_pairs(classes, count, k, least, dim))
     # Of a neighbouring class and of the own class at most k + 1 ids can be needed.
     others = pairs.join(classes.select(F.col("c").alias("d"), "ids"), "d").select("c", F.explode("ids").alias("other"), "s")
     own = classes.filter(F.size("ids") > 1).select("c", F.explode("ids").alias("other"), F.lit(1.0).alias("s"))

@@ -154,3 +154,21 @@ def test_neighbours_against_brute_force(spark):
     pairs = curves.similar_pairs(curves.neighbours(df, "vec_id", "vec", k=5, least=0.9), 0.9).collect()
     assert {(r.vec_id_a, r.vec_id_b) for r in pairs} == {(min(a, b), max(a, b)) for a, b in true if s[list(ids).index(a), list(ids).index(b)] >= 0.9}
     assert curves.neighbours(df.limit(0), "vec_id", "vec").count() == 0
+
+
+def test_neighbours_hold_recall_beyond_the_windows(spark, monkeypatch):
+    monkeypatch.setattr(curves, "BLOCK_ROWS", 700)
+    unit = np.random.default_rng(5).standard_normal((3000, 64)).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(unit)], "vec_id long, vec array<float>")
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    s = unit @ unit.T
+    np.fill_diagonal(s, -2)
+    true = {(i, int(j)) for i in range(len(s)) for j in np.argsort(-s[i])[:5]}
+
+    def recall(curve_count, window, **more):
+        rows = curves.neighbours(df, "vec_id", "vec", k=5, curves=curve_count, window=window, **more).collect()
+        return len({(r.id, r.other) for r in rows} & true) / len(true)
+
+    assert recall(2, 64) < 0.5  # what fixed windows see of random vectors
+    assert recall(2, 64, hold=0.95) > 0.999  # measured, then all pairs
+    assert recall(16, 64, hold=0.95) > 0.999  # all pairs at once
