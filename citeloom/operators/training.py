@@ -56,6 +56,24 @@ def tiered_negatives(rows: DataFrame, n: int) -> DataFrame:
     return best.withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= n).select("qid", "docid", F.col("at.tier").alias("tier"), "pos")
 
 
+def quota_negatives(rows: DataFrame, quotas: dict[int, int], n: int) -> DataFrame:
+    """``qid, docid, tier, pos`` of ``qid, docid, tier, place``: tiers in order, of each at most its quota of documents that no earlier tier gave, n in all.
+
+    A query's candidates are folded in one row; callers bound them.
+    """
+    candidates = F.sort_array(F.collect_list(F.struct("tier", "place", "docid")))
+    chosen_type = rows.select(F.array(F.struct("tier", "docid"))).schema[0].dataType.simpleString()
+    quota = F.create_map(*[F.lit(x) for pair in quotas.items() for x in pair])
+
+    def take(chosen: Column, x: Column) -> Column:
+        known = F.exists(chosen, lambda c: c["docid"] == x["docid"])
+        full = (F.size(chosen) >= n) | (F.size(F.filter(chosen, lambda c: c["tier"] == x["tier"])) >= F.element_at(quota, x["tier"]))
+        return F.when(known | full, chosen).otherwise(F.concat(chosen, F.array(F.struct(x["tier"].alias("tier"), x["docid"].alias("docid")))))
+
+    chosen = rows.groupBy("qid").agg(candidates.alias("all")).select("qid", F.aggregate("all", F.array().cast(chosen_type), take).alias("chosen"))
+    return chosen.select("qid", F.posexplode("chosen").alias("at", "c")).select("qid", "c.docid", "c.tier", (F.col("at") + 1).alias("pos"))
+
+
 def hard_and_soft(run: DataFrame, offset: int, hard: int, soft_from: int, soft: int) -> DataFrame:
     """``qid, docid, kind`` from candidates ranked without gold: hard ``[o, o+h)`` (or ``[0, h)`` where too few), soft ``[s, s+n)`` minus hard.
 

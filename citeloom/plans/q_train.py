@@ -76,6 +76,42 @@ def hard_negatives(spark: SparkSession, d: str) -> DataFrame:
     return N.tiered_negatives(first.select("qid", "docid", tier.cast("int").alias("tier"), F.col("rank").alias("place")), 15)
 
 
+def _drawn(seed: int) -> str:
+    """Random papers of each German query under a seed, as ``random_negatives`` draws them."""
+    return f"""p{seed} AS (SELECT pubkey AS docid, {_hex(_md5(seed, 'pubkey'), 8)} % k AS bucket FROM corpus, bk),
+    q{seed} AS (SELECT qid, gold, ({_hex(_md5(seed, 'qid'), 8)} % k + i) % k AS bucket FROM gold, range(3) AS r(i), bk),
+    j{seed} AS (SELECT DISTINCT qid, docid FROM q{seed} JOIN p{seed} USING (bucket) WHERE docid IS DISTINCT FROM gold),
+    d{seed} AS (SELECT qid, docid, row_number() OVER (PARTITION BY qid ORDER BY {_md5(seed, 'qid', 'docid')}, docid) AS place FROM j{seed})"""
+
+
+def _in_turn(tiers: int) -> str:
+    """Tables s0, s1, ...: what each tier of ``c`` adds to the earlier ones, within its quota."""
+    parts = []
+    for i in range(tiers):
+        known = " UNION ALL ".join(f"SELECT qid, docid FROM s{j}" for j in range(i)) or "SELECT NULL AS qid, NULL AS docid WHERE false"
+        parts.append(f"""s{i} AS (SELECT * FROM (SELECT c.*, row_number() OVER (PARTITION BY c.qid ORDER BY place) AS n FROM c LEFT JOIN ({known}) b ON b.qid = c.qid AND b.docid = c.docid
+        WHERE tier = {i} AND b.qid IS NULL) WHERE n <= {8 if i < len(ORDER) else 15})""")
+    return ", ".join(parts) + ", s AS (" + " UNION ALL ".join(f"SELECT * FROM s{i}" for i in range(tiers)) + ")"
+
+
+@query(f"""WITH {S.RUNS}, {S.GOLD}, {S.CORPUS}, bk AS (SELECT greatest(1, count(*) // 30) AS k FROM corpus), {_drawn(42)}, {_drawn(43)},
+    c AS (SELECT r.qid, r.docid, {TIER} AS tier, r.rank AS place FROM runs r JOIN gold g ON r.qid = g.qid JOIN corpus p ON p.pubkey = r.docid WHERE r.docid IS DISTINCT FROM g.gold AND rank <= 100 AND {TIER} IS NOT NULL
+          UNION ALL SELECT qid, docid, {len(ORDER)}, place FROM d42 WHERE place <= 15 UNION ALL SELECT qid, docid, {len(ORDER) + 1}, place FROM d43 WHERE place <= 30), {_in_turn(len(ORDER) + 2)}
+    SELECT * FROM (SELECT qid, docid, CAST(tier AS INTEGER) AS tier, CAST(row_number() OVER (PARTITION BY qid ORDER BY tier, place) AS INTEGER) AS pos FROM s) WHERE pos <= 15""")
+def hard_negatives_filled(spark: SparkSession, d: str) -> DataFrame:
+    """Runs in order, at most 8 new papers of the first 100 of each; then base negatives, then random ones, up to 15 a query.
+
+    ``hard_negatives`` counts the 8 before known papers are left out and fills nothing.
+    """
+    gold, docs = base.gold(spark, d), base.corpus(spark, d).select(F.col("pubkey").alias("docid"))
+    rows = base.runs(spark, d).filter(F.col("run_id").isin(*ORDER)).filter("rank <= 100").join(gold, "qid").filter(~F.col("docid").eqNullSafe(F.col("gold")))
+    tier = F.array_position(F.array(*map(F.lit, ORDER)), F.col("run_id")) - 1
+    found = rows.join(docs, "docid", "left_semi").select("qid", "docid", tier.cast("int").alias("tier"), F.col("rank").alias("place"))
+    # Of the random papers fewer than 15 can be known, so 30 are enough.
+    drawn = [N.random_negatives(gold, docs, n, seed).select("qid", "docid", F.lit(len(ORDER) + i).alias("tier"), F.col("pos").alias("place")) for i, (n, seed) in enumerate(((15, 42), (30, 43)))]
+    return N.quota_negatives(found.unionByName(drawn[0]).unionByName(drawn[1]), {i: 8 if i < len(ORDER) else 15 for i in range(len(ORDER) + 2)}, 15)
+
+
 @query(f"""WITH {S.RUNS}, {S.GOLD}, {S.CORPUS}, f AS (SELECT qid, docid, count(*) AS support, round(sum(1 / (60 + rank)), 9) AS rrf, min(rank) AS best, round(avg(rank), 6) AS mean_rank FROM runs GROUP BY qid, docid),
     x AS (SELECT f.*, lower({S.ws('c.doc_text')}) AS t FROM f JOIN gold g USING (qid) JOIN corpus c ON c.pubkey = f.docid WHERE f.docid IS DISTINCT FROM g.gold),
     y AS (SELECT *, row_number() OVER (PARTITION BY qid, t ORDER BY support DESC, rrf DESC, best, mean_rank, docid) AS k FROM x)

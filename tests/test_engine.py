@@ -206,3 +206,22 @@ def test_settings_and_reports(spark, tmp_path):
     first = write_report(str(tmp_path / "e.json"), {"system": "s"}, {"mrr_5": 0.5}, rows)
     second = write_report(str(tmp_path / "e.json"), {}, {})
     assert first.endswith("e.json") and second.endswith("e_1.json") and '"qid": 1' in open(first).read()
+
+
+def test_hard_negatives_are_filled(spark):
+    rows = spark.createDataFrame([(1, x, t, i) for t, docs in enumerate(("abc", "abcdef", "fgh")) for i, x in enumerate(docs, 1)], "qid long, docid string, tier int, place int")
+    got = sorted((r.pos, r.docid, r.tier) for r in training.quota_negatives(rows, {0: 2, 1: 3, 2: 15}, 7).collect())
+    # b and a are known and take no place of the second tier; f is new to the third.
+    assert got == [(1, "a", 0), (2, "b", 0), (3, "c", 1), (4, "d", 1), (5, "e", 1), (6, "f", 2), (7, "g", 2)]
+    if not os.path.isdir(DATA):
+        pytest.skip("no test tables")
+    from citeloom.plans import base
+
+    papers = {r.pubkey for r in base.corpus(spark, DATA).select("pubkey").collect()}
+    gold = {r.qid: r.gold for r in base.gold(spark, DATA).collect()}
+    lists = {}
+    for r in catalog.queries()["hard_negatives_filled"](spark, DATA).collect():
+        lists.setdefault(r.qid, []).append(r.docid)
+    assert lists.keys() == gold.keys()
+    for qid, docs in lists.items():
+        assert len(docs) == len(set(docs)) == min(15, len(papers - {gold[qid]})) and set(docs) <= papers - {gold[qid]}
