@@ -493,19 +493,20 @@ def w2v_expand(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def word2vec_neighbors(spark: SparkSession, d: str) -> DataFrame:
-    """Ten nearest words of every frequent word, from vectors trained on all paper texts; similarity above 0.6.
+    """Ten nearest words of every word that occurs three times, from vectors trained on all paper texts; similarity above 0.6, stop words out of both.
 
-    Exact search in blocks of word vectors (``dense_top_k``), not a product of all pairs.
+    Stop words are trained and take places among the ten, as in the reference; ``rank`` is the place among the ten. Exact search in blocks of word vectors (``dense_top_k``), not a product of all pairs.
     """
     from pyspark.ml.feature import Word2Vec
 
     rows = base.corpus(spark, d).select(T.tokenize_w2v("doc_text").alias("words"))
-    model = Word2Vec(vectorSize=32, windowSize=10, minCount=10, maxIter=2, seed=1, inputCol="words", outputCol="v").fit(rows)
+    model = Word2Vec(vectorSize=200, windowSize=10, minCount=3, maxIter=10, seed=1, inputCol="words", outputCol="v").fit(rows)
     from pyspark.ml.functions import vector_to_array
 
     words = model.getVectors().select("word", R.unit(vector_to_array("vector")).alias("v"))
     found = R.dense_top_k(words.select(F.col("word").alias("qid"), "v"), words.select(F.col("word").alias("docid"), "v"), 10)
-    return found.filter("score > 0.6").select(F.col("qid").alias("word"), F.col("docid").alias("term"), F.round("score", 3).alias("score"), "rank")
+    kept = found.filter("score > 0.6").filter(~F.col("qid").isin(*T.STOP_EN) & ~F.col("docid").isin(*T.STOP_EN))
+    return kept.select(F.col("qid").alias("word"), F.col("docid").alias("term"), F.round("score", 3).alias("score"), "rank")
 
 
 @query(f"""WITH {S.TOPICS} SELECT qid, array_to_string(list_distinct({S.tok_multi('text')})[1:12], '; ') AS n_keywords, 'Find the paper behind this claim: ' || {S.ws('text')} AS embedding

@@ -225,3 +225,14 @@ def test_hard_negatives_are_filled(spark):
     assert lists.keys() == gold.keys()
     for qid, docs in lists.items():
         assert len(docs) == len(set(docs)) == min(15, len(papers - {gold[qid]})) and set(docs) <= papers - {gold[qid]}
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_word2vec_covers_rare_words_without_stop_words(spark):
+    from citeloom.plans import base
+
+    counts = {r.w: r["count"] for r in base.corpus(spark, DATA).select(F.explode(T.tokenize_w2v("doc_text")).alias("w")).groupBy("w").count().collect()}
+    rows = catalog.queries()["word2vec_neighbors"](spark, DATA).collect()
+    seen = {w for r in rows for w in (r.word, r.term)}
+    assert rows and not seen & set(T.STOP_EN)
+    assert min(counts[w] for w in seen) == 3
