@@ -106,9 +106,9 @@ def interleave(a: DataFrame, b: DataFrame, id_col: str, window: int = 128, seed:
     return mixed.withColumn("block", block).withColumn("place", F.col("block") * window + F.row_number().over(inside) - 1).select("source", "id", "place")
 
 
-def margin_loss(pairs: DataFrame, margin: float = 1.0) -> DataFrame:
-    """Mean of ``max(0, margin - (pos - neg))`` over the positive-negative pairs of each group: ``qid, pairs, loss``."""
-    p = pairs.filter("label = 1").select("qid", F.col("score").alias("p"))
-    n = pairs.filter("label = 0").select("qid", F.col("score").alias("n"))
-    both = p.join(n, "qid")
-    return both.groupBy("qid").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.avg(F.greatest(F.lit(0.0), F.lit(margin) - (F.col("p") - F.col("n")))), 6).alias("loss"))
+def margin_loss(pairs: DataFrame, margin: float = 1.0, keys: tuple[str, ...] = ("qid",)) -> DataFrame:
+    """Mean of ``max(0, margin - (pos - neg))`` over the positive-negative pairs of each group: ``keys, pairs, loss``."""
+    p = pairs.filter("label = 1").select(*keys, F.col("score").alias("p"))
+    n = pairs.filter("label = 0").select(*keys, F.col("score").alias("n"))
+    both = p.join(n, list(keys))
+    return both.groupBy(*keys).agg(F.count(F.lit(1)).alias("pairs"), F.round(F.avg(F.greatest(F.lit(0.0), F.lit(margin) - (F.col("p") - F.col("n")))), 6).alias("loss"))

@@ -169,6 +169,13 @@ def pivot_scores(spark: SparkSession, d: str) -> DataFrame:
     return _scores(spark, d).groupBy("qid").pivot("run_id", names).agg(F.round(F.max("score"), 6))
 
 
+@query(f"WITH {SCORES} SELECT * FROM (PIVOT scores ON run_id USING round(max(score), 6) GROUP BY qid)")
+def pivot_scores_all(spark: SparkSession, d: str) -> DataFrame:
+    """A column for every system of the runs; ``pivot_scores`` has four fixed ones."""
+    names = sorted(r.run_id for r in base.runs(spark, d).select("run_id").distinct().collect() if r.run_id is not None)
+    return _scores(spark, d).groupBy("qid").pivot("run_id", names).agg(F.round(F.max("score"), 6))
+
+
 @query(f"""WITH {SCORES}, v AS (SELECT run_id, qid, round(score, 9) AS v FROM scores),
     r AS (SELECT run_id, qid, v, rank() OVER (PARTITION BY qid ORDER BY v) + (count(*) OVER (PARTITION BY qid, v) - 1) / 2 AS r FROM v),
     s AS (SELECT count(*) AS k, sum(s * s) AS ss FROM (SELECT run_id, sum(r) AS s FROM r GROUP BY run_id)),

@@ -222,6 +222,16 @@ def pairwise_margin(spark: SparkSession, d: str) -> DataFrame:
     return N.margin_loss(rows.select("qid", "score", F.coalesce(F.col("docid") == F.col("gold"), F.lit(False)).cast("int").alias("label")))
 
 
+@query(f"""WITH {S.RUNS}, {S.GOLD}, s AS (SELECT r.run_id, r.qid, r.score, CAST(coalesce(r.docid = g.gold, false) AS INTEGER) AS label FROM runs r JOIN gold g ON r.qid = g.qid),
+    j AS (SELECT p.run_id, p.qid, greatest(0, 1 - (p.score - n.score)) AS l FROM s p JOIN s n ON p.run_id = n.run_id AND p.qid = n.qid AND p.label = 1 AND n.label = 0)
+    SELECT run_id, qid, CAST(count(*) AS BIGINT) AS pairs, round(avg(l), 6) AS loss FROM j GROUP BY run_id, qid""")
+def pairwise_margin_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Every run and query; ``pairwise_margin`` has one run."""
+    rows = base.runs(spark, d).join(base.gold(spark, d), "qid")
+    label = F.coalesce(F.col("docid") == F.col("gold"), F.lit(False)).cast("int")
+    return N.margin_loss(rows.select("run_id", "qid", "score", label.alias("label")), keys=("run_id", "qid"))
+
+
 @query(f"""WITH {S.RUNS}, {S.GOLD}, s AS (SELECT r.qid, count(*) AS docs, count(*) FILTER (r.docid = g.gold) AS positives FROM runs r JOIN gold g ON r.qid = g.qid WHERE run_id = 'lex_plain' GROUP BY r.qid)
     SELECT qid, CAST(docs AS BIGINT) AS docs, CAST(positives AS BIGINT) AS positives FROM s WHERE positives >= 1 AND docs >= 2""")
 def eval_samples(spark: SparkSession, d: str) -> DataFrame:
@@ -231,6 +241,15 @@ def eval_samples(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("qid").agg(F.count(F.lit(1)).alias("docs"), F.sum(right).alias("positives")).filter("positives >= 1 AND docs >= 2")
 
 
+@query(f"""WITH {S.RUNS}, {S.GOLD}, s AS (SELECT r.run_id, r.qid, count(*) AS docs, count(*) FILTER (r.docid = g.gold) AS positives FROM runs r JOIN gold g ON r.qid = g.qid GROUP BY r.run_id, r.qid)
+    SELECT run_id, qid, CAST(docs AS BIGINT) AS docs, CAST(positives AS BIGINT) AS positives FROM s WHERE positives >= 1 AND docs >= 2""")
+def eval_samples_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Every run and query; ``eval_samples`` has one run."""
+    right = F.coalesce(F.col("docid") == F.col("gold"), F.lit(False)).cast("bigint")
+    rows = base.runs(spark, d).join(base.gold(spark, d), "qid").groupBy("run_id", "qid")
+    return rows.agg(F.count(F.lit(1)).alias("docs"), F.sum(right).alias("positives")).filter("positives >= 1 AND docs >= 2")
+
+
 @query(f"""WITH {GROUPS}, a AS (SELECT qid, min(docid) FILTER (kind = 'soft') AS neg, min(docid) FILTER (kind = 'hard') AS hard_neg FROM groups WHERE kind IS NOT NULL GROUP BY qid)
     SELECT qid, docid FROM (SELECT qid, unnest(list_distinct(list_filter([neg, hard_neg], lambda x: x IS NOT NULL))) AS docid FROM a)""")
 def merge_negative_fields(spark: SparkSession, d: str) -> DataFrame:

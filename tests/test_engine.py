@@ -236,3 +236,14 @@ def test_word2vec_covers_rare_words_without_stop_words(spark):
     seen = {w for r in rows for w in (r.word, r.term)}
     assert rows and not seen & set(T.STOP_EN)
     assert min(counts[w] for w in seen) == 3
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_pivot_and_samples_cover_every_run(spark):
+    from citeloom.plans import base
+
+    runs_of = {r.run_id for r in base.runs(spark, DATA).select("run_id").distinct().collect()}
+    assert len(runs_of) > 4 and set(catalog.queries()["pivot_scores_all"](spark, DATA).columns) == runs_of | {"qid"}
+    hits = base.runs(spark, DATA).join(base.gold(spark, DATA), "qid").filter("docid = gold").select("run_id").distinct().collect()
+    for name in ("pairwise_margin_runs", "eval_samples_runs"):
+        assert {r.run_id for r in catalog.queries()[name](spark, DATA).select("run_id").distinct().collect()} == {r.run_id for r in hits}, name
