@@ -162,14 +162,26 @@ def interleave(spark: SparkSession, d: str) -> DataFrame:
     return N.interleave(parts[0], parts[1], "qid")
 
 
+def _mined(found: DataFrame, last: int) -> DataFrame:
+    rows = found.withColumn("top", F.max("score").over(Window.partitionBy("qid")))
+    kept = rows.filter(f"rank BETWEEN 5 AND {last} AND score <= 0.85 AND score <= top - 0.05")
+    return kept.withColumn("pos", F.row_number().over(Window.partitionBy("qid").orderBy("rank"))).filter("pos <= 8").select("qid", "docid", "score", "pos")
+
+
 @query(f"""WITH {VECS}, {DENSE}, best AS (SELECT qid, max(score) AS top FROM dense GROUP BY qid)
     SELECT * FROM (SELECT qid, docid, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY rank) AS INTEGER) AS pos FROM dense JOIN best USING (qid)
                    WHERE rank BETWEEN 5 AND 30 AND score <= 0.85 AND score <= top - 0.05) WHERE pos <= 8""")
 def mined_negatives(spark: SparkSession, d: str) -> DataFrame:
     """Neighbours of rank 5 to 30, below a score bound and a margin under the best."""
-    rows = _dense(spark, d).withColumn("top", F.max("score").over(Window.partitionBy("qid")))
-    kept = rows.filter("rank BETWEEN 5 AND 30 AND score <= 0.85 AND score <= top - 0.05")
-    return kept.withColumn("pos", F.row_number().over(Window.partitionBy("qid").orderBy("rank"))).filter("pos <= 8").select("qid", "docid", "score", "pos")
+    return _mined(_dense(spark, d), 30)
+
+
+@query(f"""WITH {VECS}, {DENSE.replace('rank <= 30', 'rank <= 50')}, best AS (SELECT qid, max(score) AS top FROM dense GROUP BY qid)
+    SELECT * FROM (SELECT qid, docid, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY rank) AS INTEGER) AS pos FROM dense JOIN best USING (qid)
+                   WHERE rank BETWEEN 5 AND 50 AND score <= 0.85 AND score <= top - 0.05) WHERE pos <= 8""")
+def mined_negatives_50(spark: SparkSession, d: str) -> DataFrame:
+    """Neighbours of rank 5 to 50, below a score bound and a margin under the best; ``mined_negatives`` ends at rank 30."""
+    return _mined(_dense(spark, d, 50), 50)
 
 
 @query("""WITH u AS (SELECT qid, pubkey, text, 0 AS file FROM en_train UNION ALL SELECT qid, pubkey, text, 1 FROM eval_queries)

@@ -247,3 +247,11 @@ def test_pivot_and_samples_cover_every_run(spark):
     hits = base.runs(spark, DATA).join(base.gold(spark, DATA), "qid").filter("docid = gold").select("run_id").distinct().collect()
     for name in ("pairwise_margin_runs", "eval_samples_runs"):
         assert {r.run_id for r in catalog.queries()[name](spark, DATA).select("run_id").distinct().collect()} == {r.run_id for r in hits}, name
+
+
+def test_mined_negatives_reach_rank_50(spark, tmp_path):
+    # 40 close copies before 9 valid vectors: nothing valid up to rank 30, eight from rank 41 on.
+    vectors = [(100, "q", [1.0] + [0.0] * 63)] + [(i, "c", [0.99 - i / 1000] + [0.0] * 63) for i in range(1, 41)] + [(i, "v", [0.8 - i / 1000] + [0.0] * 63) for i in range(41, 50)]
+    spark.createDataFrame(vectors, "vec_id long, pubkey string, vec array<float>").write.parquet(str(tmp_path / "paper_vectors.parquet"))
+    short, whole = (catalog.queries()[n](spark, str(tmp_path)).collect() for n in ("mined_negatives", "mined_negatives_50"))
+    assert not short and sorted(r.docid for r in whole) == list(range(41, 49))
