@@ -232,7 +232,7 @@ def identify(df: DataFrame, made: dict[str, list[str]], text: str = "text") -> D
             )
 
     names = ["found_lang", "confidence", "segments"]
-    return df.withColumn("__j", judge(F.col(text))).withColumns({n: F.col("__j")[n] for n in names}).drop("__j")
+    return df.withColumn("__j", judge.asNondeterministic()(F.col(text))).withColumns({n: F.col("__j")[n] for n in names}).drop("__j")
 
 
 def label_faults(df: DataFrame, made: dict[str, list[str]], text: str = "text", label: str = "lang") -> DataFrame:

@@ -6,15 +6,15 @@ masked word becomes its first letter and a mark. Terms of a caller's word list a
 is that of its highest-scoring sentence, so length doesn't dilute it.
 
 Training is FTRL-proximal with per-coordinate rates and L1, in mini-batches on the driver, over at most ``MAX_FINE`` unflagged and
-``MAX_BAD`` flagged texts (those of smallest id hash; documented bounds) and the seed sentences below; the features are made on the
-executors. Labels stand for whole texts: of a flagged text only the sentence counts that is most telling, first by the lift of its
+``MAX_BAD`` flagged texts (those of smallest id hash; documented bounds); the features are made on the executors, and nothing but labels and
+the word list goes in. Labels stand for whole texts: of a flagged text only the sentence counts that is most telling, first by the lift of its
 features, then also by the model so far; a flagged text without a telling sentence hardly counts. Texts whose annotators disagree
-aren't used. L1 leaves few weights; they are broadcast (at most ``MAX_WEIGHTS``).
+aren't used. L1 leaves few weights; they are broadcast (at most ``SPACE``, 4 MB).
 
 Scale: scoring is a narrow map; rates per source are one combined aggregation.
 
-Defined results: null, empty and wordless texts score 0; repeated rows are scored each; without any label only the seed
-sentences train; an empty table gives no rows; other columns are ignored.
+Defined results: null, empty and wordless texts score 0; repeated rows are scored each; without any flagged label no text
+scores over 0.5; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,148 +26,63 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.llm.text import HANDLE, URL, fold
 
-#: Bounds of the labelled sample that is collected for training: unflagged and flagged texts, and list terms.
-MAX_FINE, MAX_BAD, MAX_TERMS = 10_000, 2_000, 10_000
+#: Bounds of the labelled sample that is collected for training: unflagged and flagged texts.
+MAX_FINE, MAX_BAD = 10_000, 2_000
+#: Largest word list; a longer one is an error.
+MAX_TERMS = 100_000
 #: A word tells when flagged texts have it so many times as often; a flagged text counts in full when this share of a sentence's words tells.
 LIFT, TELLING = 4.0, 0.3
 CACHE_WORDS = 500_000
-#: Bound of the broadcast model.
-MAX_WEIGHTS = 500_000
+#: Hashed features; a model has at most so many weights.
 SPACE = 1 << 20
 #: Score from which a text counts as flagged.
 FLAG_AT = 0.5
 
-SENTENCE = regex.compile(r"(?<=[.!?…])[\"'”’»)]*\s+|\n+")
-TOKEN = regex.compile(r"[\p{L}\p{N}][\p{L}\p{N}*@$!|]*[\p{L}\p{N}*$]|[\p{L}\p{N}]")
-SPELLED = regex.compile(r"(?<![\p{L}\p{N}])(?:\p{L}[ .\-_*]){2,}\p{L}(?![\p{L}\p{N}])")
-GAP = regex.compile(r"[ .\-_*]")
-STRETCHED = regex.compile(r"(\p{L})\1{2,}")
-MASKED = regex.compile(r"^\p{L}+\*{1,}\p{L}*$|^\p{L}*\*{2,}\p{L}*$")
+# ``[^\\W_]`` is a letter or number, ``[^\\W\\d_]`` a letter.
+SENTENCE = re.compile(r"(?<=[.!?…])[\"'”’»)]*\s+|\n+")
+TOKEN = re.compile(r"[^\W_]+(?:[*@$!|]+[^\W_]+)*[*$]*")
+SPELLED = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .\-_*]){2,}[^\W\d_](?![^\W_])")
+GAP = re.compile(r"[ .\-_*]")
+STRETCHED = re.compile(r"([^\W\d_])\1{2,}")
+MASKED = re.compile(r"^[^\W\d_]+\*{1,}[^\W\d_]*$|^[^\W\d_]*\*{2,}[^\W\d_]*$")
 #: Digits and signs read as the letters they stand for inside a word.
 SIGNS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "i"})
 CODE = re.compile(r"^[a-z]+\d+$|^\d+[a-z]?$")
 
-#: Seed sentences written for this module: (language use that counts, language use that doesn't).
-SEEDS_BAD = """\
-you are a complete idiot
-you are such a stupid liar and a fraud
-shut up you moron
-what a bunch of worthless clowns
-go to hell you bastard
-i hope you die
-i will find you and hurt you
-we know where you live
-kill yourself you loser
-drop dead
-those people are vermin and must be driven out
-that whole race is subhuman filth
-throw all these foreigners out of the country
-they breed like rats
-women are too dumb for science
-let these people rot
-i want you naked in my bed tonight
-send me nude pics
-free porn cams with hot horny singles
-she sucked him off under the desk
-you filthy asshole
-du bist ein dummer idiot
-halt die fresse du arschloch
-verpiss dich du penner
-wir wissen wo du wohnst
-hoffentlich verreckst du bald
-diese leute sind ungeziefer und untermenschen
-werft die ganzen ausländer raus
-frauen gehören in die küche
-ich will dich nackt in meinem bett
-geile weiber warten auf dich
-so eine scheiße kann nur ein trottel schreiben
-tu es un pauvre con
-ferme ta gueule espèce de connard
-va te faire foutre
-on sait où tu habites
-qu'il crève ce salaud
-ces gens sont de la vermine et des sous-hommes
-les femmes sont trop bêtes pour ça
-je te veux nue dans mon lit
-photos coquines gratuites
-eres un idiota y un mentiroso
-cierra la boca gilipollas
-vete a la mierda cabrón
-sabemos dónde vives
-ojalá te mueras
-esa gente es una plaga de infrahumanos
-las mujeres son demasiado tontas para esto
-te quiero desnuda en mi cama
-porno gratis con chicas cachondas
-sei un idiota e un bugiardo
-chiudi la bocca stronzo
-vai a farti fottere bastardo
-sappiamo dove abiti
-spero che tu muoia
-quella gente è feccia e sono subumani
-le donne sono troppo stupide per la scienza
-ti voglio nuda nel mio letto
-porno gratis ragazze calde ti aspettano
-solo un coglione scrive una merda simile""".splitlines()
-SEEDS_FINE = """\
-raters marked the word idiot as abusive in many posts
-the model flagged shut up and go to hell as insults
-imbecile and moron were clinical grades in old records
-vermin control lowered the rat count
-naked mole rat colonies were compared
-sexual health education reduced infections
-condom use and breast cancer screening were recorded
-the sexual reproduction of plants was described
-the study counts hate speech against migrants
-i disagree with this claim and find the method weak
-this paper is wrong and the data are poor
-das wort trottel wurde als beleidigung gewertet
-parasiten und ungeziefer wurden gezählt
-die sexuelle gesundheit wurde erfasst
-ich halte diese aussage für falsch
-le mot abruti a été classé comme insulte
-la vermine et les parasites ont été comptés
-la santé sexuelle a été étudiée
-je ne suis pas d'accord avec cette thèse
-la palabra idiota se anotó como insulto
-una plaga de insectos redujo la cosecha
-la salud sexual fue evaluada
-no estoy de acuerdo con esta conclusión
-la parola idiota è stata classificata come insulto
-i parassiti e gli insetti nocivi sono stati contati
-la salute sessuale è stata valutata
-non sono d'accordo con questa conclusione""".splitlines()
 
-
-def tokens(sentence: str) -> list[str]:
-    """Words with spelling tricks undone."""
-    text = fold(sentence)
+def unmasked(text: str) -> str:
+    """A text without case, accents, links and handles; stretched and spelled-out letters undone."""
+    text = fold(text)
     if "://" in text or "www." in text:
         text = URL.sub(" ", text)
     if "@" in text:
         text = HANDLE.sub(" ", text)
-    text = STRETCHED.sub(r"\1", SPELLED.sub(lambda m: GAP.sub("", m[0]), text))
-    out = []
-    for t in TOKEN.findall(text):
-        if not t.isalpha():
-            if MASKED.match(t):
-                t = t[0] + "***"
-            else:
-                t = "0" if CODE.match(t) else STRETCHED.sub(r"\1", t.translate(SIGNS).replace("*", ""))
-        out.append(t)
-    return out
+    return STRETCHED.sub(r"\1", SPELLED.sub(lambda m: GAP.sub("", m[0]), text))
+
+
+def _plain(token: str) -> str:
+    if MASKED.match(token):
+        return token[0] + "***"
+    return "0" if CODE.match(token) else STRETCHED.sub(r"\1", token.translate(SIGNS).replace("*", ""))
+
+
+def sentences(text: str | None) -> list[list[str]]:
+    """The words of each sentence or line of a text that has any, spelling tricks undone."""
+    if not text:
+        return []
+    found = (TOKEN.findall(s) for s in SENTENCE.split(unmasked(text)))
+    return [words if "".join(words).isalpha() else [t if t.isalpha() else _plain(t) for t in words] for words in found if words]
 
 
-def sentences(text: str | None) -> list[str]:
-    """Sentences and lines of a text."""
-    return [s for s in SENTENCE.split(text) if s and not s.isspace()] if text else []
+def tokens(sentence: str) -> list[str]:
+    """Words of a text as one sentence."""
+    return [t for words in sentences(sentence) for t in words]
 
 
 class Features:
@@ -187,17 +102,15 @@ class Features:
         codes = self.codes
         if len(codes) > CACHE_WORDS:
             codes.clear()
-        out = []
-        for w in words:
-            c = codes.get(w)
-            if c is None:
-                c = codes[w] = zlib.crc32(w.encode())
-            out.append(c)
-        return out
+        for w in set(words).difference(codes):
+            codes[w] = zlib.crc32(w.encode())
+        return [codes[w] for w in words]
 
     def listed(self, words: list[str]) -> list[str]:
         """Categories of the list terms in a sentence, each once."""
-        found = set()
+        found: set[str] = set()
+        if self.sizes.keys().isdisjoint(words):
+            return []
         for i, w in enumerate(words):
             for n in self.sizes.get(w, ()):
                 category = self.terms.get(tuple(words[i : i + n]))
@@ -244,7 +157,7 @@ class Ftrl:
         """All weights and the bias."""
         return self._weight(self.z, self.n, self.l1), float(self._weight(np.float64(self.bias_z), np.float64(self.bias_n), 0.0))
 
-    def fit(self, rows: list[np.ndarray], labels: np.ndarray, importance: np.ndarray, batch: int = 32, seed: int = 1) -> None:
+    def fit(self, rows: list[np.ndarray], labels: np.ndarray, importance: np.ndarray, batch: int = 128, seed: int = 1) -> None:
         """One pass in seeded random order."""
         order = np.random.default_rng(seed).permutation(len(rows))
         for at in range(0, len(order), batch):
@@ -272,8 +185,7 @@ class Model:
 
     def __init__(self, ftrl: Ftrl, terms: dict[str, str]) -> None:
         weights, self.bias = ftrl.weights()
-        at = np.nonzero(weights)[0]
-        self.at = at[np.argsort(-np.abs(weights[at]), kind="stable")][:MAX_WEIGHTS]
+        self.at = np.nonzero(weights)[0]
         self.value = weights[self.at].astype(np.float32)
         self.terms = terms
 
@@ -286,10 +198,9 @@ class Model:
         def run(texts: list[str | None]) -> np.ndarray:
             batch, doc = [], []
             for i, t in enumerate(texts):
-                for s in sentences(t):
-                    if w := tokens(s):
-                        batch.append(w)
-                        doc.append(i)
+                own = sentences(t)
+                batch += own
+                doc += [i] * len(own)
             worst = np.full(len(texts), -np.inf)
             if batch:
                 cols, owner = made.of(batch)
@@ -301,7 +212,7 @@ class Model:
 
 def sentence_features(text: str | None, made: Features) -> list[np.ndarray]:
     """Feature columns of each sentence with words; the first columns are its words in order."""
-    batch = [w for s in sentences(text) if (w := tokens(s))]
+    batch = sentences(text)
     if not batch:
         return []
     cols, owner = made.of(batch)
@@ -326,10 +237,9 @@ def suspicion(texts: list[list[np.ndarray]], labels: list[int]) -> Callable[[np.
     return share
 
 
-def train(texts: list[list[np.ndarray]], labels: list[int], terms: dict[str, str], passes: int = 4) -> Model:
-    """Fit on texts given as sentence features, and the seeds, by alternating between choosing sentences and weighting them."""
+def train(texts: list[list[np.ndarray]], labels: list[int], terms: dict[str, str], passes: int = 3) -> Model:
+    """Fit on texts given as sentence features, by alternating between choosing sentences and weighting them."""
     made = Features(terms)
-    seeds = [(sentence_features(s, made)[0], y) for y, own in ((1, SEEDS_BAD), (0, SEEDS_FINE)) for s in own]
     odd = suspicion(texts, labels)
     fine = [f for own, y in zip(texts, labels) if not y for f in own]
     bad = [own for own, y in zip(texts, labels) if y and own]
@@ -346,9 +256,6 @@ def train(texts: list[list[np.ndarray]], labels: list[int], terms: dict[str, str
             rows.append(own[at])
             ys.append(1)
             ws.append(3.0 if share[at] >= TELLING else 0.02)
-        rows += [f for f, _ in seeds]
-        ys += [y for _, y in seeds]
-        ws += [3.0] * len(seeds)
         model = Ftrl()
         for k in range(3):
             model.fit(rows, np.array(ys, dtype=float), np.array(ws), seed=step * 10 + k)
@@ -356,9 +263,16 @@ def train(texts: list[list[np.ndarray]], labels: list[int], terms: dict[str, str
     return Model(model, terms)
 
 
+def _word_list(terms: DataFrame) -> dict[str, str]:
+    rows = terms.filter("term IS NOT NULL").groupBy("term").agg(F.min("category").alias("category")).limit(MAX_TERMS + 1).collect()
+    if len(rows) > MAX_TERMS:
+        raise ValueError(f"a word list may have {MAX_TERMS} terms")
+    return {r.term: r.category for r in sorted(rows)}
+
+
 def fit(documents: DataFrame, labels: DataFrame, terms: DataFrame | None = None, max_fine: int = MAX_FINE, max_bad: int = MAX_BAD) -> Model:
     """Train on a bounded sample of texts whose annotators agree."""
-    listed = {} if terms is None else {r.term: r.category for r in terms.select("term", "category").filter("term IS NOT NULL").limit(MAX_TERMS).collect()}
+    listed = {} if terms is None else _word_list(terms)
     agreed = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.min("toxic").alias("lo"), F.max("toxic").alias("hi"))
     agreed = agreed.filter("lo = hi").select("doc_id", F.col("hi").alias("y"))
     parts = [agreed.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in ((0, max_fine), (1, max_bad))]

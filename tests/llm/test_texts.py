@@ -79,6 +79,54 @@ def test_defects(spark, made):
     assert [got[i] for i in range(len(cases))] == [c for _, _, c in cases]
     assert pairs.defects(df.limit(0), made).count() == 0
     assert pairs.is_copy(["a"] * 5000, ["a"] * 5000)
+    # Order counts at any length.
+    words = [f"w{i}" for i in range(3000)]
+    for n in (1900, 3000):
+        mixed = random.Random(n).sample(words[:n], n)
+        assert pairs.is_copy(words[:n], words[:n]) and not pairs.is_copy(words[:n], mixed)
+
+
+def test_all_defects_and_padded_refusals(made):
+    judge, refusals = langid.Judge(made), pairs.Refusals()
+    assert pairs.all_defects(SAMPLES["de"], SAMPLES["de"], judge, refusals) == ["copy", "wrong_language"]
+    padding = " ".join(["It was a calm day and the people went home early."] * 9)
+    assert "refusal" in pairs.all_defects(SAMPLES["de"], f"{padding} I'm sorry, but I can't help with this request. {padding}", judge, refusals)
+
+
+#: Phrasings of refusals and of harmless sentences, written for this test.
+DECLINES = """\
+Sorry, I cannot translate that post.
+Regrettably I am not able to provide you a translation of it.
+I'm afraid I can't translate this for you.
+As an AI, I must decline this translation.
+This text cannot be translated.
+I would prefer not to translate this.
+Leider kann ich diesen Text nicht übersetzen.
+Ich möchte dafür keine Übersetzung anfertigen.
+Malheureusement, je ne peux pas traduire ce message.
+Lamentablemente no puedo traducir este texto.
+Purtroppo non posso tradurre questo messaggio.""".splitlines()
+HARMLESS = """\
+The team could not help the patients with this treatment.
+Doctors cannot provide a firm answer to this question yet.
+We must refuse the idea that sleep does not matter.
+Sie können diesen Effekt nicht erklären.
+Personne ne peut dire pourquoi cela ne marche pas.
+The protein is not able to translate the signal.""".splitlines()
+
+
+def test_refusal_templates():
+    made = pairs.Refusals()
+    assert [t for t in DECLINES if not made.in_text(t)] == []
+    assert [t for t in HARMLESS if made.in_text(t)] == []
+    # The key words never hide a template that aligns.
+    rng = random.Random(3)
+    vocabulary = sorted(set().union(*made.words))
+    for _ in range(60):
+        words = list(rng.choice(made.templates))
+        for _ in range(rng.randrange(4)):
+            words[rng.randrange(len(words))] = rng.choice(vocabulary)
+        assert made.in_sentence(words) == any(made.aligned(t, words) >= pairs.REFUSES for t in made.templates)
 
 
 needs_ranks = pytest.mark.skipif(not os.path.exists(RANKS), reason="no vocabulary file")
@@ -167,10 +215,10 @@ def test_spelling_tricks():
     assert toxicity.tokens("You are a h4lfw1t$, C R A P and tittttts, s******d fu​cking!") == ["you", "are", "a", "halfwits", "crap", "and", "tits", "s***", "fucking"]
 
 
-def test_toxicity_held_out(spark):
+def test_toxicity_held_out(spark, monkeypatch):
     rng = random.Random(6)
-    fine = ["the archive shows a stable signal in the second year", "figures from the clinic were compared with the survey", "raters marked the word clown as abusive in many posts", "half of the forms skipped the question on sleep"]
-    bad = ["you are a {} clown and nobody wants you here", "shut your mouth you {} fool", "throw the {} lot of them into the sea"]
+    fine = ["the archive shows a stable signal in the second year", "figures from the clinic were compared with the survey", "a clown visited the ward and the children laughed", "half of the forms skipped the question on sleep"]
+    bad = ["you are a {} clown and nobody wants you here", "nobody asked for your opinion you {} fool", "we should throw the {} lot of them into the sea"]
     fill = ["rotten", "filthy", "pathetic", "lying"]
 
     def make(n, noise):
@@ -198,4 +246,7 @@ def test_toxicity_held_out(spark):
     rates = {r.source: (r.documents, r.flagged) for r in toxicity.source_rates(scored).collect()}
     assert rates == {"a": (2, 0), None: (1, 0), "b": (3, 2)}
     assert toxicity.score(scored.limit(0), model).count() == 0
-    assert toxicity.fit(documents.limit(0), labels.limit(0)).scorer()(["you stupid idiot shut up", "the paper"])[0] > 0.5
+    assert max(toxicity.fit(documents.limit(0), labels.limit(0)).scorer()(["you stupid idiot shut up", "the paper"])) <= 0.5
+    monkeypatch.setattr(toxicity, "MAX_TERMS", 0)
+    with pytest.raises(ValueError):
+        toxicity.fit(documents, labels, terms)
