@@ -9,14 +9,22 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
+from citeloom.session import materialise
+
 K1, B = 1.2, 0.75
-#: Query vectors in one broadcast block.
-QUERY_BLOCK = 4096
+#: Postings a task holds in memory at a time (some 40 bytes each), and the margin of sums that round to six digits.
+BLOCK_POSTINGS, MARGIN = 8_000_000, 2e-6
+#: Document vectors of one product, and query vectors multiplied with them at a time.
+DENSE_ROWS, QUERY_SLICE = 20_000, 512
 
 
 def top_k(scored: DataFrame, k: int, by: tuple[str, ...] = ("qid",), order: list[Column] | None = None) -> DataFrame:
@@ -34,10 +42,7 @@ def postings(docs: DataFrame, tokens: dict[str, Column]) -> DataFrame:
 
 
 def weighted_postings(index: DataFrame, boosts: dict[str, float] | None = None) -> DataFrame:
-    """``term, docid, w``: BM25 weights, summed over fields with their boosts (exact document length).
-
-    The result is partitioned by document, so that scores of a document are summed where its postings are, without another shuffle.
-    """
+    """``term, docid, w``: BM25 weights, summed over fields with their boosts (exact document length). ``index`` is read three times."""
     lengths = index.select("field", "docid", "dl").distinct().groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     df = index.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
     rows = index.join(df, ["field", "term"]).join(F.broadcast(lengths), "field")
@@ -46,7 +51,7 @@ def weighted_postings(index: DataFrame, boosts: dict[str, float] | None = None)
     boost = F.lit(1.0)
     for name, value in (boosts or {}).items():
         boost = F.when(F.col("field") == name, F.lit(float(value))).otherwise(boost)
-    return rows.select("term", "docid", (boost * idf * tf).alias("w")).repartition("docid").groupBy("term", "docid").agg(F.sum("w").alias("w"))
+    return rows.select("term", "docid", (boost * idf * tf).alias("w")).groupBy("term", "docid").agg(F.sum("w").alias("w"))
 
 
 def query_terms(queries: DataFrame, tokens: Column, boost: float = 1.0) -> DataFrame:
@@ -55,10 +60,131 @@ def query_terms(queries: DataFrame, tokens: Column, boost: float = 1.0) -> DataF
     return terms.groupBy("qid", "term").agg((F.count(F.lit(1)) * F.lit(float(boost))).alias("qw"))
 
 
+class PostingBlock:
+    """Postings of a set of documents in memory; exact top k of a query without scoring every document that shares a term.
+
+    Terms are taken in descending order of the most they can add. Once the k-th best sum is more than what all terms left can add, only documents
+    that can still reach it are kept, and the terms left are looked up for them alone (the MaxScore rule).
+    """
+
+    def __init__(self, terms: np.ndarray, docs: np.ndarray, weights: np.ndarray, names: np.ndarray) -> None:
+        """``terms`` and ``docs`` are codes, ``names`` the documents in ascending order of their ids."""
+        order = np.lexsort((docs, terms))
+        self.docs, self.weights, self.names = docs[order], weights[order], names
+        sizes = np.bincount(terms) if len(terms) else np.zeros(1, dtype=np.int64)
+        self.start = np.r_[0, np.cumsum(sizes)]
+        filled = np.maximum.reduceat(self.weights, self.start[:-1][sizes > 0]) if len(terms) else np.empty(0)
+        self.most = np.zeros(len(sizes))
+        self.most[sizes > 0] = filled
+
+    def best(self, terms: np.ndarray, boosts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(document codes, rounded scores) of the k best; ties to the smaller document. Boosts are positive."""
+        bound = self.most[terms] * boosts
+        order = np.argsort(-bound, kind="stable")
+        terms, boosts = terms[order], boosts[order]
+        left = np.r_[np.cumsum(bound[order][::-1])[::-1], 0.0]
+        volume = np.r_[np.cumsum((self.start[terms + 1] - self.start[terms])[::-1])[::-1], 0]
+        sums = np.zeros(len(self.names))
+        found = None
+        for i, (t, q) in enumerate(zip(terms, boosts)):
+            # Looking for the k-th best costs a pass over the documents: worth it where more postings are left.
+            if i and volume[i] > len(sums) > k:
+                floor = np.partition(sums, -k)[-k]
+                if floor > left[i] + MARGIN:
+                    found = np.nonzero(sums + left[i] + MARGIN >= floor)[0]
+                    break
+            a, b = self.start[t], self.start[t + 1]
+            sums[self.docs[a:b]] += q * self.weights[a:b]
+        if found is None:
+            found = np.nonzero(sums)[0]
+            scores = sums[found]
+        else:
+            scores = sums[found]
+            for t, q in zip(terms[i:], boosts[i:]):
+                own = self.docs[self.start[t] : self.start[t + 1]]
+                at = np.minimum(np.searchsorted(own, found), len(own) - 1)
+                scores += np.where(own[at] == found, q * self.weights[self.start[t] + at], 0.0)
+        scores = np.round(scores, 6)
+        if len(found) > k:
+            floor = np.partition(scores, -k)[-k]
+            found, scores = found[scores >= floor], scores[scores >= floor]
+        order = np.lexsort((found, -scores))[:k]
+        return found[order], scores[order]
+
+
+def _read_block(path: str, columns: list[str]) -> pa.Table:
+    """Columns of one file of the shared folder."""
+    system, inner = fs.FileSystem.from_uri(path if "://" in path else path.replace("file:/", "file:///", 1))
+    with system.open_input_file(inner) as f:
+        return pq.read_table(f, columns=columns)
+
+
+def _scored_block(columns: list[tuple], vocabulary: dict[str, int], files: list[str], k: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    ids = pa.chunked_array([c[1] for c in columns]).dictionary_encode().combine_chunks()
+    names = ids.dictionary.sort()
+    place = np.empty(len(names), dtype=np.int64)
+    place[pc.index_in(names, ids.dictionary).to_numpy(zero_copy_only=False)] = np.arange(len(names))
+    rank = np.argsort(place)
+    docs = rank[ids.indices.to_numpy(zero_copy_only=False)]
+    block = PostingBlock(np.concatenate([c[0] for c in columns]), docs, np.concatenate([c[2] for c in columns]), names.to_numpy(zero_copy_only=False))
+    known = pa.array(list(vocabulary))
+    for path in files:
+        queries = _read_block(path, ["qid", "term", "qw"]).sort_by("qid").combine_chunks()
+        codes = pc.fill_null(pc.index_in(queries["term"], known), -1).to_numpy()
+        keep = np.nonzero((codes >= 0) & (codes < len(block.most)) & (queries["qw"].to_numpy() > 0))[0]
+        keep = keep[block.most[codes[keep]] > 0]
+        qid = queries["qid"].take(pa.array(keep))
+        codes, boosts = codes[keep], queries["qw"].to_numpy()[keep]
+        first = np.r_[0, np.nonzero(~pc.equal(qid[1:], qid[:-1]).to_numpy())[0] + 1, len(keep)] if len(keep) else np.zeros(1, dtype=np.int64)
+        owners, found, scores = [], [], []
+        for a, b in zip(first[:-1], first[1:]):
+            docs, points = block.best(codes[a:b], boosts[a:b], k)
+            owners.append(np.full(len(docs), a))
+            found.append(docs)
+            scores.append(points)
+        if owners:
+            table = pa.table([qid.take(pa.array(np.concatenate(owners))), names.take(pa.array(np.concatenate(found))), pa.array(np.concatenate(scores))], schema=schema)
+            yield from table.to_batches()
+
+
 def bm25(terms: DataFrame, weights: DataFrame, k: int) -> DataFrame:
-    """Top k documents of each query; scores rounded to six digits before ranking."""
-    scored = terms.join(weights, "term").groupBy("qid", "docid").agg(F.round(F.sum(F.col("qw") * F.col("w")), 6).alias("score"))
-    return top_k(scored, k)
+    """Top k documents of each query, exact; scores rounded to six digits before ranking. Boosts must be positive.
+
+    Query terms are written once, whole queries to a file of bounded size (AQE's advisory size). Postings of terms that some query has are
+    hash-partitioned by document; each task holds its postings in memory, ``BLOCK_POSTINGS`` at a time, reads the query files one
+    after the other and gives the k best of each query. Only these shuffle again.
+    """
+    spark = weights.sparkSession
+    asked = materialise(terms.select("qid", "term", F.col("qw").cast("double").alias("qw")).filter("qid IS NOT NULL AND term IS NOT NULL").repartition("qid"), "terms")
+    files = asked.inputFiles()
+    kinds = asked.schema["qid"].dataType.simpleString(), weights.schema["docid"].dataType.simpleString()
+    schema = to_arrow_schema(asked.sparkSession.createDataFrame([], f"qid {kinds[0]}, docid {kinds[1]}, score double").schema)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary: dict[str, int] = {}
+        held: list[tuple] = []
+        size = 0
+        for batch in batches:
+            coded = batch.column("term").dictionary_encode()
+            codes = np.array([vocabulary.setdefault(t, len(vocabulary)) for t in coded.dictionary.to_pylist()], dtype=np.int64)
+            part = codes[coded.indices.to_numpy()], batch.column("docid"), batch.column("w").to_numpy()
+            if size >= BLOCK_POSTINGS:
+                # A block ends with a whole document; rows come sorted by document.
+                own = pc.sum(pc.equal(part[1], held[-1][1][len(held[-1][1]) - 1])).as_py() or 0
+                if own < len(part[1]):
+                    held.append(tuple(x[:own] for x in part))
+                    yield from _scored_block(held, vocabulary, files, k, schema)
+                    held, size, part = [], 0, tuple(x[own:] for x in part)
+            if len(part[1]):
+                held.append(part)
+                size += len(part[1])
+        if held:
+            yield from _scored_block(held, vocabulary, files, k, schema)
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    wanted = weights.select("docid", "term", "w").join(asked.select("term").distinct(), "term", "left_semi")
+    found = wanted.select("docid", "term", "w").repartition(parts, "docid").sortWithinPartitions("docid").mapInArrow(scan, f"qid {kinds[0]}, docid {kinds[1]}, score double")
+    return top_k(found, k)
 
 
 def merged_terms(*parts: DataFrame) -> DataFrame:
@@ -82,43 +208,76 @@ def dot(a: str | Column, b: str | Column) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, e: s + e)
 
 
+def _vectors_of(column: pa.Array | pa.ChunkedArray, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(positions of the usable vectors, their rows as double): not null, without null values, of one length."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    sizes = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False)
+    width = int(sizes.max(initial=0)) if width is None else width
+    fits = sizes == width
+    if width > 0 and column.flatten().null_count:
+        owner = pc.list_parent_indices(column).to_numpy(zero_copy_only=False)
+        fits[owner[pc.is_null(column.flatten()).to_numpy(zero_copy_only=False)]] = False
+    at = np.nonzero(fits)[0] if width > 0 else np.empty(0, dtype=np.int64)
+    return at, column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), max(width, 1))
+
+
+def _best_rows(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k largest finite values of each row; ties to the smaller column."""
+    if scores.shape[1] > k:
+        rows, cols = np.nonzero(scores >= np.partition(scores, -k, axis=1)[:, -k, None])
+    else:
+        rows, cols = np.nonzero(np.ones_like(scores, dtype=bool))
+    value = scores[rows, cols]
+    keep = np.isfinite(value)
+    rows, cols, value = rows[keep], cols[keep], value[keep]
+    order = np.lexsort((cols, -value, rows))
+    rows, cols = rows[order], cols[order]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    return rows[place < k], cols[place < k]
+
+
 def dense_top_k(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """Exact inner-product search: ``queries(qid, v)`` against ``docs(docid, v)``; a document isn't its own answer.
 
-    Query blocks of at most ``QUERY_BLOCK`` vectors are broadcast in turn; each document batch is multiplied with the block and gives
-    only its k best per query, so no pair of the product is materialised.
+    Query vectors are written once, in files of bounded size. Each task takes ``DENSE_ROWS`` documents at a time, multiplies them with the query files, a
+    slice of queries after the other, and gives only the k best of each query, so no pair of the product is materialised and no vector
+    passes through the driver. Null vectors, vectors with null values and vectors of another length than most take no part.
     """
-    schema = f"qid {queries.schema['qid'].dataType.simpleString()}, docid {docs.schema['docid'].dataType.simpleString()}, score double"
-    rows = queries.select("qid", "v").filter("v IS NOT NULL").toLocalIterator()
-    out, block = None, []
-
-    def search(block: list) -> DataFrame:
-        shared = docs.sparkSession.sparkContext.broadcast(([r.qid for r in block], np.array([r.v for r in block], dtype=np.float64)))
-
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, q = shared.value
-            for batch in batches:
-                batch = batch[batch["v"].notna()]
-                if not len(batch):
-                    continue
-                names = batch["docid"].to_numpy()
-                s = np.round(q @ np.array(batch["v"].tolist(), dtype=np.float64).T, 6)
-                for i, qid in enumerate(ids):
-                    others = np.nonzero(names != qid)[0]
-                    best = others[np.lexsort((names[others], -s[i, others]))[:k]]
-                    yield pd.DataFrame({"qid": qid, "docid": names[best], "score": s[i, best]})
-
-        return docs.select("docid", "v").mapInPandas(scan, schema)
-
-    for r in rows:
-        block.append(r)
-        if len(block) == QUERY_BLOCK:
-            part, block = search(block), []
-            out = part if out is None else out.unionByName(part)
-    if block or out is None:
-        part = search(block) if block else docs.sparkSession.createDataFrame([], schema)
-        out = part if out is None else out.unionByName(part)
-    return top_k(out, k)
+    kinds = queries.schema["qid"].dataType.simpleString(), docs.schema["docid"].dataType.simpleString()
+    schema = f"qid {kinds[0]}, docid {kinds[1]}, score double"
+    asked = materialise(queries.select("qid", "v").filter("qid IS NOT NULL AND v IS NOT NULL").repartition("qid"), "vectors")
+    files = asked.inputFiles()
+    made = to_arrow_schema(asked.sparkSession.createDataFrame([], schema).schema)
+
+    def score(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held).sort_by("docid")
+        at, d = _vectors_of(rows["v"])
+        names = rows["docid"].combine_chunks().take(pa.array(at))
+        coded = names.dictionary_encode()
+        own = coded.indices.to_numpy(zero_copy_only=False)
+        for path in files:
+            block = _read_block(path, ["qid", "v"])
+            q_at, q = _vectors_of(block["v"], d.shape[1])
+            qids = block["qid"].combine_chunks().take(pa.array(q_at))
+            same = pc.fill_null(pc.index_in(qids.cast(names.type), coded.dictionary), -1).to_numpy(zero_copy_only=False)
+            for a in range(0, len(q), QUERY_SLICE):
+                s = np.round(q[a : a + QUERY_SLICE] @ d.T, 6)
+                s[same[a : a + QUERY_SLICE, None] == own[None, :]] = -np.inf
+                r, c = _best_rows(s, k)
+                yield from pa.table([qids.take(pa.array(a + r)), names.take(pa.array(c)), pa.array(s[r, c])], schema=made).to_batches()
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(map(len, held)) >= DENSE_ROWS:
+                yield from score(held)
+                held = []
+        if sum(map(len, held)):
+            yield from score(held)
+
+    return top_k(docs.select("docid", "v").filter("docid IS NOT NULL AND v IS NOT NULL").mapInArrow(scan, schema), k)
 
 
 def max_sim(q: str | Column, d: str | Column) -> Column:
@@ -168,29 +327,27 @@ def rerank(
 ) -> DataFrame:
     """Rescore the first ``depth`` candidates of each query.
 
-    ``scorer`` adds ``new_score`` to ``qid, docid, rank, query_text, doc_text``. Candidates without text drop out. Where a query has no text or no
-    candidate has one, ``missing`` decides: ``first_stage`` keeps the first-stage order, ``omit`` leaves the query out.
+    ``scorer`` adds ``new_score`` to ``qid, docid, first_rank, query_text, doc_text`` and whatever other columns ``queries`` and ``docs`` bring, such as token
+    lists made once a text. Candidates without text drop out. Where a query has no text or no candidate has one, ``missing`` decides:
+    ``first_stage`` keeps the first-stage order, ``omit`` leaves the query out.
     """
     pool = run.filter(F.col("rank") <= depth).select("qid", "docid", F.col("rank").alias("first_rank"))
-    pairs = pool.join(queries.select("qid", F.col("text").alias("query_text")), "qid").join(docs.select("docid", "doc_text"), "docid")
-    scored = scorer(pairs.filter("query_text IS NOT NULL AND doc_text IS NOT NULL"))
+    asked = queries.withColumnRenamed("text", "query_text").filter("query_text IS NOT NULL")
+    pairs = pool.join(asked, "qid").join(docs.filter("doc_text IS NOT NULL"), "docid")
+    scored = scorer(pairs)
     order = Window.partitionBy("qid").orderBy(F.desc("new_score"), "first_rank")
     out = scored.withColumn("rank", F.row_number().over(order)).select("qid", "docid", "first_rank", "new_score", "rank")
     if missing == "first_stage":
-        left = run.join(scored.select("qid").distinct(), "qid", "left_anti")
+        left = run.join(pairs.select("qid").distinct(), "qid", "left_anti")
         out = out.unionByName(left.select("qid", "docid", F.col("rank").alias("first_rank"), F.lit(None).cast("double").alias("new_score"), "rank"))
     return out if keep is None else out.filter(F.col("rank") <= keep)
 
 
-def overlap_scorer(tokens: Callable[[str], Column]) -> Callable[[DataFrame], DataFrame]:
-    """A deterministic stand-in for a neural scorer: share of the query's distinct terms in the document."""
-
-    def score(pairs: DataFrame) -> DataFrame:
-        q, d = F.array_distinct(tokens("query_text")), tokens("doc_text")
-        share = F.when(F.size(q) > 0, F.size(F.array_intersect(q, d)) / F.size(q)).otherwise(0.0)
-        return pairs.withColumn("new_score", F.round(share, 6))
-
-    return score
+def overlap_score(pairs: DataFrame) -> DataFrame:
+    """A deterministic stand-in for a neural scorer: share of the query's distinct terms (``query_terms``) in the document (``doc_terms``)."""
+    size = F.size("query_terms")
+    share = F.when(size > 0, F.size(F.array_intersect("query_terms", "doc_terms")) / size).otherwise(0.0)
+    return pairs.withColumn("new_score", F.round(share, 6))
 
 
 def ltr_features(candidates: DataFrame, signals: tuple[str, ...] = ("dense", "sparse", "late")) -> DataFrame:

@@ -52,9 +52,11 @@ def translated(spark: SparkSession, d: str) -> DataFrame:
     return P.translate_missing(rows, cache, lambda: lambda texts: ["Translation: " + t.upper() for t in texts])
 
 
-@query("SELECT DISTINCT run_id, qid, docid, run_rank, score, run_at, loaded_at FROM run_entry")
+@query("SELECT DISTINCT run_id, qid, docid, run_rank, CASE WHEN NOT isnan(score) THEN score END AS score, run_at, loaded_at FROM run_entry")
 def stream_intake(spark: SparkSession, d: str) -> DataFrame:
-    return intake.take_in(spark, f"{d}/run_entry.parq*et")
+    """Deliveries taken in once each; a score that isn't a number counts as missing."""
+    rows = intake.take_in(spark, f"{d}/run_entry.parq*et")
+    return rows.withColumn("score", F.when(~F.isnan("score"), F.col("score"))).distinct()
 
 
 @query("""SELECT date_trunc('hour', run_at) AS hour, run_id, CAST(count(*) AS BIGINT) AS rows, round(avg(epoch(date_trunc('second', loaded_at)) - epoch(date_trunc('second', run_at))), 3) AS delay

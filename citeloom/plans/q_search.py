@@ -21,7 +21,7 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
 
 def _index(spark: SparkSession, d: str) -> DataFrame:
     none = F.lit("")
-    return R.postings(_docs(spark, d), {c: T.tokenize_sparse(F.coalesce(c, none)) for c in ("title", "abstract")})
+    return materialise(R.postings(_docs(spark, d), {c: T.tokenize_sparse(F.coalesce(c, none)) for c in ("title", "abstract")}), "postings")
 
 
 INDEX = f"""{S.CORPUS}, docs AS (SELECT pubkey AS docid, 'title' AS field, {S.tok_sparse("coalesce(title, '')")} AS tokens FROM corpus
@@ -49,8 +49,12 @@ def _terms_sql(name: str, tokens: str, source: str = "topics", boost: float = 1.
 BM25 = f"{_weights(2.0)}, {S.TOPICS}, {_terms_sql('terms', S.tok_sparse('text'))}, {_search('bm', 'terms', 100)}"
 
 
-def bm25_run(spark: SparkSession, d: str, k: int = 100) -> DataFrame:
-    weights = R.weighted_postings(_index(spark, d), {"title": 2.0})
+def _weighted(spark: SparkSession, d: str, title: float = 2.0) -> DataFrame:
+    return materialise(R.weighted_postings(_index(spark, d), {"title": title}), "weights")
+
+
+def bm25_run(spark: SparkSession, d: str, k: int = 100, weights: DataFrame | None = None) -> DataFrame:
+    weights = R.weighted_postings(_index(spark, d), {"title": 2.0}) if weights is None else weights
     return R.bm25(R.query_terms(base.topics(spark, d), T.tokenize_sparse("text")), weights, k)
 
 
@@ -316,7 +320,10 @@ def corpus_semi(spark: SparkSession, d: str) -> DataFrame:
 
 def _reranked(spark: SparkSession, d: str, keep: int | None, missing: str = "first_stage") -> DataFrame:
     run, queries, docs = _first(spark, d)
-    return R.rerank(run, queries, docs, R.overlap_scorer(T.tokenize_sparse), 100, keep, missing)
+    # Tokenised once a text, not once a pair; written, so that the optimiser can't move it behind the join.
+    queries = queries.withColumn("query_terms", F.array_distinct(T.tokenize_sparse("text")))
+    docs = materialise(docs.withColumn("doc_terms", F.array_distinct(T.tokenize_sparse("doc_text"))), "doc_terms")
+    return R.rerank(run, queries, docs, R.overlap_score, 100, keep, missing)
 
 
 @query(f"WITH {RERANK} SELECT * FROM (SELECT * FROM again UNION ALL SELECT * FROM kept) WHERE rank <= 20")
@@ -367,30 +374,32 @@ def _feedback(spark: SparkSession, d: str, run: DataFrame) -> DataFrame:
 
 @query(f"WITH {PRF} SELECT qid, docid, CAST(rank AS INTEGER) AS rank FROM bm WHERE rank <= 5")
 def prf_pass1(spark: SparkSession, d: str) -> DataFrame:
-    return bm25_run(spark, d).filter("rank <= 5").select("qid", "docid", "rank")
+    return bm25_run(spark, d, 5).select("qid", "docid", "rank")
 
 
 @query(f"WITH {PRF} SELECT qid, term, CAST(freq AS BIGINT) AS freq, CAST(pos AS INTEGER) AS pos FROM fb")
 def prf_terms(spark: SparkSession, d: str) -> DataFrame:
-    return _feedback(spark, d, bm25_run(spark, d))
+    return _feedback(spark, d, bm25_run(spark, d, 5))
 
 
-def _second_pass(spark: SparkSession, d: str, first: DataFrame) -> DataFrame:
+def _second_pass(spark: SparkSession, d: str, first: DataFrame, weights: DataFrame) -> DataFrame:
     own = R.query_terms(base.topics(spark, d), T.tokenize_sparse("text"))
     extra = _feedback(spark, d, first).select("qid", "term", F.lit(1.0).alias("qw"))
-    return R.bm25(R.merged_terms(own, extra), R.weighted_postings(_index(spark, d), {"title": 2.0}), 100)
+    return R.bm25(R.merged_terms(own, extra), weights, 100)
 
 
 @query(f"WITH {PRF} SELECT qid, docid, score, CAST(rank AS INTEGER) AS rank FROM bm2")
 def prf_two_pass(spark: SparkSession, d: str) -> DataFrame:
-    return _second_pass(spark, d, bm25_run(spark, d))
+    weights = _weighted(spark, d)
+    return _second_pass(spark, d, bm25_run(spark, d, 5, weights), weights)
 
 
 @query(f"""WITH {PRF}, u AS (SELECT qid, docid, min(p * 1000 + rank) AS seen_at FROM (SELECT qid, docid, 0 AS p, rank FROM bm UNION ALL SELECT qid, docid, 1, rank FROM bm2) GROUP BY qid, docid)
     SELECT * FROM (SELECT qid, docid, CAST(row_number() OVER (PARTITION BY qid ORDER BY seen_at) AS INTEGER) AS rank FROM u) WHERE rank <= 120""")
 def prf_hybrid_merge(spark: SparkSession, d: str) -> DataFrame:
-    first = materialise(bm25_run(spark, d), "first")
-    return R.ordered_union(first, _second_pass(spark, d, first), 120)
+    weights = _weighted(spark, d)
+    first = materialise(bm25_run(spark, d, weights=weights), "first")
+    return R.ordered_union(first, _second_pass(spark, d, first, weights), 120)
 
 
 PRESETS = {
@@ -427,7 +436,7 @@ NEIGHBOURS = f"""{BM25}, near AS (SELECT qid, docid, rank, score / max(score) OV
 
 def _neighbour_terms(spark: SparkSession, d: str) -> DataFrame:
     """Terms of the five nearest papers, each counted ``max(1, bround(5 s))`` times; 30 most frequent, own terms out, first 15."""
-    near = bm25_run(spark, d).filter("rank <= 5").withColumn("s", F.col("score") / F.max("score").over(Window.partitionBy("qid")))
+    near = bm25_run(spark, d, 5).withColumn("s", F.col("score") / F.max("score").over(Window.partitionBy("qid")))
     tokens = _docs(spark, d).select("docid", F.posexplode(T.tokenize_expansion("doc_text")).alias("at", "term"))
     pool = near.select("qid", "docid", "rank", F.greatest(F.lit(1.0), F.bround(5 * F.col("s"), 0)).alias("times")).join(tokens, "docid")
     counted = pool.groupBy("qid", "term").agg(F.sum("times").alias("n"), F.min(F.struct("rank", "at")).alias("seen"))
@@ -460,7 +469,7 @@ def assemble_expansion(spark: SparkSession, d: str) -> DataFrame:
     SELECT * FROM (SELECT qid, term, CAST(row_number() OVER (PARTITION BY qid ORDER BY seen) AS INTEGER) AS pos FROM w) WHERE pos <= 15""")
 def neighbor_expansion_simple(spark: SparkSession, d: str) -> DataFrame:
     """First 15 distinct words of the five nearest papers."""
-    near = bm25_run(spark, d).filter("rank <= 5").select("qid", "docid", "rank")
+    near = bm25_run(spark, d, 5).select("qid", "docid", "rank")
     words = _docs(spark, d).select("docid", F.posexplode(F.split("doc_text", " ")).alias("at", "term"))
     first = near.join(words, "docid").groupBy("qid", "term").agg(F.min(F.struct("rank", "at")).alias("seen"))
     return first.withColumn("pos", F.row_number().over(Window.partitionBy("qid").orderBy("seen"))).filter("pos <= 15").select("qid", "term", "pos")

@@ -14,20 +14,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder all executors share, from ``spark.checkpoint.dir``.
+
+    Where that is unset, a local session (one machine) gets a temporary folder; a cluster gets an error, as a folder of one machine would lose data.
+    """
     sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    held = sc._jsc.sc().getCheckpointDir()
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or (held.get() if held.isDefined() else None)
     if not path:
-        held = sc._jsc.sc().getCheckpointDir()
-        path = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="citeloom-")
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        path = f"file://{tempfile.mkdtemp(prefix='citeloom-')}"
+    if not held.isDefined():
         sc.setCheckpointDir(path)
     return path
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/citeloom/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder for one intermediate table."""
-    return f"{shared_dir(spark)}/citeloom/{label}-{uuid.uuid4().hex}"
+    return f"{_own_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -35,4 +44,10 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables; DataFrames that read them must be done with."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -2,6 +2,7 @@
 
 import math
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,10 +16,12 @@ from citeloom.sources import runs
 DATA = "/root/testdata/sf0.001"
 
 
+def hash_of(text):
+    return sum(ord(c) * 31**i for i, c in enumerate(text))
+
+
 def plain(v):
-    if isinstance(v, float):
-        return "nan" if math.isnan(v) else round(v, 5) + 0.0
-    return v
+    return round(v, 5) + 0.0 if isinstance(v, float) else v
 
 
 @pytest.fixture(scope="module")
@@ -140,6 +143,61 @@ def test_retrieval_edges(spark):
         retrieval.hybrid(one, (0.0, 0.0, 0.0), 5)
 
 
+def test_bm25_against_brute_force(spark, monkeypatch):
+    rng = random.Random(3)
+    # Skewed terms, equal documents (ties), a query without known terms.
+    docs = [(f"d{i:03}", [f"t{int(rng.random() ** 3 * 60)}" for _ in range(rng.randrange(1, 30))]) for i in range(300)]
+    docs += [(f"e{i}", docs[i][1]) for i in range(40)]
+    weights = [(d, t, round(0.1 + (hash_of(t) % 97) / 30 + ts.count(t) / 7, 3)) for d, ts in docs for t in set(ts)]
+    terms = [(q, f"t{int(rng.random() ** 2 * 62)}", rng.choice([1.0, 2.0, 0.5])) for q in range(30) for _ in range(rng.randrange(1, 9))] + [(99, "unknown", 1.0)]
+    terms = sorted({(q, t): (q, t, b) for q, t, b in terms}.values())
+    scores = {}
+    for q, t, b in terms:
+        for d, t2, w in weights:
+            if t == t2:
+                scores[q, d] = scores.get((q, d), 0.0) + b * w
+    want = set()
+    for q in {q for q, _ in scores}:
+        best = sorted((-round(s, 6), d) for (q2, d), s in scores.items() if q2 == q)[:7]
+        want |= {(q, d, -s, i) for i, (s, d) in enumerate(best, 1)}
+    asked, known = spark.createDataFrame(terms, "qid long, term string, qw double"), spark.createDataFrame(weights, "docid string, term string, w double")
+    for size in (retrieval.BLOCK_POSTINGS, 200):
+        monkeypatch.setattr(retrieval, "BLOCK_POSTINGS", size)
+        got = {(r.qid, r.docid, round(r.score, 6), r["rank"]) for r in retrieval.bm25(asked, known, 7).collect()}
+        assert got == want
+    assert retrieval.bm25(asked.limit(0), known, 7).count() == retrieval.bm25(asked, known.limit(0), 7).count() == 0
+
+
+def test_dense_search_against_brute_force(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(i, [float(rng.randrange(-2, 3)) for _ in range(4)]) for i in range(200)] + [(900, None), (901, [1.0, None, 0.0, 0.0]), (902, [1.0])]
+    docs = spark.createDataFrame(rows, "docid long, v array<double>")
+    usable = {i: v for i, v in rows if v and len(v) == 4 and None not in v}
+    want = set()
+    for q in range(0, 200, 9):
+        best = sorted((-sum(a * b for a, b in zip(usable[q], v)), i) for i, v in usable.items() if i != q)[:6]
+        want |= {(q, i, -s, k) for k, (s, i) in enumerate(best, 1)}
+    for size in (retrieval.DENSE_ROWS, 30):
+        monkeypatch.setattr(retrieval, "DENSE_ROWS", size)
+        found = retrieval.dense_top_k(docs.filter("docid % 9 = 0 AND docid < 200").withColumnRenamed("docid", "qid"), docs.repartition(3), 6)
+        assert {(r.qid, r.docid, r.score, r["rank"]) for r in found.collect()} == want
+
+
+def test_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from citeloom import session
+
+    kept = session.materialise(spark.range(3), "kept")
+    assert kept.count() == 3
+    none = SimpleNamespace(isDefined=lambda: False)
+    remote = SimpleNamespace(master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: none)), getConf=lambda: SimpleNamespace(get=lambda *a: None))
+    with pytest.raises(RuntimeError):
+        session.shared_dir(SimpleNamespace(sparkContext=remote, conf=SimpleNamespace(get=lambda *a: None)))
+    session.clear_scratch(spark)
+    assert not os.path.exists(session._own_dir(spark).removeprefix("file://"))
+
+
 def test_positions_and_interleaving(spark):
     df = spark.range(0, 5000, 1, 7).select((F.col("id") * 37 % 5003).alias("x"))
     rows = sorted((r.x, r.position) for r in ordering.global_position(df, ["x"]).collect())
