@@ -32,7 +32,7 @@ def test_word_edit_distance(a, b, limit):
 
 def test_overlap_matches_brute_force(spark):
     rng = random.Random(5)
-    texts = [[rng.choice(WORDS) for _ in range(rng.choice([3, 6, 7, 8, 14, 15, 16, 17, 24, 40]))] for _ in range(60)]
+    texts = [[rng.choice(WORDS) for _ in range(rng.choice([3, 6, 7, 8, 14, 15, 16, 17, 24, 40, 56, 57, 80]))] for _ in range(60)]
 
     def changed(words):
         out = list(words)
@@ -49,6 +49,35 @@ def test_overlap_matches_brute_force(spark):
     assert {(r.train_id, r.eval_id) for r in got} == true and len(got) == len(true) > 50
 
 
+def test_every_allowed_pair_shares_a_hash():
+    rng = random.Random(12)
+    for _ in range(1500):
+        n = rng.choice([7, 8, 9, 13, 14, 15, 16, 20, 21, 23, 24, 31, 32, 40, 48, 54, 55, 56, 57, 58, 63, 64, 65, 100, 150])
+        a = [rng.randrange(50) for _ in range(n)]
+        b = list(a)
+        for _ in range(n // 7):
+            if len(b) > 1:
+                at = rng.randrange(len(b))
+                rng.choice([lambda: b.__setitem__(at, 99), lambda: b.insert(at, 98), lambda: b.pop(at)])()
+        most = max(len(a), len(b)) // 8
+        if edits(a, b) > most or min(len(a), len(b)) < 7:
+            continue
+        keys = [{(int(g[0]), p) for g, p in overlap._keys_of(np.array([[x * 7919 + 13 for x in t]], dtype=np.uint64), kind)} for t, kind in ((a, True), (b, False))]
+        assert any(g == h and abs(p - q) <= most for g, p in keys[0] for h, q in keys[1] if g == h), (a, b)
+
+
+def test_copies_stay_classes(spark):
+    schema = "qid long, text string, split string, source string"
+    text = "the quick brown fox jumps over the lazy dog and runs away"
+    train = spark.createDataFrame([(i, text, "", "") for i in range(300)] + [(400, text.replace("lazy", "sleepy"), "", "")], schema)
+    held = spark.createDataFrame([(1000 + i, text, "dev", "s") for i in range(200)] + [(2000, "other words", "dev", "s")], schema)
+    links, t, e = overlap.class_links(train, held)
+    assert links.count() == 2 and t.count() == 301 and e.count() == 201
+    report = overlap.overlap_report(train, held).collect()
+    assert [(r.records, r.overlapping, r.pairs) for r in report] == [(201, 200, 200 * 301)]
+    assert overlap.word_edit_distance(["w"] * 9000 + ["x"], ["y"] + ["w"] * 9000, 1200) == 2
+
+
 def test_overlap_edge_cases(spark):
     schema = "qid long, text string, w string, c string"
     train = spark.createDataFrame([(1, "Same Words &amp; more!", "x", "y"), (1, "Same Words &amp; more!", "x", "y"), (2, None, "", ""), (3, "", "", ""), (None, "same words more", "", ""), (4, "🙂 https://a.example", "", "")], schema)
