@@ -97,7 +97,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_report(spark: SparkSession, d: str) -> DataFrame:
-    leaks = _leaks(spark, d).join(F.broadcast(table(spark, d, "heldout_items").select("item_id", "split").distinct()), "item_id")
+    leaks = _leaks(spark, d).join(table(spark, d, "heldout_items").select("item_id", "split").distinct(), "item_id")
     return leaks.groupBy("split").agg(F.countDistinct("doc_id").alias("documents"), F.countDistinct("item_id").alias("items"))
 
 

@@ -189,26 +189,48 @@ def test_leaks(spark):
     assert leakage.leaked_passages(corpus, held.limit(0)).count() == leakage.leaked_passages(corpus.limit(0), held).count() == 0
 
 
-def test_leaks_in_several_blocks(spark, monkeypatch):
+def test_leaks_in_several_indexes_and_lengths(spark, monkeypatch):
     rng = random.Random(9)
-    items = [item(rng) for _ in range(12)]
-    corpus = spark.createDataFrame([(k, " ".join(item(rng, 300) + w)) for k, w in enumerate(items)], "doc_id long, text string")
+    items = [item(rng, rng.choice([9, 20, 60, 400])) for _ in range(16)]
+    corpus = spark.createDataFrame([(k, " ".join(item(rng, 300) + w)) for k, w in enumerate(items)], "doc_id long, text string").repartition(2)
     held = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
     monkeypatch.setattr(leakage, "BLOCK_WORDS", 200)
-    assert {(r.doc_id, r.item_id) for r in leakage.leaked_passages(corpus, held).collect()} == {(k, k) for k in range(12)}
+    for size in (leakage.HELD_BYTES, 0):
+        monkeypatch.setattr(leakage, "HELD_BYTES", size)
+        got = {(r.doc_id, r.item_id) for r in leakage.leaked_passages(corpus, held).collect()}
+        assert got >= {(k, k) for k in range(16)}
+        words = {k: text.plain_words(r.text) for k, r in enumerate(corpus.orderBy("doc_id").collect())}
+        # What else is found really holds half of a short item.
+        assert all(d == i or len(items[i]) < 30 for d, i in got) and len(words) == 16
 
 
-def test_block_bound_never_loses_an_item():
+def test_least_half_against_brute_force():
+    rng = random.Random(4)
+    for n in (3, 8, 21, 60):
+        words = item(rng, n)
+        weight = {w: rng.random() for w in words}
+        half, lost = leakage.half_of(n), leakage.half_of(n) // 10 + 1 if n >= leakage.LEAST_WORDS else 0
+        windows = [sorted((weight[t] for t in set(words[a : a + half])), reverse=True) for a in range(n - half + 1)]
+        want = min(sum(own[lost:]) if len(own) > lost else own[-1] for own in windows)
+        assert leakage.least_half(words, weight) == pytest.approx(want, abs=1e-6)
+
+
+def test_block_bound_never_loses_an_item(monkeypatch):
     rng = random.Random(2)
     items = [item(rng) for _ in range(50)]
     index = leakage.ItemIndex(list(enumerate(items)))
-    for k in range(50):
-        own = index.ids.index(k)
-        half = items[k][:30]
-        terms = leakage.np.array(sorted({index.term[t] for t in half}))
-        at = index._gather(terms, index.start)
-        score = leakage.np.bincount(index.item[at], index.weight[at], minlength=50)
-        assert set(leakage.np.nonzero(score >= 1)[0].tolist()) == set(index.above_threshold(terms).tolist()) and own in index.above_threshold(terms)
+    texts = [items[k][:30] for k in range(50)] + [item(rng, 200) + items[7] for _ in range(9)] + [[], ["unknown"]]
+    want = set()
+    for d, words in enumerate(texts):
+        for a in range(0, max(1, len(words) - index.span), index.span):
+            score = [0.0] * 50
+            for t in {w for w in words[a : a + 2 * index.span] if w in index.term}:
+                for p in range(index.start[index.term[t]], index.start[index.term[t] + 1]):
+                    score[index.item[p]] += index.weight[p]
+            want |= {(d, k) for k in range(50) if score[k] >= 1}
+    for cells in (leakage.CELLS, 100):
+        monkeypatch.setattr(leakage, "CELLS", cells)
+        assert set(index.candidates(texts)) == want and {(k, index.ids.index(k)) for k in range(50)} <= want
 
 
 def test_spelling_tricks():
