@@ -44,8 +44,8 @@ WORDS_PER_EDIT = 10
 LEAST_WORDS = 8
 #: Items in a posting block.
 POSTING_BLOCK = 8
-#: Words of items in one index, texts looked up together, and bytes of indexes that a task keeps in memory.
-BLOCK_WORDS, BATCH_ROWS, HELD_BYTES = 500_000, 20_000, 128 << 20
+#: Words of items in one index, texts gathered for a pass over all indexes, texts looked up together, and bytes of indexes that a task keeps in memory.
+BLOCK_WORDS, BATCH_ROWS, TOGETHER, HELD_BYTES = 500_000, 20_000, 2_000, 128 << 20
 #: Ratio of the item lengths that share an index, and sums held at a time.
 RANGE, CELLS = 4, 4_000_000
 SEED = 3
@@ -275,10 +275,11 @@ def leaked_passages(corpus: DataFrame, items: DataFrame, doc_id: str = "doc_id",
         def look_up(docs: list, texts: list[list[str]]) -> pd.DataFrame:
             out = []
             for index in held if held is not None else (x for path in files for x in _loaded(path)):
-                for at, k in index.candidates(texts):
-                    found = index.holds(texts[at], k)
-                    if found:
-                        out.append((docs[at], index.ids[k], *found))
+                for a in range(0, len(texts), TOGETHER):
+                    for at, k in index.candidates(texts[a : a + TOGETHER]):
+                        found = index.holds(texts[a + at], k)
+                        if found:
+                            out.append((docs[a + at], index.ids[k], *found))
             return pd.DataFrame(out, columns=["doc_id", "item_id", "matched", "differing"])
 
         docs: list = []

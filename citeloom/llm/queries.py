@@ -34,6 +34,13 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _pieces(spark, d)
 
 
+def p2_cover(spark: SparkSession, d: str) -> DataFrame:
+    """Per key: characters of its abstracts as its pieces cover them, and whether every piece keeps the limit."""
+    new = F.col("end_at") - F.col("start_at")
+    cut = _pieces(spark, d).groupBy("pubkey").agg(F.sum(new).alias("chars"), (F.max(F.char_length("piece")) <= 1500).alias("fits"))
+    return cut.select("pubkey", F.col("chars").cast("long").alias("chars"), "fits")
+
+
 def _top(spark: SparkSession, d: str) -> DataFrame:
     return topn.top_n_per_group(table(spark, d, "run_entry"), ["run_id", "qid"], "docid", "score", 5)
 
@@ -123,7 +130,7 @@ def queries() -> dict[str, Query]:
     return {
         f.__name__: f
         for f in (
-            p1_found, p1_report, p2_found, p2_pieces, p3_found, p3_lists, p4_found, p4_neighbours, p5_found, p5_segments,
+            p1_found, p1_report, p2_found, p2_pieces, p2_cover, p3_found, p3_lists, p4_found, p4_neighbours, p5_found, p5_segments,
             p6_found, p7_ids, p8_found, p8_report, p9_found, p9_scores, p9_rates,
         )
     }
@@ -138,6 +145,8 @@ _TOP = """
 def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": r"SELECT DISTINCT pubkey FROM collection_data WHERE pubkey IS NOT NULL AND length(regexp_replace(abstract, '^\s+|\s+$', '', 'g')) > 1500",
+        "p2_cover": r"""SELECT pubkey, CAST(sum(length(t)) AS BIGINT) AS chars, true AS fits FROM (SELECT pubkey, regexp_replace(abstract, '^\s+|\s+$', '', 'g') AS t FROM collection_data)
+            WHERE t <> '' GROUP BY pubkey""",
         "p3_found": f"SELECT run_id, qid, docid FROM ({_TOP}) WHERE r <= 5",
         "p3_lists": f"SELECT run_id, qid, '[' || string_agg(docid, ', ' ORDER BY r) || ']' AS preds FROM ({_TOP}) WHERE r <= 5 GROUP BY run_id, qid",
         "p4_found": """

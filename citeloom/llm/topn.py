@@ -19,14 +19,20 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from citeloom.session import scratch_path
 
 
+#: Bytes of input (as Catalyst estimates them) for one clustered file.
+FILE_BYTES = 512 << 20
+
+
 def item_order(item: str) -> list[Column]:
     """Ascending order of items as whole numbers, then as text."""
     number = F.expr(f"try_cast(`{item}` AS DECIMAL(38,0))")
@@ -41,7 +47,9 @@ def cluster_by_group(df: DataFrame, keys: list[str], item: str, score: str, row_
         F.col(score).isNotNull() & ~F.isnan(score) & F.col(item).isNotNull()
     )
     order = [*(F.col(k).asc() for k in keys), F.col(score).desc(), *item_order(item)]
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # By size, once that asks for more files than the session has shuffle partitions.
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    files = files or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
     (
         rows.repartitionByRange(files, *order)
         .sortWithinPartitions(*order)
@@ -73,7 +81,28 @@ def _row_groups(paths: list[str], keys: list[str], score: str) -> list[tuple[flo
     return sorted(found, key=lambda x: -x[0])
 
 
-def winners_of_files(paths: list[str], keys: list[str], item: str, score: str, n: int, seen: dict[str, int] | None = None) -> Iterator[pd.DataFrame]:
+def _codes(column: pa.ChunkedArray) -> np.ndarray:
+    """Numbers of the distinct values of a column, null being one of them."""
+    return column.combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+
+
+def _winners(rows: pa.Table, keys: list[str], item: str, n: int) -> pa.Table:
+    """The first ``n`` different items of each group of rows sorted by group and rank."""
+    if not len(rows):
+        return rows
+    new = np.zeros(len(rows), dtype=bool)
+    new[0] = True
+    for k in keys:
+        codes = _codes(rows[k])
+        new[1:] |= codes[1:] != codes[:-1]
+    group = np.cumsum(new) - 1
+    items = _codes(rows[item]).astype(np.int64)
+    first = np.sort(np.unique(group * (items.max() + 1) + items, return_index=True)[1])
+    place = np.arange(len(first)) - np.searchsorted(group[first], group[first])
+    return rows.take(pa.array(first[place < n]))
+
+
+def winners_of_files(paths: list[str], keys: list[str], item: str, score: str, n: int, seen: dict[str, int] | None = None) -> Iterator[pa.Table]:
     """Per-row-group winners of clustered files; ``seen`` counts row groups ``read`` and ``skipped``."""
     floor: dict[tuple, float] = {}
     seen = {} if seen is None else seen
@@ -82,13 +111,9 @@ def winners_of_files(paths: list[str], keys: list[str], item: str, score: str, n
             seen["skipped"] = seen.get("skipped", 0) + 1
             continue
         seen["read"] = seen.get("read", 0) + 1
-        rows = file.read_row_group(k, columns=[*keys, item, score]).to_pandas()
-        if rows.duplicated([*keys, item]).any():
-            rows = rows.drop_duplicates([*keys, item])
-        rank = rows.groupby(keys, sort=False, dropna=False).cumcount()
-        rows = rows[rank < n]
+        rows = _winners(file.read_row_group(k, columns=[*keys, item, score]), keys, item, n)
         if group is not None and len(rows) == n:
-            floor[group] = max(floor.get(group, float("-inf")), float(rows[score].iloc[-1]))
+            floor[group] = max(floor.get(group, float("-inf")), rows[score][n - 1].as_py())
         yield rows
 
 
@@ -96,13 +121,15 @@ def top_n_of_clusters(spark: SparkSession, path: str, keys: list[str], item: str
     """Top N of every group of a clustered table; adds ``rank`` (1-based)."""
     schema = spark.read.parquet(path).select(*keys, item, score).schema
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select("path")
+    kinds = to_arrow_schema(schema)
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        paths = [p if "://" in p else p.replace("file:/", "file:///", 1) for batch in batches for p in batch["path"]]
-        yield from winners_of_files(paths, keys, item, score, n)
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        paths = [p if "://" in p else p.replace("file:/", "file:///", 1) for batch in batches for p in batch.column("path").to_pylist()]
+        for rows in winners_of_files(paths, keys, item, score, n):
+            yield from rows.cast(kinds).to_batches()
 
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    winners = files.repartition(tasks, "path").mapInPandas(scan, schema).groupBy(*keys, item).agg(F.max(score).alias(score))
+    winners = files.repartition(tasks, "path").mapInArrow(scan, schema).groupBy(*keys, item).agg(F.max(score).alias(score))
     window = Window.partitionBy(*keys).orderBy(F.col(score).desc(), *item_order(item))
     return winners.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= n)
 

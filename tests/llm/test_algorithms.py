@@ -96,15 +96,57 @@ def test_overlap_of_a_very_long_text(spark):
     assert [(r.train_id, r.eval_id, r.edits) for r in got] == [(1, 2, 1)]
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.text(alphabet="ab .\n,;*-é", max_size=400), st.integers(12, 60), st.integers(0, 10))
+MARKUP = ["# ", "## ", "\n", "\n\n", "- ", "  - ", "1. ", "```\n", "| a | b |", "<p>", "</p>", "<ul><li>", "</li></ul>", "<h2>", "</h2>", "====", "word", "two words. ", "a:", "é", ";"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.one_of(st.text(alphabet="ab .\n,;*-é", max_size=400), st.lists(st.sampled_from(MARKUP), max_size=80).map("".join)), st.integers(12, 60), st.integers(0, 10))
 def test_pieces_cover_the_text(text, limit, overlap_by):
     stripped = text.strip()
     found = splitter.pieces(text, limit, overlap_by)
     assert "".join(stripped[a:b] for a, b, _ in found) == stripped
     for k, (a, b, piece) in enumerate(found):
-        assert len(piece) <= limit and piece == stripped[max(0, a - overlap_by if k else a) : b]
+        at = b - len(piece)
+        assert len(piece) <= limit and piece == stripped[at:b] and (a - overlap_by <= at <= a if k else at == a)
         assert k == 0 or a == found[k - 1][1]
+        # The overlap begins with a word, unless none begins in its reach.
+        assert at == 0 or stripped[at - 1].isspace() or not any(stripped[i - 1].isspace() and not stripped[i].isspace() for i in range(max(1, a - overlap_by), a))
+
+
+def heads(text, limit=200, overlap_by=0):
+    return [p for _, _, p in splitter.pieces(text, limit, overlap_by)]
+
+
+BODY = "This sentence has some forty characters. "
+
+
+def test_headings_stay_with_their_body():
+    for one, two in (("# One\n", "# Two\n"), ("One\n===\n", "Two\n===\n"), ("<h2>One</h2>", "<h2>Two</h2>")):
+        for n in range(1, 9):
+            got = heads(f"{one}{BODY * n}\n\n{two}{BODY * 3}")
+            assert sum(p.startswith(two.split("\n")[0]) or two.split("\n")[0] in p for p in got) == 1
+            holder = next(p for p in got if two.split("\n")[0] in p)
+            assert "This sentence" in holder[holder.index(two.split("\n")[0]) :]
+    # A heading over a heading keeps with the first words of the body, even of an oversized one.
+    got = heads("# Top\n\n## Sub\n\n" + BODY * 20)
+    assert got[0].startswith("# Top\n\n## Sub\n\nThis sentence") and all(len(p) <= 200 for p in got)
+    # Sections are cut before headings first: two small sections never share a piece with half of another.
+    text = "".join(f"## Part {i}\n{BODY * 2}\n" for i in range(6))
+    assert all(p.startswith("## Part") for p in heads(text))
+
+
+def test_lists_code_tables_and_html_are_nodes():
+    listed = "Some reasons are:\n" + "".join(f"- item {i} with a number of words in it\n  - deeper {i} one\n  - deeper {i} two\n" for i in range(6))
+    got = heads(listed)
+    assert got[0].startswith("Some reasons are:\n- item 0") and all(p.startswith("- item") for p in got[1:])
+    code = "Text before. " * 8 + "\n\n```\n" + "x = 1\n\n" * 8 + "```\n\n" + "Text behind. " * 9
+    assert any("```\n" + "x = 1\n\n" * 8 + "```" in p for p in heads(code))
+    table = "Text before. " * 8 + "\n\n" + "| a | b |\n" * 9 + "\nText behind. " * 9
+    assert any("| a | b |\n" * 9 in p for p in heads(table))
+    page = "<div>" + "".join(f"<p>{BODY * 2}</p>" for _ in range(5)) + "<ul>" + "".join(f"<li>{BODY}</li>" for _ in range(5)) + "</ul></div>"
+    assert all(p.startswith(("<div>", "<p>", "<li>", "<ul>")) for p in heads(page))
+    lines = splitter.blocks("```\n# no heading\n- no item\n```\n# Heading\n1. item")
+    assert [k for _, _, k, _ in lines] == ["leaf", "heading", "item"]
 
 
 def test_pieces_end_at_natural_boundaries():
@@ -153,6 +195,12 @@ def test_top_n_matches_brute_force_and_skips(spark):
     assert lists.first().preds == "[9, 10, abc]"
 
 
+def test_top_n_keeps_whole_number_keys_exact(spark):
+    rows = [(2**53 + 1, "1", 1.0), (2**53, "2", 2.0), (None, "3", 3.0), (None, "4", 4.0)]
+    got = topn.top_n_per_group(spark.createDataFrame(rows, "qid long, docid string, score double"), ["qid"], "docid", "score", 1).collect()
+    assert {(r.qid, r.docid) for r in got} == {(2**53 + 1, "1"), (2**53, "2"), (None, "4")}
+
+
 def test_hilbert_keys_are_a_continuous_bijection():
     for dims, bits in ((2, 4), (3, 3)):
         cells = np.array(np.meshgrid(*[range(1 << bits)] * dims)).reshape(dims, -1).T
