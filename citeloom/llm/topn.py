@@ -31,6 +31,8 @@ from citeloom.session import scratch_path
 
 #: Bytes of input (as Catalyst estimates them) for one clustered file.
 FILE_BYTES = 512 << 20
+#: Catalyst's estimate of what it knows nothing of is of this order.
+UNKNOWN_BYTES = 1 << 60
 
 
 def item_order(item: str) -> list[Column]:
@@ -47,9 +49,10 @@ def cluster_by_group(df: DataFrame, keys: list[str], item: str, score: str, row_
         F.col(score).isNotNull() & ~F.isnan(score) & F.col(item).isNotNull()
     )
     order = [*(F.col(k).asc() for k in keys), F.col(score).desc(), *item_order(item)]
-    # By size, once that asks for more files than the session has shuffle partitions.
+    # By size, where that asks for more files than the session has shuffle partitions; an estimate can be far too high, so 16 times as many at most.
     size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    files = files or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    files = files or (tasks if size >= UNKNOWN_BYTES else min(16 * tasks, max(tasks, -(-size // FILE_BYTES))))
     (
         rows.repartitionByRange(files, *order)
         .sortWithinPartitions(*order)
