@@ -34,6 +34,8 @@ DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Largest rank file that may be broadcast.
 MAX_RANK_BYTES = 64 << 20
 CACHE_WORDS = 500_000
+#: Judged pairs a worker keeps.
+CACHE_PAIRS = 2_000_000
 
 
 class Encoder:
@@ -107,10 +109,8 @@ class Encoder:
             for k, code in enumerate(fresh.tolist()):
                 left, right = divmod(code, self.base)
                 judged[k] = self.merge(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
-            codes_all = np.concatenate([self.pair_codes, fresh])
-            good_all = np.concatenate([self.pair_good, judged])
-            order = np.argsort(codes_all)
-            self.pair_codes, self.pair_good = codes_all[order], good_all[order]
+            place = np.searchsorted(self.pair_codes, fresh)
+            self.pair_codes, self.pair_good = np.insert(self.pair_codes, place, fresh), np.insert(self.pair_good, place, judged)
             at = np.searchsorted(self.pair_codes, unique)
         return self.pair_good[at][back]
 
@@ -134,6 +134,8 @@ class Encoder:
         split = [self.split.findall(t) if t else [] for t in texts]
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
+        if len(self.pair_codes) > CACHE_PAIRS:
+            self.pair_codes, self.pair_good = self.pair_codes[:0], self.pair_good[:0]
         fresh = {w for ws in split for w in ws} - self.cache.keys()
         if fresh:
             self.learn(sorted(fresh))

@@ -9,7 +9,9 @@ one language form segments.
 Scale: profiles are counted on the executors over a bounded, documented sample of labelled texts (``SAMPLE`` different ones a language,
 smallest hash first, taken in one pass) and are a few thousand short strings, broadcast. Judging is a narrow map.
 
-Defined results: handles, links, hashtags, emoji, quoted and bracketed asides don't speak for a language; null, empty and wordless
+A text or sentence far from every profile is of an unknown language (``und``).
+
+Defined results: handles, links, hashtags, emoji, and quoted and bracketed asides within a sentence don't speak for a language; segments cover the text; null, empty and wordless
 texts have no language (null, confidence 0, no segment); very long texts are judged whole, sentence by sentence; repeated rows
 are judged each; an empty table gives no rows; other columns are kept by ``identify``.
 """
@@ -29,7 +31,10 @@ from pyspark.sql.window import Window
 
 from citeloom.llm.text import HANDLE, URL, fold
 
-LANGUAGES = ("de", "en", "es", "fr", "it")
+#: The language of what is far from every profile.
+UNKNOWN = "und"
+#: Mean out-of-place distance from which no profile is near (sentences of the profiled languages stay below 0.56).
+FOREIGN = 0.56
 #: n-grams in a profile, and labelled rows of each language it is made from.
 PROFILE, SAMPLE = 1200, 1500
 GRAMS = 4
@@ -42,7 +47,7 @@ SOFT = 0.03
 CACHE_WORDS = 200_000
 
 SENTENCE = regex.compile(r"(?<=[.!?…])[\"'”’»)]*\s+(?=[^\p{Ll}])|\n+|(?<=[!?…])\s+")
-ASIDE = regex.compile(r"«[^»]{0,80}»|\([^)]{0,80}\)|\[[^\]]{0,80}\]|“[^”]{0,80}”|„[^“]{0,80}“|\"[^\"]{0,80}\"")
+ASIDE = regex.compile(r"«[^»]*»|\([^)]*\)|\[[^\]]*\]|“[^”]*”|„[^“]*“|\"[^\"]*\"")
 TAG = regex.compile(r"#[\p{L}\p{N}_]+")
 CODE = regex.compile(r"[\p{L}\p{N}_\-]*\p{N}[\p{L}\p{N}_\-]*")
 LETTERS = regex.compile(r"\p{L}+")
@@ -67,19 +72,24 @@ def known_label(label: str | Column) -> Column:
 
 
 def speaking_part(text: str) -> str:
-    """A text without the parts that don't speak for its language."""
+    """A text with blanks in place of the parts that don't speak for its language."""
+
+    def blank(m: regex.Match) -> str:
+        return " " * len(m[0])
+
     if "://" in text or "www." in text.lower():
-        text = URL.sub(" ", text)
+        text = URL.sub(blank, text)
     if "@" in text:
-        text = HANDLE.sub(" ", text)
+        text = HANDLE.sub(blank, text)
     if "#" in text:
-        text = TAG.sub(" ", text)
+        text = TAG.sub(blank, text)
     return text
 
 
 def language_words(sentence: str) -> list[str]:
-    """Folded words of a sentence, asides and code-like names left out."""
-    return LETTERS.findall(fold(CODE.sub(" ", ASIDE.sub(" ", sentence))))
+    """Folded words of a sentence without quoted and bracketed asides (unless it is nothing else) and code-like names."""
+    own = CODE.sub(" ", sentence)
+    return LETTERS.findall(fold(ASIDE.sub(" ", own))) or LETTERS.findall(fold(own))
 
 
 def word_grams(word: str) -> list[str]:
@@ -156,22 +166,36 @@ class Judge:
         near = np.exp(-(d - d.min()) / SOFT)
         return near / near.sum()
 
+    def sure(self, found: np.ndarray, code: str) -> float:
+        """Confidence that n-grams are of a language; of an unknown one, how far they are from all."""
+        d = self.distances(found)
+        if code == UNKNOWN:
+            return float(np.clip(0.5 + 2 * (d.min() - FOREIGN), 0.0, 1.0))
+        return float(self.closeness(d)[self.codes.index(code)])
+
     def judge(self, found: np.ndarray) -> tuple[str | None, float, float]:
         """(language, confidence, lead over the runner-up)."""
         d = self.distances(found)
         if d is None:
             return None, 0.0, 0.0
         best = int(np.argmin(d))
+        if d[best] > FOREIGN:
+            return UNKNOWN, self.sure(found, UNKNOWN), 1.0
         rest = np.delete(d, best)
         lead = float(1 - d[best] / rest.min()) if len(rest) and rest.min() > 0 else 1.0
         return self.codes[best], float(self.closeness(d)[best]), lead
 
-    def segments(self, text: str | None) -> tuple[str | None, float, list[tuple[str, float, int, str]]]:
-        """(main language, confidence, segments as (language, confidence, words, text))."""
-        parts: list[tuple[str, int, np.ndarray]] = []
-        for s in SENTENCE.split(speaking_part(text or "")):
-            if s and (words := language_words(s)):
-                parts.append((s.strip(), len(words), self.grams(words)))
+    def segments(self, text: str | None) -> tuple[str | None, float, list[tuple[str, float, int, int, int]]]:
+        """(main language, confidence, segments as (language, confidence, words, start, end)); the segments cover the text."""
+        text = text or ""
+        said = speaking_part(text)
+        parts: list[tuple[int, int, np.ndarray]] = []
+        at = 0
+        for end in [*(m.end() for m in SENTENCE.finditer(said)), len(said)]:
+            words = language_words(said[at:end]) if at < end else []
+            if words:
+                parts.append((at, len(words), self.grams(words)))
+            at = end
         main, sure, _ = self.judge(np.concatenate([found for _, _, found in parts]) if parts else np.empty(0, dtype=np.int64))
         if main is None:
             return None, 0.0, []
@@ -180,67 +204,55 @@ class Judge:
             code, _, lead = self.judge(found) if n >= LEAST_WORDS else (None, 0.0, 0.0)
             clear.append(code if lead >= LEAD else None)
         # Sentences that can't speak for themselves follow the one before, else the first that can, else the whole.
-        last = next((c for c in clear if c), main)
-        runs: list[list] = []
-        for code, (s, n, found) in zip(clear, parts):
-            last = code or last
-            if runs and runs[-1][0] == last:
-                runs[-1][1].append(s)
-                runs[-1][2] += n
-                runs[-1][3].append(found)
-            else:
-                runs.append([last, [s], n, [found]])
+        runs = self._joined([(code, *part) for code, part in zip(clear, parts)], main)
         # A run that isn't sure enough joins its neighbours.
-        judged = []
-        for code, ss, n, all_found in runs:
-            found = np.concatenate(all_found)
-            sure_of = float(self.closeness(self.distances(found))[self.codes.index(code)])
-            judged.append([code if n > LEAST_WORDS and sure_of >= SURE else None, ss, n, found])
-        last = next((r[0] for r in judged if r[0]), main)
-        out: list[list] = []
-        for code, ss, n, found in judged:
-            last = code or last
-            if out and out[-1][0] == last:
-                out[-1][1] += ss
-                out[-1][2] += n
-                out[-1][3] = np.concatenate([out[-1][3], found])
-            else:
-                out.append([last, list(ss), n, found])
+        runs = self._joined([(code if n > LEAST_WORDS and self.sure(found, code) >= SURE else None, at, n, found) for code, at, n, found in runs], main)
         amount: Counter = Counter()
-        for code, _, n, _ in out:
+        for code, _, n, _ in runs:
             amount[code] += n
         first = amount.most_common(1)[0][0]
-        done = [(c, float(self.closeness(self.distances(found))[self.codes.index(c)]), n, " ".join(ss)) for c, ss, n, found in out]
-        return first, sure if first == main else max(p for c, p, _, _ in done if c == first), done
+        starts = [0, *(at for _, at, _, _ in runs[1:]), len(text)]
+        done = [(code, self.sure(found, code), n, starts[i], starts[i + 1]) for i, (code, _, n, found) in enumerate(runs)]
+        return first, sure if first == main else max(p for c, p, _, _, _ in done if c == first), done
+
+    @staticmethod
+    def _joined(parts: list[tuple], main: str) -> list[tuple]:
+        """Neighbouring parts (language or None, start, words, n-grams) of one language made one."""
+        last = next((p[0] for p in parts if p[0]), main)
+        out: list[tuple] = []
+        for code, at, n, found in parts:
+            last = code or last
+            if out and out[-1][0] == last:
+                out[-1] = (last, out[-1][1], out[-1][2] + n, np.concatenate([out[-1][3], found]))
+            else:
+                out.append((last, at, n, found))
+        return out
 
 
 def identify(df: DataFrame, made: dict[str, list[str]], text: str = "text") -> DataFrame:
-    """``df`` with ``found_lang``, ``confidence`` and ``segments`` (array of lang, confidence, words, part); replaced if they exist."""
+    """``df`` with ``found_lang``, ``confidence`` and ``segments`` (array of lang, confidence, words, start_at, end_at); replaced if they exist."""
     shared = df.sparkSession.sparkContext.broadcast(made)
+    names = ["lang", "confidence", "words", "start_at", "end_at"]
 
-    @F.pandas_udf("found_lang string, confidence double, segments array<struct<lang:string,confidence:double,words:int,part:string>>")
+    @F.pandas_udf("found_lang string, confidence double, segments array<struct<lang:string,confidence:double,words:int,start_at:int,end_at:int>>")
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = Judge(shared.value)
         for texts in batches:
             rows = [own.segments(t if isinstance(t, str) else None) for t in texts]
-            yield pd.DataFrame(
-                {
-                    "found_lang": [r[0] for r in rows],
-                    "confidence": [r[1] for r in rows],
-                    "segments": [[{"lang": c, "confidence": p, "words": n, "part": s} for c, p, n, s in r[2]] for r in rows],
-                }
-            )
+            listed = [[dict(zip(names, s)) for s in r[2]] for r in rows]
+            yield pd.DataFrame({"found_lang": [r[0] for r in rows], "confidence": [r[1] for r in rows], "segments": listed})
 
-    names = ["found_lang", "confidence", "segments"]
-    return df.withColumn("__j", judge.asNondeterministic()(F.col(text))).withColumns({n: F.col("__j")[n] for n in names}).drop("__j")
+    # Called non-deterministic, so that a filter on the result doesn't run it twice.
+    out = ["found_lang", "confidence", "segments"]
+    return df.withColumn("__j", judge.asNondeterministic()(F.col(text))).withColumns({n: F.col("__j")[n] for n in out}).drop("__j")
 
 
 def label_faults(df: DataFrame, made: dict[str, list[str]], text: str = "text", label: str = "lang") -> DataFrame:
-    """``identify`` plus ``label_code``, ``languages`` and ``fault`` (missing, wrong, mixed or null)."""
+    """``identify`` plus ``label_code``, ``languages`` (those known) and ``fault`` (missing, wrong, mixed or null; null for an unknown language)."""
     found = identify(df, made, text).withColumn("label_code", known_label(label))
-    spoken = F.array_distinct(F.transform("segments", lambda s: s["lang"]))
+    spoken = F.array_remove(F.array_distinct(F.transform("segments", lambda s: s["lang"])), UNKNOWN)
     fault = (
-        F.when(F.size("segments") == 0, F.lit(None))
+        F.when(F.size("languages") == 0, F.lit(None))
         .when(F.size("languages") > 1, "mixed")
         .when(F.col("label_code").isNull(), "missing")
         .when(F.col("label_code") != F.col("found_lang"), "wrong")

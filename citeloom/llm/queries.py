@@ -81,10 +81,18 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 def p5_segments(spark: SparkSession, d: str) -> DataFrame:
     found = langid.identify(_answers(spark, d), _profiles(spark, d))
     return found.select("qid", "found_lang", F.round("confidence", 4).alias("confidence"), F.posexplode("segments").alias("segment_no", "s")).select(
-        "qid", "found_lang", "confidence", "segment_no", F.col("s.lang").alias("segment_lang"), F.round("s.confidence", 4).alias("segment_confidence"), "s.words"
+        "qid", "found_lang", "confidence", "segment_no", F.col("s.lang").alias("segment_lang"), F.round("s.confidence", 4).alias("segment_confidence"), "s.words", "s.start_at", "s.end_at"
     )
 
 
+def p5_cover(spark: SparkSession, d: str) -> DataFrame:
+    """Characters of each text that its segments cover one behind the other; texts without words have none."""
+    found = langid.identify(_answers(spark, d), _profiles(spark, d)).filter(F.size("segments") > 0)
+    total = F.aggregate("segments", F.lit(0), lambda n, x: n + x["end_at"] - x["start_at"])
+    chars = F.element_at("segments", -1)["end_at"] - F.element_at("segments", 1)["start_at"]
+    return found.select("qid", chars.cast("long").alias("chars"), (total == chars).alias("joined")).distinct()
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "final_de_tradottoen_test").select("qid", "text_original", "text").distinct()
     found = pairs.defects(rows, _profiles(spark, d)).filter("defect IS NOT NULL")
@@ -130,7 +138,7 @@ def queries() -> dict[str, Query]:
     return {
         f.__name__: f
         for f in (
-            p1_found, p1_report, p2_found, p2_pieces, p2_cover, p3_found, p3_lists, p4_found, p4_neighbours, p5_found, p5_segments,
+            p1_found, p1_report, p2_found, p2_pieces, p2_cover, p3_found, p3_lists, p4_found, p4_neighbours, p5_found, p5_segments, p5_cover,
             p6_found, p7_ids, p8_found, p8_report, p9_found, p9_scores, p9_rates,
         )
     }
@@ -147,6 +155,8 @@ def oracle_sql() -> dict[str, str]:
         "p2_found": r"SELECT DISTINCT pubkey FROM collection_data WHERE pubkey IS NOT NULL AND length(regexp_replace(abstract, '^\s+|\s+$', '', 'g')) > 1500",
         "p2_cover": r"""SELECT pubkey, CAST(sum(length(t)) AS BIGINT) AS chars, true AS fits FROM (SELECT pubkey, regexp_replace(abstract, '^\s+|\s+$', '', 'g') AS t FROM collection_data)
             WHERE t <> '' GROUP BY pubkey""",
+        "p5_cover": r"""SELECT DISTINCT qid, CAST(length(text) AS BIGINT) AS chars, true AS joined FROM (SELECT qid, text FROM final_fr_test UNION ALL SELECT qid, text FROM final_de_tradottoen_test)
+            WHERE regexp_matches(regexp_replace(text, '(https?://|www\.)\S+|[@#]\w+|[\p{L}\p{N}_-]*\p{N}[\p{L}\p{N}_-]*', ' ', 'g'), '\p{L}')""",
         "p3_found": f"SELECT run_id, qid, docid FROM ({_TOP}) WHERE r <= 5",
         "p3_lists": f"SELECT run_id, qid, '[' || string_agg(docid, ', ' ORDER BY r) || ']' AS preds FROM ({_TOP}) WHERE r <= 5 GROUP BY run_id, qid",
         "p4_found": """

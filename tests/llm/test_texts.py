@@ -42,6 +42,14 @@ def test_language_of_sentences(made):
         assert judge.segments(code)[0] == want
     main, sure, parts = judge.segments(SAMPLES["fr"] + " " + SAMPLES["de"] + " #tag https://a.example")
     assert [p[0] for p in parts] == ["fr", "de"] and 0 < sure <= 1
+    mixed = SAMPLES["fr"] + " " + SAMPLES["de"] + " #tag https://a.example"
+    assert [mixed[a:b].strip()[:4] for _, _, _, a, b in parts] == ["Les ", "Die "] and parts[0][3] == 0 and parts[1][4] == len(mixed) and parts[0][4] == parts[1][3]
+    for strange in ("Пациентов спрашивали об их сне, и ответы не менялись в течение недель.", "患者被问及他们的睡眠情况，答案在几周内没有变化。", "Potilailta kysyttiin heidän unestaan, eivätkä vastaukset muuttuneet viikkojen aikana."):
+        assert judge.segments(strange)[0] == langid.UNKNOWN
+    # A quotation is an aside at any length.
+    for n in (1, 9):
+        quoted = f'Niemand weiß, warum das „{"nobody knows why this happened " * n}“ in der größeren Gruppe so geschehen ist und wieder kommen wird.'
+        assert [x[0] for x in judge.segments(quoted)[2]] == ["de"]
     assert judge.segments(None) == judge.segments("") == judge.segments("123 🙂") == (None, 0.0, [])
 
 
