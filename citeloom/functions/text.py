@@ -6,22 +6,60 @@ classes are written out as ASCII or Latin ranges.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import unicodedata
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 URL = r"https?://[^\s]+|www\.[^\s]+"
 MENTION = r"(^|[^A-Za-z0-9_])@([A-Za-z0-9_]+)"
 HASHTAG = r"(^|[^A-Za-z0-9_])#([A-Za-z0-9_]+)"
 EMOJI = r"[\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}\x{1F1E6}-\x{1F1FF}\x{200D}\x{FE0F}]"
-#: Latin letters with marks and what they fold to.
-ACCENTS = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
+
+
+def _folds() -> tuple[str, str, dict[str, str]]:
+    """(characters with one ASCII letter or sign as compatibility decomposition, those, characters with several): Latin letters with marks, ligatures, wide forms."""
+    single, plain, several = [], [], {}
+    for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFF5F)):
+        base = unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode()
+        if len(base) == 1:
+            single.append(chr(code))
+            plain.append(base)
+        elif base:
+            several[chr(code)] = base
+    return "".join(single), "".join(plain), several
+
+
+ACCENTS, PLAIN, LIGATURES = _folds()
 #: Word runs of Latin script, with an inner apostrophe or hyphen.
 LATIN_TOKEN = r"[A-Za-zÀ-ÖØ-öø-ÿ0-9]+(?:['’\-][A-Za-zÀ-ÖØ-öø-ÿ0-9]+)*"
 #: A short English stop list.
 STOP_EN = tuple(
     "a an and are as at be been but by for from had has have he her his i if in into is it its me my no not of on or our she so that the their them then there these they this to was we were what when where which who will with would you your".split()
 )
+#: Marks and names taken out of training texts, and links there.
+REFERENCES, LINK = r"\[[0-9]+\]|\([0-9]+\)|Google Scholar|Crossref|PubMed", r"http[^\s]+"
+ENDS = r"^\s+|\s+$"
+#: What generated translations echo.
+ECHOES = (r"(?s)^.*?\bassistant\b\s*", r"(?i)^(english|en|translation|traduction|übersetzung)\s*:\s*", r"(?s)^.*?nothing else\.\s*")
+#: Organisation and venue words of the cue score, in their case.
+CUE_WORDS = (
+    "University College Institute Institutes Hospital Hospitals Center Centre Centers Centres Foundation Association Society School Schools Department "
+    "Departments Laboratory Laboratories Lab Labs Clinic Clinics Agency Ministry Office Council Academy Administration Commission Committee Consortium Trial "
+    "Group Network Project Programme Program Oxford Harvard Stanford Cambridge Yale MIT Imperial Johns Hopkins Mayo Cleveland Karolinska Lancet Nature "
+    "Science JAMA BMJ NEJM CDC FDA NIH WHO NHS OECD UNICEF UNESCO"
+)
+#: Title-case words that aren't names.
+CUE_STOP = tuple(
+    "A An The This That These Those While With Without For From Into Onto Over Under Of In On At To And Or But If It Its They We Our Their There Here What "
+    "Why How When Where Not No Yes Fact Study Studies Results Finding Findings Background Objective Methods Conclusion Conclusions Evidence Report Research "
+    "Open Access Significant Recent New First".split()
+)
+#: Patterns of the cue score.
+CUE_WORD = rf"\b(?:{CUE_WORDS.replace(' ', '|')})\b"
+CUE_CITED = r"\b[A-Z][a-z]+\s+et\s+al\b|\bby\s+[A-Z][a-z]+|\bfrom\s+[A-Z][a-z]+"
+CUE_ACRONYM = r"\b[A-Z]{2,}(?:[-/]?[0-9]+)?\b|\b[A-Z]\.[A-Z](?:\.)?\b"
+CUE_TOKEN = r"[@#]?[A-Za-z][A-Za-z0-9.'\-]*"
 
 
 def _c(x: str | Column) -> Column:
@@ -65,8 +103,11 @@ def clean_entities(x: str | Column, mask: bool = False) -> Column:
 
 
 def ascii_fold(x: str | Column) -> Column:
-    """Latin accents folded, other non-ASCII characters dropped."""
-    return F.regexp_replace(F.translate(_c(x), ACCENTS, PLAIN), r"[^\x00-\x7F]", "")
+    """Latin letters, ligatures and wide forms as their ASCII base, other non-ASCII characters dropped."""
+    y = F.translate(_c(x), ACCENTS, PLAIN)
+    for sign, base in LIGATURES.items():
+        y = F.replace(y, F.lit(sign), F.lit(base))
+    return F.regexp_replace(y, r"[^\x00-\x7F]", "")
 
 
 def _kept(tokens: Column, least: int, stop: Column | None) -> Column:
@@ -96,9 +137,8 @@ def tokenize_multi(x: str | Column, stop: Column | None = None) -> Column:
 
 
 def tokenize_w2v(x: str | Column) -> Column:
-    """Training words: reference marks and links out, lower, other signs as blanks."""
-    y = F.regexp_replace(F.regexp_replace(_c(x), r"\[[0-9]+\]|\([0-9]+\)", " "), URL, " ")
-    y = F.regexp_replace(F.lower(y), r"\b(elsevier|springer|wiley|copyright)\b", " ")
+    """Training words: reference marks, names of reference services and links out, lower, other signs as blanks."""
+    y = F.lower(F.regexp_replace(F.regexp_replace(_c(x), REFERENCES, " "), LINK, ""))
     return F.filter(F.split(F.regexp_replace(y, r"[^a-z0-9\-]+", " "), " "), lambda t: t != "")
 
 
@@ -129,9 +169,11 @@ def split_hashtags(x: str | Column) -> Column:
 
 
 def clean_translation(x: str | Column) -> Column:
-    """Echoes of the instruction cut from the start, quotes and blank lines off."""
-    y = F.regexp_replace(_c(x), r"(?is)^\s*(here is the (english )?(translation|text)|(english )?translation|sure, here (it )?is[^:]*)\s*:\s*", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(y, r"\n[ \t]*\n+", "\n"), r"^[\s\"*>]+|[\s\"*]+$", ""))
+    """A generated translation without an echoed conversation before the assistant's mark, a label, or the instruction; blank lines out."""
+    y = F.regexp_replace(_c(x), ENDS, "")
+    for pattern in ECHOES:
+        y = F.regexp_replace(F.regexp_replace(y, pattern, ""), ENDS, "")
+    return F.regexp_replace(F.regexp_replace(y, r"\n(\s*\n)+", "\n"), ENDS, "")
 
 
 def venue_filter(x: str | Column) -> Column:
@@ -162,6 +204,25 @@ def term_variants(term: str | Column, lang: str = "en") -> Column:
     return F.array_distinct(F.array(t, bare, single))
 
 
+def rule_views(rows: DataFrame, sentences: dict[str, tuple[str, str, str]]) -> DataFrame:
+    """``qid, lang, keywords, sparse, embedding, colbert, expanded`` of ``qid, lang, plain``, query terms ``q`` and document terms ``dd``."""
+    some = lambda c: F.when(c != "", c)
+    joined = lambda a, sign: F.array_join(a, sign)
+    plain, q, dd = F.col("plain"), F.col("q"), F.col("dd")
+    parts = [F.coalesce(*[F.when(F.col("lang") == k, F.lit(v[i])) for k, v in sentences.items()]) for i in range(3)]
+    variants = F.when(F.col("lang") == "en", F.flatten(F.transform(q, lambda t: term_variants(t)))).otherwise(F.flatten(F.transform(q, lambda t: term_variants(t, "other"))))
+    context = F.when(F.size(dd) > 0, F.concat(parts[1], joined(F.slice(dd, 1, 8), ", "))).otherwise("")
+    views = rows.select(
+        "qid", "lang",
+        F.coalesce(some(joined(q, "; ")), plain).alias("keywords"),
+        F.coalesce(some(joined(F.array_distinct(F.concat(variants, F.slice(dd, 1, 18))), " ; ")), plain).alias("sparse"),
+        normalize_ws(F.concat(parts[0], F.coalesce(some(joined(F.slice(q, 1, 8), ", ")), plain), context, parts[2])).alias("embedding"),
+        F.coalesce(some(F.concat_ws(" ; ", some(plain), some(joined(F.array_distinct(F.concat(q, F.slice(dd, 1, 10))), " ")))), plain).alias("colbert"),
+    )
+    merged = F.concat("keywords", F.lit(". "), "embedding", F.lit(" Lexical hints: "), "sparse", F.lit(". Token hints: "), "colbert", F.lit("."))
+    return views.withColumn("expanded", normalize_ws(merged))
+
+
 def salient_terms(tokens: str | Column, n: int) -> Column:
     """First n distinct terms: those with a digit or hyphen, acronyms, capitalised or longer than five first."""
     distinct = F.array_distinct(_c(tokens))
@@ -173,25 +234,18 @@ def salient_terms(tokens: str | Column, n: int) -> Column:
 
 
 def entity_cue_score(x: str | Column) -> Column:
-    """Cues of named sources: organisation words, "et al / by X / from X", acronyms but RT, title-case words and pairs of them."""
+    """Cues of named sources: 2 for each organisation or venue word that occurs, 2 for "X et al / by X / from X", 1 for each acronym but RT, 1 for each title-case
+    token but the first, 2 for each pair of neighbouring ones."""
     t = _c(x)
-
-    def hits(pattern: str, y: Column = t) -> Column:
-        return F.size(F.regexp_extract_all(y, F.lit(pattern), F.lit(0)))
-
-    words = F.regexp_extract_all(t, F.lit(r"[A-Za-z0-9]+"), F.lit(0))
-    titled = F.transform(words, lambda w: w.rlike(r"^[A-Z][a-z]+$").cast("int"))
-    after = F.slice(titled, 2, 1_000_000)
-    pairs = F.zip_with(titled, after, lambda a, b: F.coalesce(a * b, F.lit(0)))
-    total = lambda a: F.aggregate(a, F.lit(0), lambda s, v: s + v)
-    acronyms = F.size(F.filter(words, lambda w: w.rlike(r"^[A-Z]{2,}$") & (w != "RT")))
-    return (
-        2 * hits(r"\b(university|institute|journal|conference|lab|who|cdc|nature|lancet)\b", F.lower(t))
-        + 2 * hits(r"\bet al\b|\b(by|from) [A-Z]")
-        + acronyms
-        + total(after)
-        + 2 * total(pairs)
-    )
+    words = F.size(F.array_distinct(F.regexp_extract_all(t, F.lit(CUE_WORD), F.lit(0))))
+    cited = t.rlike(CUE_CITED).cast("int")
+    acronyms = F.size(F.filter(F.regexp_extract_all(t, F.lit(CUE_ACRONYM), F.lit(0)), lambda w: w != "RT"))
+    tokens = F.transform(F.regexp_extract_all(t, F.lit(CUE_TOKEN), F.lit(0)), lambda w: F.regexp_replace(w, "^[@#]", ""))
+    stop = stop_array(CUE_STOP)
+    titled = F.transform(tokens, lambda w: (w.rlike("^[A-Z]") & (w != F.upper(w)) & ~F.array_contains(stop, w)))
+    long = F.size(F.filter(F.zip_with(titled, tokens, lambda a, w: a & (F.length(w) > 2)), lambda v: v)) - F.coalesce((F.get(titled, F.lit(0)) & (F.length(F.get(tokens, F.lit(0))) > 2)).cast("int"), F.lit(0))
+    pairs = F.size(F.filter(F.zip_with(titled, F.slice(titled, 2, 1_000_000), lambda a, b: a & b), lambda v: v))
+    return 2 * words + 2 * cited + acronyms + long + 2 * pairs
 
 
 def doc_text(title: str = "title", abstract: str = "abstract", authors: str = "authors", kind: str = "plain") -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from citeloom.functions import dist
 from citeloom.functions import text as T
 from citeloom.operators import evaluation as E
 from citeloom.operators import statistics as B
@@ -158,7 +159,13 @@ def normal_ci(spark: SparkSession, d: str) -> DataFrame:
     return B.normal_interval(_scores(spark, d))
 
 
-@query()
+_Z = 1.959963984540054
+#: Student's quantile from the normal one (Cornish-Fisher), v degrees of freedom.
+_T = f"({_Z} + {(_Z**3 + _Z) / 4!r} / v + {(5 * _Z**5 + 16 * _Z**3 + 3 * _Z) / 96!r} / pow(v, 2) + {(3 * _Z**7 + 19 * _Z**5 + 17 * _Z**3 - 15 * _Z) / 384!r} / pow(v, 3) + {(79 * _Z**9 + 776 * _Z**7 + 1482 * _Z**5 - 1920 * _Z**3 - 945 * _Z) / 92160!r} / pow(v, 4))"
+
+
+@query(f"""WITH {SCORES}, m AS (SELECT run_id, avg(score) AS m, count(*) - 1 AS v, coalesce(stddev_samp(score), 0) / sqrt(count(*)) AS e FROM scores GROUP BY run_id)
+    SELECT run_id, round(m, 6) AS mean, round(m - {_T} * e, 6) AS low, round(m + {_T} * e, 6) AS high FROM m""")
 def student_ci(spark: SparkSession, d: str) -> DataFrame:
     return B.t_interval(_scores(spark, d))
 
@@ -205,14 +212,23 @@ def wilcoxon_pratt(spark: SparkSession, d: str) -> DataFrame:
     return B.wilcoxon_sums(B.paired_differences(_scores(spark, d)))
 
 
-@query(f"""WITH {WILCOXON}, p AS (SELECT a, b, CASE WHEN n > 0 THEN round((losses + 1) / (n + 1), 6) END AS p FROM w),
+def _two_sided(z: str) -> str:
+    x = f"(abs({z}) / sqrt(2))"
+    t = f"(1 / (1 + {dist.ERFC_P} * {x}))"
+    total = "0"
+    for a in reversed(dist.ERFC_A):
+        total = f"(({total} + {a}) * {t})"
+    return f"{total} * exp(-{x} * {x})"
+
+
+@query(f"""WITH {WILCOXON}, z AS (SELECT a, b, round(CASE WHEN var > 0 THEN (w - mean) / sqrt(var) ELSE 0 END, 6) AS z FROM w), p AS (SELECT a, b, round({_two_sided('z')}, 9) AS p FROM z),
     o AS (SELECT *, least(1, (count(*) OVER () - row_number() OVER (ORDER BY p, a, b) + 1) * p) AS s FROM p)
-    SELECT a, b, p, round(max(s) OVER (ORDER BY p, a, b ROWS UNBOUNDED PRECEDING), 6) AS p_holm FROM o""")
+    SELECT a, b, round(p, 6) AS p, round(max(s) OVER (ORDER BY p, a, b ROWS UNBOUNDED PRECEDING), 6) AS p_holm FROM o""")
 def holm_adjust(spark: SparkSession, d: str) -> DataFrame:
-    """Holm's step-down over a simple loss share of each pair (the tails themselves are computed on the driver)."""
+    """Holm's step-down over the two-sided Wilcoxon tails of all pairs of systems."""
     sums = B.wilcoxon_sums(B.paired_differences(_scores(spark, d)))
-    tests = sums.select("a", "b", F.round((F.col("losses") + 1) / (F.col("n") + 1), 6).alias("p"))
-    return B.holm_adjust(tests).withColumn("p_holm", F.round("p_holm", 6))
+    tests = sums.select("a", "b", F.round(dist.normal_two_sided(F.col("z")), 9).alias("p"))
+    return B.holm_adjust(tests).select("a", "b", F.round("p", 6).alias("p"), F.round("p_holm", 6).alias("p_holm"))
 
 
 @query(f"""WITH {SCORES}, d AS (SELECT b.run_id, b.score - a.score AS diff FROM scores a JOIN scores b ON a.qid = b.qid AND a.run_id = 'lex_plain' AND b.run_id <> 'lex_plain'),
@@ -246,18 +262,18 @@ def tukey_hsd(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {S.RANKED}, t AS (SELECT qid, min(text) AS text FROM final_de_tradottoen_test WHERE qid IS NOT NULL AND text IS NOT NULL GROUP BY qid),
-    f AS (SELECT r.run_id, {MRR} AS score, len(string_split({S.ws('t.text')}, ' ')) AS n, len(regexp_extract_all(t.text, '[A-Z][A-Z]+-[0-9]+')) AS cues FROM ranked r JOIN t USING (qid)),
+    f AS (SELECT r.run_id, {MRR} AS score, len(string_split({S.ws('t.text')}, ' ')) AS n, {S.cue_score('t.text')} AS cues FROM ranked r JOIN t USING (qid)),
     b AS (SELECT run_id, 'length' AS family, CASE WHEN n <= 20 THEN 'short' WHEN n <= 34 THEN 'middle' ELSE 'long' END AS bucket, score FROM f
-          UNION ALL SELECT run_id, 'cue', CASE WHEN cues < 2 THEN 'few' ELSE 'many' END, score FROM f)
+          UNION ALL SELECT run_id, 'cue', CASE WHEN cues < 4 THEN 'few' ELSE 'many' END, score FROM f)
     SELECT run_id, family, bucket, CAST(count(*) AS BIGINT) AS n, round(avg(score), 6) AS mean FROM b GROUP BY run_id, family, bucket""")
 def query_buckets(spark: SparkSession, d: str) -> DataFrame:
     """Both bucket families in one pass over the scores."""
     t = table(spark, d, "final_de_tradottoen_test").filter("qid IS NOT NULL AND text IS NOT NULL").groupBy("qid").agg(F.min("text").alias("text"))
     n = F.size(F.split(T.normalize_ws("text"), " "))
-    cues = F.size(F.regexp_extract_all("text", F.lit("[A-Z][A-Z]+-[0-9]+"), F.lit(0)))
+    cues = T.entity_cue_score("text")
     length = F.when(n <= 20, "short").when(n <= 34, "middle").otherwise("long")
     families = F.array(
-        F.struct(F.lit("length").alias("family"), length.alias("bucket")), F.struct(F.lit("cue").alias("family"), F.when(cues < 2, "few").otherwise("many").alias("bucket"))
+        F.struct(F.lit("length").alias("family"), length.alias("bucket")), F.struct(F.lit("cue").alias("family"), F.when(cues < 4, "few").otherwise("many").alias("bucket"))
     )
     rows = _scores(spark, d).join(t, "qid").select("run_id", "score", F.explode(families).alias("f")).select("run_id", "f.*", "score")
     return rows.groupBy("run_id", "family", "bucket").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("mean"))

@@ -402,25 +402,63 @@ def prf_hybrid_merge(spark: SparkSession, d: str) -> DataFrame:
     return R.ordered_union(first, _second_pass(spark, d, first, weights), 120)
 
 
+#: Papers looked at, terms taken, final depth.
 PRESETS = {
-    "balanced": (10, 10, 100), "conservative": (3, 5, 100), "aggressive": (20, 25, 200), "precision": (3, 3, 50), "recall": (30, 30, 1000),
-    "short_query": (15, 20, 100), "long_query": (5, 5, 100), "medical": (10, 15, 100), "fast": (3, 5, 20), "deep": (50, 50, 2000),
+    "balanced": (5, 10, 100), "high_recall": (10, 20, 1000), "high_recall_aggressive": (15, 30, 2000), "high_precision": (3, 5, 100),
+    "high_precision_conservative": (2, 3, 100), "scientific_medical": (8, 15, 500), "short_query": (3, 8, 100), "long_query": (5, 12, 150),
+    "niche_domain": (8, 12, 200), "fast": (3, 5, 50),
 }
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{n}', {a}, {b}, {c}, {int(a * 1.5)}, {int(b * 0.5)})" for n, (a, b, c) in PRESETS.items()) + ") AS t(name, docs, terms, depth, docs_recall, terms_precision)")
+@query("SELECT * FROM (VALUES " + ", ".join(
+    f"('{n}', {a}, {b}, {c}, {int(a * 1.5)}, {int(b * 1.5)}, {int(c * 1.5)}, {int(a / 2.0)}, {int(b / 2.0)})" for n, (a, b, c) in PRESETS.items()
+) + ") AS t(name, docs, terms, depth, docs_recall, terms_recall, depth_recall, docs_precision, terms_precision)")
 def prf_configs(spark: SparkSession, d: str) -> DataFrame:
-    """Presets, with counts scaled for recall (x 1.5) and precision (x 0.5), truncated."""
+    """Presets, tuned for recall (all counts x 1.5) and for precision (papers and terms / 2), truncated."""
     rows = spark.createDataFrame([(n, *v) for n, v in PRESETS.items()], "name string, docs int, terms int, depth int")
-    return rows.withColumns({"docs_recall": (F.col("docs") * 1.5).cast("int"), "terms_precision": (F.col("terms") * 0.5).cast("int")})
+    scaled = {f"{c}_recall": (F.col(c) * 1.5).cast("int") for c in ("docs", "terms", "depth")} | {f"{c}_precision": (F.col(c) / 2.0).cast("int") for c in ("docs", "terms")}
+    return rows.withColumns(scaled)
 
 
-@query(f"""WITH {S.TOPICS} SELECT qid, CASE WHEN n <= 2 THEN 'short_query' WHEN n >= 25 THEN 'long_query' WHEN regexp_matches(lower(text), '\\b(patient|clinical|vaccine|infection|disease)') THEN 'medical'
-    ELSE 'balanced' END AS preset FROM (SELECT qid, text, len({S.tok_sparse('text')}) AS n FROM topics)""")
+CHOSEN = f"""chosen AS (SELECT qid, text, CASE WHEN n <= 2 THEN 'short_query' WHEN n >= 5 THEN 'long_query' WHEN regexp_matches(lower(text), 'vaccine|covid|medical|disease') THEN 'scientific_medical'
+    ELSE 'balanced' END AS preset FROM (SELECT qid, text, len(string_split({S.ws('text')}, ' ')) AS n FROM topics))"""
+
+
+def _chosen(spark: SparkSession, d: str) -> DataFrame:
+    n = F.size(F.split(T.normalize_ws("text"), " "))
+    medical = F.lower("text").rlike("vaccine|covid|medical|disease")
+    preset = F.when(n <= 2, "short_query").when(n >= 5, "long_query").when(medical, "scientific_medical").otherwise("balanced")
+    return base.topics(spark, d).select("qid", "text", preset.alias("preset"))
+
+
+@query(f"WITH {S.TOPICS}, {CHOSEN} SELECT qid, preset FROM chosen")
 def prf_adaptive_config(spark: SparkSession, d: str) -> DataFrame:
-    n = F.size(T.tokenize_sparse("text"))
-    medical = F.lower("text").rlike(r"\b(patient|clinical|vaccine|infection|disease)")
-    return base.topics(spark, d).select("qid", F.when(n <= 2, "short_query").when(n >= 25, "long_query").when(medical, "medical").otherwise("balanced").alias("preset"))
+    """The preset of a query by its words: up to two, five and more, else by subject."""
+    return _chosen(spark, d).select("qid", "preset")
+
+
+PRESET_ROWS = "presets AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', {a}, {b}, {c})" for n, (a, b, c) in PRESETS.items()) + ") AS t(preset, docs, n_terms, depth))"
+ADAPTIVE = f"""{BM25}, {CHOSEN}, {PRESET_ROWS}, {DOC_TOKENS}, conf AS (SELECT qid, docs, n_terms, depth FROM chosen JOIN presets USING (preset)),
+    freq AS (SELECT b.qid, x.term, count(*) AS freq FROM bm b JOIN conf c USING (qid) JOIN (SELECT docid, unnest(tokens) AS term FROM doc_tokens) x USING (docid) WHERE b.rank <= c.docs GROUP BY b.qid, x.term),
+    fb AS (SELECT qid, term FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY freq DESC, term) AS pos FROM freq) JOIN conf USING (qid) WHERE pos <= n_terms),
+    terms2 AS (SELECT qid, term, sum(qw) AS qw FROM (SELECT * FROM terms UNION ALL SELECT qid, term, 1.0 FROM fb) GROUP BY qid, term), {_search('bm2', 'terms2', 2000)}"""
+
+
+@query(f"WITH {ADAPTIVE} SELECT qid, docid, score, CAST(rank AS INTEGER) AS rank FROM bm2 JOIN conf USING (qid) WHERE rank <= depth")
+def prf_adaptive(spark: SparkSession, d: str) -> DataFrame:
+    """Two passes with the counts of each query's own preset."""
+    presets = F.create_map(*[x for n, v in PRESETS.items() for x in (F.lit(n), F.array(*map(F.lit, v)))])
+    chosen = _chosen(spark, d).select("qid", presets[F.col("preset")].alias("v"))
+    conf = materialise(chosen.select("qid", *[F.get("v", F.lit(i)).alias(c) for i, c in enumerate(("docs", "terms", "depth"))]), "presets")
+    weights = _weighted(spark, d)
+    first = bm25_run(spark, d, max(v[0] for v in PRESETS.values()), weights).join(conf, "qid").filter(F.col("rank") <= F.col("docs")).select("qid", "docid", "rank")
+    docs = _docs(spark, d).select("docid", T.tokenize_sparse("doc_text").alias("tokens"))
+    most = max(v[1] for v in PRESETS.values())
+    extra = R.feedback_terms(first, docs, most, most).join(conf, "qid").filter(F.col("pos") <= F.col("terms")).select("qid", "term", F.lit(1.0).alias("qw"))
+    own = R.query_terms(base.topics(spark, d), T.tokenize_sparse("text"))
+    deepest = max(PRESETS[c][2] for c in ("short_query", "long_query", "scientific_medical", "balanced"))
+    found = R.bm25(R.merged_terms(own, extra), weights, deepest)
+    return found.join(conf, "qid").filter(F.col("rank") <= F.col("depth")).select("qid", "docid", "score", "rank")
 
 
 # Query expansion.
@@ -518,12 +556,45 @@ def word2vec_neighbors(spark: SparkSession, d: str) -> DataFrame:
     return kept.select(F.col("qid").alias("word"), F.col("docid").alias("term"), F.round("score", 3).alias("score"), "rank")
 
 
-@query(f"""WITH {S.TOPICS} SELECT qid, array_to_string(list_distinct({S.tok_multi('text')})[1:12], '; ') AS n_keywords, 'Find the paper behind this claim: ' || {S.ws('text')} AS embedding
-    FROM topics""".replace("list_distinct(", "list_sort(list_distinct(").replace("[1:12]", ")[1:12]"))
+#: Sentences of the embedding view (before the terms, before the context, behind) by language.
+SENTENCES = {
+    "de": ("Relevantes Dokument zu ", " mit Kontext zu ", "; es behandelt die Suchintention und passende wissenschaftliche oder faktische Belege."),
+    "fr": ("Document pertinent sur ", " avec contexte sur ", "; il décrit l'intention de recherche et des éléments scientifiques ou factuels associés."),
+    "en": ("Relevant document discussing ", " with context about ", "; it addresses the search intent and related scientific or factual evidence."),
+}
+
+_ORDERED = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
+_VARIANTS = """[t, replace(t, '-', ' '), CASE WHEN length(t) <= 4 THEN t WHEN lang = 'en' AND t LIKE '%ies' THEN substr(t, 1, length(t) - 3) || 'y'
+    WHEN lang = 'en' AND t LIKE '%es' THEN substr(t, 1, length(t) - 2) WHEN t LIKE '%s' THEN substr(t, 1, length(t) - 1) ELSE t END]"""
+
+
+def _sentence_sql(i: int) -> str:
+    return "CASE lang " + " ".join(f"WHEN '{k}' THEN '{v[i].replace(chr(39), chr(39) * 2)}'" for k, v in SENTENCES.items()) + " END"
+
+
+VIEWS = f"""{S.CORPUS}, {S.TOPICS}, asked AS (SELECT qid, text, gold, 'en' AS lang FROM topics
+        UNION ALL SELECT qid, min(text), min(pubkey), 'fr' FROM final_fr_test WHERE qid IS NOT NULL AND trim(text, ' ') <> '' GROUP BY qid
+        UNION ALL SELECT qid, min(text_original), min(pubkey), 'de' FROM final_de_tradottoen_test WHERE qid IS NOT NULL AND trim(text_original, ' ') <> '' GROUP BY qid),
+    raw AS (SELECT a.qid, a.lang, {S.ws('a.text')} AS plain, {S.tok_multi('a.text')} AS q, coalesce({S.tok_multi('c.title')}, []) AS dd FROM asked a LEFT JOIN corpus c ON c.pubkey = a.gold),
+    lists AS (SELECT qid, lang, plain, {_ORDERED.format('q')}[1:12] AS q, {_ORDERED.format('dd')} AS dd FROM raw),
+    more AS (SELECT *, list_concat(flatten(list_transform(q, lambda t: {_VARIANTS})), dd[1:18]) AS sp, list_concat(q, dd[1:10]) AS cb FROM lists),
+    views AS (SELECT qid, lang, coalesce(nullif(array_to_string(q, '; '), ''), plain) AS keywords, coalesce(nullif(array_to_string({_ORDERED.format('sp')}, ' ; '), ''), plain) AS sparse,
+        {_sentence_sql(0)} || coalesce(nullif(array_to_string(q[1:8], ', '), ''), plain) || CASE WHEN len(dd) > 0 THEN {_sentence_sql(1)} || array_to_string(dd[1:8], ', ') ELSE '' END || {_sentence_sql(2)} AS embedding,
+        coalesce(nullif(concat_ws(' ; ', nullif(plain, ''), nullif(array_to_string({_ORDERED.format('cb')}, ' '), '')), ''), plain) AS colbert FROM more)"""
+
+
+@query(f"""WITH {VIEWS} SELECT qid, lang, keywords, sparse, {S.ws('embedding')} AS embedding, colbert,
+    {S.ws("keywords || '. ' || " + S.ws('embedding') + " || ' Lexical hints: ' || sparse || '. Token hints: ' || colbert || '.'")} AS expanded FROM views""")
 def rule_expansion(spark: SparkSession, d: str) -> DataFrame:
-    """Rule-based views of a query: keywords (distinct terms in text order, at most 12) and a sentence."""
-    keys = F.slice(F.array_sort(F.array_distinct(T.tokenize_multi("text"))), 1, 12)
-    return base.topics(spark, d).select("qid", F.array_join(keys, "; ").alias("n_keywords"), F.concat(F.lit("Find the paper behind this claim: "), T.normalize_ws("text")).alias("embedding"))
+    """Rule-based views of a query: keywords (at most 12, in text order), sparse (variants of them and 18 title terms of its paper), a sentence in its
+    language, late-interaction terms, and all of them merged."""
+    asked = base.topics(spark, d).select("qid", "text", "gold", F.lit("en").alias("lang"))
+    for name, text, lang in (("final_fr_test", "text", "fr"), ("final_de_tradottoen_test", "text_original", "de")):
+        rows = table(spark, d, name).filter(f"qid IS NOT NULL AND trim({text}) <> ''").groupBy("qid")
+        asked = asked.unionByName(rows.agg(F.min(text).alias("text"), F.min("pubkey").alias("gold"), F.lit(lang).alias("lang")))
+    titles = base.corpus(spark, d).select(F.col("pubkey").alias("gold"), "title")
+    rows = asked.join(titles, "gold", "left").select("qid", "lang", T.normalize_ws("text").alias("plain"), F.array_distinct(T.tokenize_multi("text")).alias("q"), F.array_distinct(T.tokenize_multi(F.coalesce("title", F.lit("")))).alias("dd"))
+    return T.rule_views(rows.withColumn("q", F.slice("q", 1, 12)), SENTENCES)
 
 
 @query(f"""WITH {S.CORPUS}, c AS (SELECT term, count(*) AS n FROM (SELECT unnest({S.tok_sparse('doc_text')}) AS term FROM corpus) GROUP BY term)

@@ -43,13 +43,7 @@ for _name, _column, _sql in (
     ("analyze_social", lambda x: F.array_join(T.analyze(x, drop_social=True), " "), S.joined(S.analyze("text", True))),
     ("vocabulary_words", lambda x: F.array_join(F.array_sort(T.vocabulary_words(x)), " "), S.joined("list_sort(list_distinct(" + S.every("lower(text)", r"\b[a-z]{3,}\b") + "))")),
     ("split_hashtag", T.split_hashtags, S.ws(S.sub(S.sub("text", T.HASHTAG, r"\1 \2 "), r"([a-z0-9])([A-Z])", r"\1 \2"))),
-    ("entity_cue_score", T.entity_cue_score, """
-        2 * len(regexp_extract_all(lower(text), '\\b(university|institute|journal|conference|lab|who|cdc|nature|lancet)\\b'))
-        + 2 * len(regexp_extract_all(text, '\\bet al\\b|\\b(by|from) [A-Z]'))
-        + len(list_filter(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda w: regexp_matches(w, '^[A-Z]{2,}$') AND w <> 'RT'))
-        + len(list_filter(regexp_extract_all(text, '[A-Za-z0-9]+')[2:], lambda w: regexp_matches(w, '^[A-Z][a-z]+$')))
-        + 2 * len(list_filter(list_zip(regexp_extract_all(text, '[A-Za-z0-9]+'), regexp_extract_all(text, '[A-Za-z0-9]+')[2:]),
-              lambda p: coalesce(regexp_matches(p[1], '^[A-Z][a-z]+$') AND regexp_matches(p[2], '^[A-Z][a-z]+$'), false)))"""),
+    ("entity_cue_score", T.entity_cue_score, S.cue_score("text")),
     ("salient_terms", lambda x: F.array_join(T.salient_terms(F.regexp_extract_all(x, F.lit(r"[A-Za-z0-9\-]+"), F.lit(0)), 12), " "), """
         (SELECT string_agg(t, ' ' ORDER BY k, p) FROM (SELECT t, k, p, row_number() OVER (ORDER BY k, p) AS r FROM (
             SELECT t, min(p) AS p, CASE WHEN regexp_matches(t, '[0-9\\-]') OR regexp_matches(t, '^[A-Z]') OR length(t) > 5 THEN 0 ELSE 1 END AS k
@@ -77,11 +71,13 @@ def term_variants(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("variants", F.array_join(F.array_sort(T.term_variants("term")), "|"))
 
 
-@query("SELECT DISTINCT qid, " + S.sub(S.sub(S.sub("text", r"(?is)^\s*(here is the (english )?(translation|text)|(english )?translation|sure, here (it )?is[^:]*)\s*:\s*", ""),
-    r"\n[ \t]*\n+", "\n"), r"^[\s\"*>]+|[\s\"*]+$", "").replace("''\n''", "chr(10)") + " AS result FROM final_de_tradottoen_test WHERE text IS NOT NULL")
+@query(f"SELECT DISTINCT qid, {S.clean_translation('raw')} AS result FROM (SELECT qid, {S.ECHOED} AS raw FROM final_de_tradottoen_test WHERE text IS NOT NULL)")
 def clean_translation(spark: SparkSession, d: str) -> DataFrame:
+    """Every text as it came and behind the echoes that generators give."""
     rows = table(spark, d, "final_de_tradottoen_test").filter("text IS NOT NULL")
-    return rows.select("qid", T.clean_translation("text").alias("result")).distinct()
+    k, text = F.col("qid") % 5, F.col("text")
+    raw = F.when(k == 1, F.concat(F.lit("user\nTranslate.\nassistant\n"), text)).when(k == 2, F.concat(F.lit("English: \n\n"), text)).when(k == 3, F.concat(F.lit("Give the translation and nothing else. "), text))
+    return rows.select("qid", T.clean_translation(F.coalesce(raw, text)).alias("result")).distinct()
 
 
 @query("""SELECT DISTINCT pubkey, nullif(lower(regexp_extract(q, 'venue:([^\\s]+)', 1)), '') AS venue, nullif(lower(trim(regexp_extract(q, 'author:(.+)$', 1), ' ')), '') AS author
@@ -180,12 +176,16 @@ def trec_run_parse(spark: SparkSession, d: str) -> DataFrame:
     return R.parse_run_lines(lines).select(F.col("tag").alias("run_id"), F.col("qid").cast("bigint").alias("qid"), "docid", "rank", "score")
 
 
-@query(f"""WITH {S.RUNS} SELECT run_id, CAST(qid AS VARCHAR) AS qid, docid, CAST(coalesce(rank, 0) AS INTEGER) AS rank FROM runs WHERE rank <= 10""")
+@query(f"""WITH {S.RUNS} SELECT run_id, CAST(qid AS VARCHAR) AS qid, docid, CAST(CASE WHEN qid % 4 = 0 THEN rank * 7 ELSE rank END AS INTEGER) AS rank, score FROM runs WHERE rank <= 10""")
 def run_records_parse(spark: SparkSession, d: str) -> DataFrame:
-    """Records with aliased keys (``query_id``, ``doc_id``, ``position``) through JSON."""
+    """Records under all names of their fields through JSON; those without a rank get the number of the record."""
     rows = base.runs(spark, d).filter("rank <= 10")
-    lines = rows.select("run_id", F.to_json(F.struct(F.col("qid").alias("query_id"), F.col("docid").alias("doc_id"), F.col("rank").alias("position"), "score")).alias("value"))
-    return R.parse_run_records(lines, "run_id").select("run_id", "qid", "docid", "rank")
+    k = F.col("qid") % 4
+    named = lambda c, *names: [F.when(k == i, F.col(c)).alias(n) for i, n in enumerate(names)]
+    record = F.struct(*named("qid", "queryId", "query_id", "qid", "topic"), *named("docid", "document_id", "documentId", "docno", "id"), F.when(k % 2 == 1, F.col("rank")).alias("position"),
+                      F.when(k == 2, F.col("rank")).alias("rank"), F.when(k < 2, F.col("score")).alias("similarity"), F.when(k == 2, F.col("score")).alias("value"), F.when(k == 3, F.col("score")).alias("score"))
+    lines = rows.select("run_id", F.to_json(record).alias("value"), (F.col("rank") * 7).alias("line"))
+    return R.parse_run_records(lines, "run_id").select("run_id", "qid", "docid", "rank", "score")
 
 
 @query(f"""WITH {S.RUNS} SELECT run_id, qid, '[' || string_agg('"' || docid || '"', ',' ORDER BY rank) || ']' AS preds FROM runs WHERE rank <= 100 GROUP BY run_id, qid""")
@@ -259,9 +259,11 @@ def chunk_assign(spark: SparkSession, d: str) -> DataFrame:
     return global_position(rows, ["qid"]).select("qid", F.floor(F.col("position") / 64).alias("chunk"))
 
 
-@query()
+@query(f"WITH {S.TOPICS} SELECT qid, CAST(to_json({{'text': text, 'gold': gold}}) AS VARCHAR) AS found FROM topics")
 def json_object_extract(spark: SparkSession, d: str) -> DataFrame:
-    rows = base.topics(spark, d).select("qid", F.concat(F.lit("Sure! ```json "), F.to_json(F.struct("text", "gold")), F.lit(" ``` done")).alias("noisy"))
+    """The object found again in a noisy answer."""
+    made = F.to_json(F.struct("text", "gold"), {"ignoreNullFields": "false"})
+    rows = base.topics(spark, d).select("qid", F.concat(F.lit("Sure! {not json} ```json "), made, F.lit(" ``` done")).alias("noisy"))
     return rows.select("qid", R.extract_json_object("noisy").alias("found"))
 
 

@@ -38,7 +38,10 @@ def entities(x: str, mask: bool = False) -> str:
 
 
 def fold(x: str) -> str:
-    return sub(f"translate({x}, {_q(T.ACCENTS)}, {_q(T.PLAIN)})", r"[^\x00-\x7F]", "")
+    y = f"translate({x}, {_q(T.ACCENTS)}, {_q(T.PLAIN)})"
+    for sign, base in T.LIGATURES.items():
+        y = f"replace({y}, {_q(sign)}, {_q(base)})"
+    return sub(y, r"[^\x00-\x7F]", "")
 
 
 def every(x: str, pattern: str) -> str:
@@ -73,8 +76,7 @@ def tok_multi(x: str) -> str:
 
 
 def tok_w2v(x: str) -> str:
-    y = sub(sub(x, r"\[[0-9]+\]|\([0-9]+\)", " "), T.URL, " ")
-    y = sub(f"lower({y})", r"\b(elsevier|springer|wiley|copyright)\b", " ")
+    y = f"lower({sub(sub(x, T.REFERENCES, ' '), T.LINK, '')})"
     return f"list_filter(string_split({sub(y, r'[^a-z0-9' + chr(92) + '-]+', ' ')}, ' '), lambda t: t <> '')"
 
 
@@ -84,6 +86,23 @@ def analyze(x: str, social: bool = False) -> str:
     return kept(cut(every(f"lower({fold(x)})", r"[a-z0-9]+(?:'[a-z0-9]+)*")), 1)
 
 
+def cue_score(x: str) -> str:
+    tokens = f"list_transform({every(x, T.CUE_TOKEN)}, lambda w: regexp_replace(w, '^[@#]', ''))"
+    stop = "[" + ", ".join(_q(w) for w in T.CUE_STOP) + "]"
+    title = lambda w: f"(regexp_matches({w}, '^[A-Z]') AND {w} <> upper({w}) AND NOT list_contains({stop}, {w}))"
+    return f"""(2 * len(list_distinct({every(x, T.CUE_WORD)})) + 2 * CAST(regexp_matches({x}, {_q(T.CUE_CITED)}) AS INTEGER)
+        + len(list_filter({every(x, T.CUE_ACRONYM)}, lambda w: w <> 'RT')) + len(list_filter({tokens}[2:], lambda w: length(w) > 2 AND {title('w')}))
+        + 2 * len(list_filter(list_zip({tokens}, {tokens}[2:]), lambda p: coalesce({title('p[1]')} AND {title('p[2]')}, false))))"""
+
+
+def clean_translation(x: str) -> str:
+    y = sub(x, T.ENDS, "")
+    for pattern in T.ECHOES:
+        y = sub(f"regexp_replace({y}, {_q(pattern)}, '')", T.ENDS, "")
+    blank = r"\n(\s*\n)+"
+    return sub(f"regexp_replace({y}, {_q(blank)}, chr(10), 'g')", T.ENDS, "")
+
+
 def joined(tokens: str) -> str:
     return f"array_to_string({tokens}, ' ')"
 
@@ -102,6 +121,10 @@ def doc_text(title: str = "title", abstract: str = "abstract", authors: str = "a
     return sub(f"coalesce({some(title)}, '') || '. ' || coalesce({some(abstract)}, '')", r"^[. ]+|[. ]+$", "")
 
 
+#: A text behind the echoes of the query ``clean_translation``.
+ECHOED = """CASE qid % 5 WHEN 1 THEN 'user' || chr(10) || 'Translate.' || chr(10) || 'assistant' || chr(10) || text WHEN 2 THEN 'English: ' || chr(10) || chr(10) || text
+    WHEN 3 THEN 'Give the translation and nothing else. ' || text ELSE text END"""
+
 #: The deduplicated papers: text, first non-blank record of a key in text order.
 CORPUS = f"""corpus AS (
     SELECT pubkey, title, abstract, venue, authors, doc_text FROM (

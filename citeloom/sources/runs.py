@@ -15,7 +15,10 @@ from pyspark.sql.window import Window
 
 PAPER = T.StructType([T.StructField(c, T.StringType()) for c in ("pubkey", "title", "abstract", "venue", "authors")])
 QUERY = T.StructType([T.StructField(c, T.StringType()) for c in ("index", "qid", "id", "expanded", "original", "text", "query", "pubkey")])
-QID_KEYS, DOC_KEYS, RANK_KEYS = ("qid", "query_id", "index", "topic"), ("docid", "doc_id", "pubkey", "id"), ("rank", "position")
+#: Names of fields in run records, the first that has a value counts.
+QID_KEYS = ("qid", "query_id", "queryId", "index", "topic")
+DOC_KEYS = ("docid", "doc_id", "document_id", "documentId", "pubkey", "docno", "id")
+RANK_KEYS, SCORE_KEYS = ("rank", "position"), ("score", "similarity", "value")
 
 
 def _some(c: str | Column) -> Column:
@@ -91,40 +94,50 @@ def rank_score_maps(maps: DataFrame) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(order))
 
 
+def numbered(lines: DataFrame) -> DataFrame:
+    """Lines with ``line``, a number that grows in reading order (consecutive within a file split)."""
+    return lines.withColumn("line", F.monotonically_increasing_id() + 1)
+
+
+def _place(lines: DataFrame) -> Column:
+    return F.col("line").cast("int") if "line" in lines.columns else F.lit(None).cast("int")
+
+
 def parse_run_lines(lines: DataFrame) -> DataFrame:
     """``qid, docid, rank, score, tag`` of text runs with six, four or two columns; blank and # lines are skipped.
 
-    Two-column lines have no rank of their own: theirs is null.
+    Two-column lines have no rank of their own: theirs is the number of the line (column ``line``), null where lines aren't numbered.
     """
     p = F.split(F.trim("value"), r"\s+")
     n = F.size(p)
-    rows = lines.filter((F.trim("value") != "") & ~F.trim("value").startswith("#")).select(p.alias("p"), n.alias("n"))
+    rows = lines.filter((F.trim("value") != "") & ~F.trim("value").startswith("#")).select(p.alias("p"), n.alias("n"), _place(lines).alias("line"))
     at = lambda i: F.get("p", F.lit(i))
     return rows.select(
         at(0).alias("qid"),
         F.when(F.col("n") >= 6, at(2)).otherwise(at(1)).alias("docid"),
-        F.when(F.col("n") >= 6, at(3)).when(F.col("n") >= 4, at(2)).try_cast("int").alias("rank"),
+        F.coalesce(F.when(F.col("n") >= 6, at(3)).when(F.col("n") >= 4, at(2)).try_cast("int"), "line").alias("rank"),
         F.when(F.col("n") >= 6, at(4)).when(F.col("n") >= 4, at(3)).try_cast("double").alias("score"),
         F.when(F.col("n") >= 6, at(5)).alias("tag"),
     )
 
 
 def parse_run_records(lines: DataFrame, *keep: str) -> DataFrame:
-    """``qid, docid, rank, score`` of JSON records with aliased keys; a rank of 0 counts as missing (null)."""
-    keys = [*QID_KEYS, *DOC_KEYS, *RANK_KEYS, "score"]
+    """``qid, docid, rank, score`` of JSON records with aliased keys; a missing rank or one of 0 is the number of the record (column ``line``; null without)."""
+    keys = [*QID_KEYS, *DOC_KEYS, *RANK_KEYS, *SCORE_KEYS]
     schema = T.StructType([T.StructField(k, T.StringType()) for k in dict.fromkeys(keys)])
     r = lines.withColumn("r", F.from_json("value", schema))
     pick = lambda names: F.coalesce(*[_some(F.col(f"r.{k}")) for k in names])
     rank = pick(RANK_KEYS).try_cast("int")
-    return r.select(*keep, pick(QID_KEYS).alias("qid"), pick(DOC_KEYS).alias("docid"), F.when(rank > 0, rank).alias("rank"), F.col("r.score").try_cast("double").alias("score"))
+    place = F.coalesce(F.when(rank > 0, rank), _place(lines))
+    return r.select(*keep, pick(QID_KEYS).alias("qid"), pick(DOC_KEYS).alias("docid"), place.alias("rank"), pick(SCORE_KEYS).try_cast("double").alias("score"))
 
 
 def read_run(spark: SparkSession, path: str) -> DataFrame:
     """A run by its suffix: ``.jsonl`` records, ``.json`` map of lists, of score maps or of objects, else text lines."""
     if path.endswith(".jsonl"):
-        return parse_run_records(spark.read.text(path)).select("qid", "docid", "rank", "score")
+        return parse_run_records(numbered(spark.read.text(path))).select("qid", "docid", "rank", "score")
     if not path.endswith(".json"):
-        return parse_run_lines(spark.read.text(path)).select("qid", "docid", "rank", "score")
+        return parse_run_lines(numbered(spark.read.text(path))).select("qid", "docid", "rank", "score")
     whole = spark.read.text(path, wholetext=True).select("value")
     values = whole.select(F.explode(F.from_json("value", T.MapType(T.StringType(), T.StringType()))).alias("qid", "v"))
     listed = values.filter(F.trim("v").startswith("[")).select("qid", F.posexplode(F.from_json("v", T.ArrayType(T.StringType()))).alias("pos", "x"))
@@ -172,6 +185,39 @@ def write_json_lines(df: DataFrame, path: str) -> None:
     df.drop(*[c for c in df.columns if c.startswith("_")]).write.mode("errorifexists").json(path)
 
 
+def write_json_array(df: DataFrame, path: str, valid: Column) -> int:
+    """One JSON array in ``path``, written beside it and renamed when it is complete; a row that isn't ``valid`` is an error. Returns the rows.
+
+    For exports that one reader takes whole; rows stream through the driver one partition at a time. Works on every file system of the cluster.
+    """
+    bad = df.filter(~F.coalesce(valid, F.lit(False))).count()
+    if bad:
+        raise ValueError(f"{bad} rows aren't valid")
+    spark = df.sparkSession
+    names = spark._jvm.org.apache.hadoop.fs
+    target, part = names.Path(path), names.Path(f"{path}.part")
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    out, count = system.create(part, True), 0
+    try:
+        out.write(bytearray(b"["))
+        for r in df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("j")).toLocalIterator():
+            out.write(bytearray((",\n" if count else "\n").encode() + r.j.encode()))
+            count += 1
+        out.write(bytearray(b"\n]\n"))
+    finally:
+        out.close()
+    system.delete(target, False)
+    if not system.rename(part, target):
+        raise OSError(f"can't rename to {path}")
+    return count
+
+
+def is_ranking_payload(value: Column) -> Column:
+    """Whether a JSON text is a map with entries of which the first 20 are lists."""
+    m = F.from_json(value, T.MapType(T.StringType(), T.StringType()))
+    return F.coalesce((F.size(m) > 0) & F.forall(F.slice(F.map_values(m), 1, 20), lambda v: F.coalesce(F.trim(v).startswith("["), F.lit(False))), F.lit(False))
+
+
 def extract_json_object(x: str | Column) -> Column:
     """The first balanced JSON object in a noisy text; null without one."""
 
