@@ -1,7 +1,8 @@
 """Evaluation of rankings: per-query measures, averages, rank buckets, graded measures.
 
 Inputs: ``gold(qid, gold)`` and ``run(run_id, qid, docid, rank)``. A query without ranking or gold scores 0 and stays in the
-denominator. A document listed twice counts twice, as in the evaluated protocol; normalise the run first to avoid it.
+denominator. ``per_query`` takes the first place of the gold document; ``repeated_hits`` counts a document listed twice twice, as the
+evaluated protocol does for lists that aren't normalised.
 """
 
 from __future__ import annotations
@@ -44,6 +45,20 @@ def per_query(ranked: DataFrame) -> DataFrame:
     return ranked.select("run_id", "qid", "gold", "rank", *measures)
 
 
+def repeated_hits(run: DataFrame, gold: DataFrame, k: int = 10) -> DataFrame:
+    """``run_id, qid, times, first_rank, precision_k, ap, ndcg_k`` of the queries whose gold is listed; every place of it is a hit."""
+    hits = run.join(gold.withColumnRenamed("gold", "docid"), ["qid", "docid"])
+    so_far = F.row_number().over(Window.partitionBy("run_id", "qid").orderBy("rank"))
+    early = F.col("rank") <= k
+    return hits.withColumn("n", so_far).groupBy("run_id", "qid").agg(
+        F.count(F.lit(1)).alias("times"),
+        F.min("rank").alias("first_rank"),
+        (F.sum(early.cast("int")) / k).alias(f"precision_{k}"),
+        F.sum(F.col("n") / F.col("rank")).alias("ap"),
+        F.sum(F.when(early, 1 / F.log2(F.col("rank") + 1)).otherwise(0.0)).alias(f"ndcg_{k}"),
+    )
+
+
 def averages(ranked: DataFrame, measures: dict[str, Column]) -> DataFrame:
     """Means per system, rounded to six digits."""
     return ranked.groupBy("run_id").agg(*[F.round(F.avg(v), 6).alias(k) for k, v in measures.items()])

@@ -6,27 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from citeloom.session import materialise
+
 
 def global_position(df: DataFrame, order: list[str], name: str = "position") -> DataFrame:
     """``df`` with its 0-based position in the total order of the columns ``order`` (which must be unique together).
 
-    Rows are spread over buckets that are ranges of the first column, split at approximate quantiles; positions count inside buckets and
-    are shifted by the sizes of the buckets before. Only bucket sizes are gathered in one place. The borders of a first column that isn't numeric
-    come from a hash-ordered sample of 4,096 values.
+    Rows are range-partitioned by all columns of the order, so ties in the first don't pile up, into as many buckets as the session has shuffle
+    partitions (adaptive execution joins small ones). They are written once with the number of their bucket; positions count inside buckets and
+    are shifted by the sizes of the buckets before. Only bucket sizes are gathered in one place.
     """
-    parts = 64
-    first = order[0]
-    numeric = df.schema[first].dataType.typeName() in ("byte", "short", "integer", "long", "float", "double", "decimal")
-    if numeric:
-        borders = df.approxQuantile(first, [i / parts for i in range(1, parts)], 0.01)
-    else:
-        sample = df.select(first).filter(F.col(first).isNotNull()).orderBy(F.xxhash64(first)).limit(4096).collect()
-        values = sorted(r[0] for r in sample)
-        borders = [values[i * len(values) // parts] for i in range(1, parts)] if values else []
-    bucket = F.lit(0)
-    for b in sorted(set(borders)):
-        bucket = bucket + F.when(F.col(first) >= F.lit(b), 1).otherwise(0)
-    rows = df.withColumn("__b", bucket)
+    rows = materialise(df.repartitionByRange(*order).withColumn("__b", F.spark_partition_id()), "ordered")
     sizes = rows.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     shifts = sizes.select("__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__shift"))

@@ -350,6 +350,13 @@ def overlap_score(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("new_score", F.round(share, 6))
 
 
+def log_softmax(yes: str | Column, no: str | Column) -> Column:
+    """Log probability of the first of two logits, without overflow."""
+    a, b = (F.col(v) if isinstance(v, str) else v for v in (yes, no))
+    top = F.greatest(a, b)
+    return a - top - F.log(F.exp(a - top) + F.exp(b - top))
+
+
 def ltr_features(candidates: DataFrame, signals: tuple[str, ...] = ("dense", "sparse", "late")) -> DataFrame:
     """Raw and per-query min-max signals, and three functions of the dense rank (0-based r)."""
     every = Window.partitionBy("qid")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from citeloom.operators.ordering import global_position
+
 
 def seeded(seed: int, *columns: str) -> Column:
     """Order key of a row under a seed."""
@@ -92,8 +94,6 @@ def interleave(a: DataFrame, b: DataFrame, id_col: str, window: int = 128, seed:
 
     Positions come from ``ordering.global_position``, so no single task sorts all rows.
     """
-    from citeloom.operators.ordering import global_position
-
     parts = []
     for name, df in (("a", a), ("b", b)):
         rows = df.select(F.col(id_col).alias("id"))
@@ -112,3 +112,33 @@ def margin_loss(pairs: DataFrame, margin: float = 1.0, keys: tuple[str, ...] = (
     n = pairs.filter("label = 0").select(*keys, F.col("score").alias("n"))
     both = p.join(n, list(keys))
     return both.groupBy(*keys).agg(F.count(F.lit(1)).alias("pairs"), F.round(F.avg(F.greatest(F.lit(0.0), F.lit(margin) - (F.col("p") - F.col("n")))), 6).alias("loss"))
+
+
+def split_exact(rows: DataFrame, key: str, shares: dict[str, float], rest: str, seed: int = 42, least: int = 0) -> DataFrame:
+    """``key, part``: parts of int(n * share) rows (``least`` at least) in seeded order, the others in ``rest``; an empty part is an error.
+
+    ``rows`` have distinct keys. Places come from hash ranges and their sizes, not from one global window.
+    """
+    placed = global_position(rows.select(key).withColumn("__order", seeded(seed, key)), ["__order", key])
+    count = rows.count()
+    sizes = {name: max(least, int(count * share)) for name, share in shares.items()}
+    sizes[rest] = count - sum(sizes.values())
+    if min(sizes.values()) < 1:
+        raise ValueError(f"a part would be empty: {sizes}")
+    part, end = None, 0
+    for name in shares:
+        end += sizes[name]
+        part = F.when(F.col("position") < end, name) if part is None else part.when(F.col("position") < end, name)
+    return placed.select(key, part.otherwise(rest).alias("part"))
+
+
+def merged_negatives(negatives: Column, neg: Column, hard: Column) -> Column:
+    """The list ``negatives`` where there is one, else ``neg`` and then ``hard``; each document once."""
+    none = F.array().cast("array<string>")
+    both = F.concat(F.coalesce(neg, none), F.coalesce(hard, none))
+    return F.array_distinct(F.array_compact(F.coalesce(negatives, both)))
+
+
+def logistic_loss(score: Column, label: Column) -> Column:
+    """Binary cross entropy of a logit, without overflow."""
+    return F.greatest(score, F.lit(0.0)) - score * label + F.log1p(F.exp(-F.abs(score)))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citeloom.plans import q_eval, q_more, q_search, q_text, q_train  # noqa: F401
+from citeloom.plans import q_eval, q_more, q_rules, q_search, q_text, q_train  # noqa: F401
 from citeloom.plans.registry import QUERIES, SQL
 
 

@@ -1,5 +1,6 @@
 """Every query against its SQL on the smallest tables, and edge fixtures of the operators."""
 
+import json
 import math
 import os
 import random
@@ -90,9 +91,46 @@ def test_run_readers(spark, tmp_path):
     assert read("a.json") == [("7", "12", 1), ("7", "3", 2), ("8", "x", 1), ("8", "y", 5)]
     assert read("b.json") == [("7", "12", 2), ("7", "3", 1), ("8", "x", 2), ("8", "y", 1)]
     got = runs.read_run(spark, str(tmp_path / "c.jsonl")).collect()
-    assert {(r.qid, r.docid, r["rank"]) for r in got if r.docid} == {("7", "12", None), ("7", "3", 2)}
+    assert {(r.qid, r.docid, r["rank"]) for r in got if r.docid} == {("7", "12", 1), ("7", "3", 2)}
     got = runs.read_run(spark, str(tmp_path / "d.txt")).collect()
-    assert [(r.docid, r["rank"]) for r in got] == [("12", 1), ("12", 1), ("12", None)]
+    assert [(r.docid, r["rank"]) for r in got] == [("12", 1), ("12", 1), ("12", 5)]
+    (tmp_path / "e.jsonl").write_text('{"queryId": 7, "documentId": "a", "similarity": 0.25}\n{"query_id": "7", "docno": "b", "value": "2"}\n')
+    got = {(r.qid, r.docid, r["rank"], r.score) for r in runs.read_run(spark, str(tmp_path / "e.jsonl")).collect()}
+    assert got == {("7", "a", 1, 0.25), ("7", "b", 2, 2.0)}
+
+
+def test_json_array_sink(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, None)], "qid int, text string")
+    path = str(tmp_path / "out.json")
+    with pytest.raises(ValueError):
+        runs.write_json_array(df, path, F.col("text").isNotNull())
+    assert not os.path.exists(path) and runs.write_json_array(df, path, F.col("qid") > 0) == 2
+    assert sorted((r["qid"], r["text"]) for r in json.loads(open(path).read())) == [(1, "a"), (2, None)]
+    assert not os.path.exists(path + ".part") and runs.write_json_array(df.limit(0), path, F.lit(True)) == 0 and json.loads(open(path).read()) == []
+
+
+def test_splits_raise_on_empty_parts(spark):
+    rows = spark.range(5).withColumnRenamed("id", "qid")
+    with pytest.raises(ValueError):
+        training.split_exact(rows, "qid", {"dev": 0.1}, "train")
+    with pytest.raises(ValueError):
+        training.split_exact(rows, "qid", {"dev": 0.1}, "train", least=10)
+
+
+def test_losses_and_heads_at_the_extremes(spark):
+    row = spark.range(1).select(
+        training.logistic_loss(F.lit(800.0), F.lit(1)).alias("a"), training.logistic_loss(F.lit(-800.0), F.lit(1)).alias("b"),
+        retrieval.log_softmax(F.lit(900.0), F.lit(-900.0)).alias("c"), dist.normal_two_sided(F.lit(1.959964)).alias("d"), dist.normal_two_sided(F.lit(0.0)).alias("e"),
+    ).first()
+    assert row.a == 0 and row.b == 800 and row.c == 0 and abs(row.d - 0.05) < 1e-6 and abs(row.e - 1) < 1e-6
+
+
+def test_translation_and_cues(spark):
+    raw = "user\nTranslate and give nothing else. \nassistant\nEnglish: \n\nA line.\n  \n  Another. \n"
+    row = spark.createDataFrame([(raw, "RT by Smith: WHO and FDA, the Mayo Clinic says. J.D. Miller et al")], "t string, c string").select(T.clean_translation("t"), T.entity_cue_score("c")).first()
+    assert row[0] == "A line.\n  Another." and row[1] == 2 * 4 + 2 + 3 + 4 + 2
+    folded = spark.createDataFrame([("Škoda Łódź ﬁne Ｗide Ǆ",)], "t string").select(T.ascii_fold("t")).first()[0]
+    assert folded == "Skoda odz fine Wide DZ"
 
 
 def test_query_and_paper_readers(spark, tmp_path):
