@@ -4,16 +4,16 @@ Vectors are normalised; equal directions are collapsed to one class (id: the sma
 can stand for it in lists. Each class is placed on several Hilbert curves: per curve a seeded orthonormal projection to
 ``DIMS`` dimensions, a random shift, ``BITS`` bits a dimension. Spark range-partitions and sorts the rows by (curve, key);
 each task slides over its sorted rows and compares every row by exact cosine with all rows of its own and both neighbouring windows.
-The k best of all curves are merged.
+The k best of all curves are merged and reranked.
 
 Accuracy: approximate. README.md gives the recall measured against brute force. A window does not reach over the
-border of two tasks; the other curves, with other shifts, have other borders. With ``hold`` the result has that recall at any size:
-where the windows would compare as much as all pairs, or a sample of classes against brute force shows less recall, all pairs
-are compared in blocks (exact).
+border of two tasks; the other curves, with other shifts, have other borders, so lists can differ a little with the number of tasks. With ``hold`` the
+result has that recall over a sample of classes: the curves then give ``BREADTH`` candidates each, and where that isn't enough, rounds of merging follow in which
+the neighbours of a class (and the classes it is a neighbour of) are compared with each other, so that neighbours of neighbours come in.
+Comparisons a vector don't grow with the number of vectors. Only if ``ROUNDS`` rounds don't do, all pairs are compared in blocks (exact, quadratic).
 
-Scale: rows shuffled are curves x classes; work is linear in the rows. Only a similarity list of k per class and curve
-leaves a task. Nothing is broadcast but the projections (a few kB, in the closure) and ``SAMPLE`` vectors. The exact comparison is
-quadratic in the classes; it shuffles classes x (classes / ``BLOCK_ROWS``) rows.
+Scale: rows shuffled are curves x classes, and 2 x ``BREADTH`` x classes in a round; work is linear in the rows. Only short lists leave
+a task. Nothing is broadcast but the projections (a few kB, in the closure) and ``SAMPLE`` vectors.
 
 Defined results: null, empty and zero vectors, vectors with a null, NaN or infinite value and vectors of another length than ``dim``
 have no neighbours; ties go to the smaller id; a repeated id counts once; a null id is dropped; an empty table gives no rows;
@@ -23,6 +23,7 @@ other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -37,6 +38,8 @@ DIMS, BITS = 8, 7
 TASK_ROWS = 20_000
 #: Classes of a block of the exact comparison, and classes whose recall is measured.
 BLOCK_ROWS, SAMPLE = 50_000, 300
+#: Neighbours that a class keeps between rounds, those a curve gives, and rounds at most.
+BREADTH, FROM_CURVE, ROUNDS = 30, 5, 5
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -83,20 +86,28 @@ def curve_keys(unit: np.ndarray, matrix: np.ndarray, shift: np.ndarray) -> np.nd
 
 def unit_rows(vectors: pd.Series, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """(positions of usable vectors, their unit rows)."""
-    at = [i for i, v in enumerate(vectors) if v is not None and len(v) == dim and not any(x is None for x in v)]
-    rows = np.array([vectors.iloc[i] for i in at], dtype=np.float64).reshape(len(at), dim)
+    at = [i for i, v in enumerate(vectors) if v is not None and len(v) == dim]
+    values = vectors.to_numpy()
+    # A null in a list comes as NaN or None; either isn't finite as a float.
+    rows = np.array([np.asarray(values[i], dtype=np.float64) for i in at]).reshape(len(at), dim)
     with np.errstate(all="ignore"):
         norm = np.linalg.norm(rows, axis=1)
         good = np.isfinite(norm) & (norm > 0)
     return np.array(at, dtype=np.int64)[good], rows[good] / norm[good][:, None]
 
 
-def best_in_windows(ids: np.ndarray, unit: np.ndarray, k: int, window: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(id, neighbour, similarity): the k best of each row among its own and the neighbouring windows of sorted rows."""
-    left, right, sims = [], [], []
-    for a in range(0, len(ids), window):
+def best_in_windows(
+    ids: np.ndarray, unit: np.ndarray, k: int, window: int, least: float, start: int = 0, last: bool = True
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(id, neighbour, similarity) of the k best of each row from ``start`` on among its own and the neighbouring windows of sorted rows, and the row to go on with.
+
+    Unless they are the ``last``, rows without a whole window behind theirs are left for later.
+    """
+    left, right, sims = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)], [np.empty(0)]
+    end = len(ids) if last else start + max(0, (len(ids) - start) // window - 1) * window
+    for a in range(start, end, window):
         low, high = max(0, a - window), min(len(ids), a + 2 * window)
-        s = unit[a : a + window] @ unit[low:high].T
+        s = unit[a : min(a + window, len(ids))] @ unit[low:high].T
         here = np.arange(len(s))
         s[here, here + a - low] = -2
         if least > -1:
@@ -109,13 +120,11 @@ def best_in_windows(ids: np.ndarray, unit: np.ndarray, k: int, window: int, leas
         rows, cols, value = rows[keep], cols[keep], value[keep]
         order = np.lexsort((ids[low + cols], -value, rows))
         rows, cols, value = rows[order], cols[order], value[order]
-        first = np.r_[True, rows[1:] != rows[:-1]] if len(rows) else np.empty(0, bool)
-        rank = np.arange(len(rows)) - np.maximum.accumulate(np.where(first, np.arange(len(rows)), 0)) if len(rows) else rows
-        top = rank < k
+        top = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
         left.append(ids[a + rows[top]])
         right.append(ids[low + cols[top]])
         sims.append(value[top])
-    return np.concatenate(left), np.concatenate(right), np.concatenate(sims)
+    return np.concatenate(left), np.concatenate(right), np.concatenate(sims), end
 
 
 def best_of(ids: np.ndarray, unit: np.ndarray, others: np.ndarray, their: np.ndarray, k: int, least: float) -> pd.DataFrame:
@@ -178,6 +187,68 @@ def sample_recall(classes: DataFrame, pairs: DataFrame, k: int, least: float, di
     return min(1.0, float(held) / len(true)) if len(true) else 1.0
 
 
+def merged(found: DataFrame, k: int) -> DataFrame:
+    """The k best of each class in ``c, d, s``, each neighbour once."""
+    best = Window.partitionBy("c").orderBy(F.col("s").desc(), "d")
+    pairs = found.groupBy("c", "d").agg(F.max("s").alias("s"))
+    return pairs.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k).select("c", "d", "s")
+
+
+def compared(owner: np.ndarray, ids: np.ndarray, unit: np.ndarray, floor: np.ndarray, k: int) -> pd.DataFrame:
+    """``c, d, s``: of rows sorted by owner, the pairs within an owner's rows that exceed the floor of ``c``, at most k of each ``c``."""
+    names, code = np.unique(ids, return_inverse=True)
+    borders = np.r_[np.nonzero(np.r_[True, owner[1:] != owner[:-1]])[0], len(owner)]
+    left, right, sims = [], [], []
+    for a, b in zip(borders[:-1], borders[1:]):
+        s = unit[a:b] @ unit[a:b].T
+        np.fill_diagonal(s, -2)
+        rows, cols = np.nonzero(s > floor[a:b, None])
+        left.append(code[a + rows])
+        right.append(code[a + cols])
+        sims.append(s[rows, cols])
+    left, right, sims = np.concatenate(left), np.concatenate(right), np.concatenate(sims)
+    first = np.unique(left * len(names) + right, return_index=True)[1]
+    left, right, sims = left[first], right[first], sims[first]
+    order = np.lexsort((right, -sims, left))
+    left, right, sims = left[order], right[order], sims[order]
+    top = np.arange(len(left)) - np.searchsorted(left, left) < k
+    return pd.DataFrame({"c": names[left[top]], "d": names[right[top]], "s": sims[top].astype(np.float64)})
+
+
+def second_neighbours(keyed: DataFrame, pairs: DataFrame, dim: int) -> DataFrame:
+    """``c, d, s``: for every class, its neighbours and at most ``BREADTH`` classes it is a neighbour of are compared with each other.
+
+    Classes are taken in the order of one curve (``keyed``: c, u, key), so that a task meets the same rows often and gives a pair once.
+    """
+    back = Window.partitionBy("d").orderBy(F.col("s").desc(), "c")
+    reverse = pairs.withColumn("n", F.row_number().over(back)).filter(F.col("n") <= BREADTH).select(F.col("d").alias("v"), F.col("c").alias("x"))
+    members = pairs.select(F.col("c").alias("v"), F.col("d").alias("x")).unionByName(reverse).distinct()
+    # Only what beats the last of a full list is new.
+    floors = pairs.groupBy(F.col("c").alias("x")).agg(F.when(F.count(F.lit(1)) >= BREADTH, F.min("s")).otherwise(-2.0).alias("f"))
+    known = keyed.select(F.col("c").alias("x"), "u").join(floors, "x", "left")
+    rows = members.join(known, "x").join(keyed.select(F.col("c").alias("v"), "key"), "v").select("key", "v", "x", "u", F.coalesce("f", F.lit(-2.0)).alias("f"))
+
+    def work(rows: pd.DataFrame) -> pd.DataFrame:
+        return compared(rows["v"].to_numpy(), rows["x"].to_numpy(), _matrix(rows["u"], dim), rows["f"].to_numpy(), BREADTH)
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None
+        for batch in batches:
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            if not len(rows):
+                continue
+            # The last class may go on in the next batch.
+            v = rows["v"].to_numpy()
+            end = len(v) - int(np.argmax(v[::-1] != v[-1])) if (v != v[-1]).any() else 0
+            if end:
+                yield work(rows.iloc[:end])
+            held = rows.iloc[end:]
+        if held is not None and len(held):
+            yield work(held)
+
+    return rows.repartitionByRange("key", "v").sortWithinPartitions("key", "v").mapInPandas(scan, "c long, d long, s double")
+
+
 def neighbours(
     df: DataFrame, id_col: str, vec: str, k: int = 5, least: float = -1.0, dim: int = 64, curves: int = 8, window: int = 128, seed: int = 7, hold: float = 0.0
 ) -> DataFrame:
@@ -214,37 +285,37 @@ def neighbours(
 
     def slide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
-
-        def work(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-            for _, part in rows.groupby("curve", sort=False):
-                unit = np.frombuffer(b"".join(part["u"]), dtype=np.float32).reshape(-1, dim)
-                a, b, s = best_in_windows(part["c"].to_numpy(), unit, k, window, least)
+        start = 0
+        for batch in chain(batches, [None]):
+            rows = held if batch is None else batch if held is None else pd.concat([held, batch], ignore_index=True)
+            if rows is None or not len(rows):
+                continue
+            parts = [part for _, part in rows.groupby("curve", sort=False)]
+            for i, part in enumerate(parts):
+                last = batch is None or i < len(parts) - 1
+                a, b, s, start = best_in_windows(part["c"].to_numpy(), _matrix(part["u"], dim), each, window, least, start, last)
                 yield pd.DataFrame({"c": a, "d": b, "s": s.astype(np.float64)})
-
-        for batch in batches:
-            # The last two windows come again with the next batch, so that windows reach over batches.
-            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            yield from work(rows)
-            held = rows.iloc[-2 * window :]
+                # The window before the next row comes again with the next batch.
+                held, start = (None, 0) if last else (part.iloc[max(0, start - window) :], min(start, window))
 
     count = classes.count()
-    best = Window.partitionBy("c").orderBy(F.col("s").desc(), "d")
-
-    def merged(found: DataFrame) -> DataFrame:
-        pairs = found.groupBy("c", "d").agg(F.max("s").alias("s"))
-        return pairs.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k).select("c", "d", "s")
-
+    each = FROM_CURVE if hold else k
     if hold and count <= 3 * curves * window:
-        pairs = merged(all_pairs(classes, count, k, least, dim))
+        pairs = merged(all_pairs(classes, count, k, least, dim), k)
     else:
         tasks = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), count * curves // TASK_ROWS))
         placed = classes.select("c", "u").mapInPandas(place_on_curves, "curve int, key long, c long, u binary")
         found = placed.repartitionByRange(tasks, "curve", "key", "c").sortWithinPartitions("curve", "key", "c").mapInPandas(slide, "c long, d long, s double")
-        pairs = merged(found)
+        pairs = merged(found, BREADTH if hold else k)
         if hold:
             pairs = materialise(pairs, "pairs")
-            if sample_recall(classes, pairs, k, least, dim) < hold:
-                pairs = merged(all_pairs(classes, count, k, least, dim))
+            keyed = materialise(classes.select("c", "u").mapInPandas(place_on_curves, "curve int, key long, c long, u binary").filter("curve = 0").drop("curve"), "keyed")
+            for turn in range(ROUNDS + 1):
+                held = sample_recall(classes, merged(pairs, k), k, least, dim) >= hold
+                if held or turn == ROUNDS:
+                    break
+                pairs = materialise(merged(pairs.unionByName(second_neighbours(keyed, pairs, dim)), BREADTH), "pairs")
+            pairs = merged(pairs if held else all_pairs(classes, count, k, least, dim), k)
     # Of a neighbouring class and of the own class at most k + 1 ids can be needed.
     others = pairs.join(classes.select(F.col("c").alias("d"), "ids"), "d").select("c", F.explode("ids").alias("other"), "s")
     own = classes.filter(F.size("ids") > 1).select("c", F.explode("ids").alias("other"), F.lit(1.0).alias("s"))

@@ -247,5 +247,40 @@ def test_neighbours_hold_recall_beyond_the_windows(spark, monkeypatch):
         return len({(r.id, r.other) for r in rows} & true) / len(true)
 
     assert recall(2, 64) < 0.5  # what fixed windows see of random vectors
+    assert recall(2, 64, hold=0.95) >= 0.94  # rounds of second neighbours until a sample has it
+    monkeypatch.setattr(curves, "ROUNDS", 0)
     assert recall(2, 64, hold=0.95) > 0.999  # measured, then all pairs
     assert recall(16, 64, hold=0.95) > 0.999  # all pairs at once
+
+
+def test_windows_do_not_depend_on_batches():
+    rng = np.random.default_rng(3)
+    unit = rng.standard_normal((500, 8))
+    ids = rng.permutation(500)
+    whole = curves.best_in_windows(ids, unit, 4, 32, -1.0)
+    want = set(zip(*(x.tolist() for x in whole[:2])))
+    for size in (1, 30, 77, 499):
+        got, first, start = set(), 0, 0
+        for end in [*range(size, 500, size), 500]:
+            left, right, _, start = curves.best_in_windows(ids[first:end], unit[first:end], 4, 32, -1.0, start, end == 500)
+            got |= set(zip(left.tolist(), right.tolist()))
+            first, start = first + max(0, start - 32), min(start, 32)
+        assert got == want
+
+
+def test_second_neighbours_against_brute_force():
+    rng = np.random.default_rng(4)
+    unit = rng.standard_normal((60, 8))
+    ids = np.arange(60) * 7
+    owner, member = np.unique(np.stack([rng.integers(0, 12, 200), rng.integers(0, 60, 200)]), axis=1)
+    floor = rng.uniform(-1, 1, 60)
+    got = curves.compared(owner, ids[member], unit[member], floor[member], 3)
+    best = {}
+    for o in set(owner.tolist()):
+        for x in member[owner == o]:
+            for y in member[owner == o]:
+                s = float(unit[x] @ unit[y])
+                if x != y and s > floor[x]:
+                    best.setdefault(int(ids[x]), {})[int(ids[y])] = s
+    want = {(c, d) for c, own in best.items() for d, _ in sorted(own.items(), key=lambda t: (-t[1], t[0]))[:3]}
+    assert {(c, d) for c, d in zip(got.c.tolist(), got.d.tolist()) } == want
