@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -142,3 +142,19 @@ def merged_negatives(negatives: Column, neg: Column, hard: Column) -> Column:
 def logistic_loss(score: Column, label: Column) -> Column:
     """Binary cross entropy of a logit, without overflow."""
     return F.greatest(score, F.lit(0.0)) - score * label + F.log1p(F.exp(-F.abs(score)))
+
+
+def back_translated(rows: DataFrame, cache: DataFrame, there: str, back: str) -> DataFrame:
+    """``qid, src, pivot, variant`` of ``rows(qid, src)`` by way of a pivot, from ``cache(direction, src, dst)``; what equals the source drops out."""
+    first = cache.filter(F.col("direction") == there).select("src", F.col("dst").alias("pivot"))
+    second = cache.filter(F.col("direction") == back).select(F.col("src").alias("pivot"), F.col("dst").alias("variant"))
+    found = rows.join(first, "src").filter("pivot != src").join(second, "pivot")
+    return found.filter("lower(trim(variant)) != lower(trim(src))").select("qid", "src", "pivot", "variant").distinct()
+
+
+def random_settings(spark: SparkSession, trials: int, ranges: dict[str, tuple[int, int]], seed: int = 42) -> DataFrame:
+    """``trial`` and a seeded whole number in each range; a setting drawn twice keeps its first trial."""
+    rows = spark.range(trials).withColumnRenamed("id", "trial")
+    for name, (low, high) in ranges.items():
+        rows = rows.withColumn(name, low + F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(name), F.col("trial").cast("string"))), 1, 8), 16, 10).cast("bigint"), F.lit(high - low + 1)))
+    return rows.groupBy(*ranges).agg(F.min("trial").alias("trial")).select("trial", *ranges)

@@ -12,7 +12,8 @@ from citeloom.operators import retrieval as R
 from citeloom.operators import training as N
 from citeloom.plans import base
 from citeloom.plans import sqltext as S
-from citeloom.plans.q_search import BM25, _docs, bm25_run
+from citeloom.plans.q_eval import JUDGED, _judged
+from citeloom.plans.q_search import BM25, DENSE, VECS, _dense, _docs, _index, bm25_run
 from citeloom.plans.q_train import GROUPS, _hex, _md5, _pool
 from citeloom.plans.registry import query
 from citeloom.session import materialise, table
@@ -266,3 +267,142 @@ def logistic_loss(spark: SparkSession, d: str) -> DataFrame:
     rows = base.runs(spark, d).join(base.gold(spark, d), "qid")
     label = F.coalesce(F.col("docid") == F.col("gold"), F.lit(False)).cast("int")
     return rows.select("run_id", N.logistic_loss(F.col("score"), label).alias("l")).groupBy("run_id").agg(F.round(F.avg("l"), 6).alias("loss"))
+
+
+# Run maps, filters, expansions.
+
+
+@query(f"""WITH {S.RUNS}, m AS (SELECT *, CASE WHEN qid % 2 = 0 THEN 1000 - rank END AS given, CASE WHEN qid % 2 = 0 AND rank % 5 = 0 THEN NULL ELSE 1 END AS has FROM runs WHERE rank <= 50),
+    g AS (SELECT *, CASE WHEN has = 1 THEN given END AS place FROM m)
+    SELECT run_id, qid, docid, CAST(row_number() OVER (PARTITION BY run_id, qid ORDER BY place ASC NULLS LAST, score DESC, docid) AS INTEGER) AS rank FROM g""")
+def run_from_rank_map(spark: SparkSession, d: str) -> DataFrame:
+    """Maps of document to score and, for every other query, an explicit rank: where there is any, ranks decide and documents without come last."""
+    rows = base.runs(spark, d).filter("rank <= 50")
+    given = F.when((F.col("qid") % 2 == 0) & (F.col("rank") % 5 != 0), 1000 - F.col("rank"))
+    maps = rows.groupBy("run_id", "qid").agg(F.map_from_entries(F.collect_list(F.struct("docid", F.struct("score", given.alias("rank"))))).alias("entries"))
+    return IO.rank_entry_maps(maps).select("run_id", "qid", "docid", "rank")
+
+
+@query(f"""WITH {BM25} SELECT b.qid, b.docid, CAST(row_number() OVER (PARTITION BY b.qid ORDER BY b.score DESC, b.docid) AS INTEGER) AS rank FROM bm_s b JOIN topics t USING (qid) JOIN corpus g ON g.pubkey = t.gold
+    JOIN corpus c ON c.pubkey = b.docid WHERE lower(trim(c.authors, ' ')) = lower(trim(g.authors, ' ')) AND trim(g.authors, ' ') <> ''""")
+def author_search(spark: SparkSession, d: str) -> DataFrame:
+    """BM25 with mandatory authors, those of the gold paper; the filter acts before the ranking."""
+    papers = base.corpus(spark, d).select("pubkey", F.lower(F.trim("authors")).alias("by")).filter("by != ''")
+    wanted = base.topics(spark, d).join(papers.withColumnRenamed("pubkey", "gold"), "gold").select("qid", "by")
+    allowed = wanted.join(papers.withColumnRenamed("pubkey", "docid"), "by").select("qid", "docid")
+    weights = R.weighted_postings(_index(spark, d), {"title": 2.0})
+    terms = R.query_terms(base.topics(spark, d), T.tokenize_sparse("text"))
+    hits = terms.join(allowed, "qid").join(weights, ["docid", "term"]).groupBy("qid", "docid").agg(F.round(F.sum(F.col("qw") * F.col("w")), 6).alias("score"))
+    order = Window.partitionBy("qid").orderBy(F.desc("score"), "docid")
+    return hits.select("qid", "docid", F.row_number().over(order).alias("rank"))
+
+
+@query(f"""WITH {S.CORPUS}, {VECS}, {DENSE.replace('rank <= 30', 'rank <= 5')}, own AS (SELECT v.vec_id, v.pubkey, c.doc_text FROM vecs v JOIN corpus c USING (pubkey)),
+    pool AS (SELECT n.qid, n.rank, greatest(1, round_even(5 * n.score, 0)) AS times, x.term, x.pos FROM dense n JOIN (SELECT vec_id AS docid, unnest(toks) AS term, generate_subscripts(toks, 1) AS pos
+             FROM (SELECT vec_id, {S.tok_expansion('doc_text')} AS toks FROM own)) x USING (docid)),
+    counted AS (SELECT qid, term, sum(times) AS n, min(rank * 1000000 + pos) AS seen FROM pool GROUP BY qid, term),
+    top30 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY n DESC, seen) AS k FROM counted) WHERE k <= 30),
+    known AS (SELECT DISTINCT vec_id AS qid, unnest({S.tok_expansion('doc_text')}) AS term FROM own)
+    SELECT qid, term, CAST(n AS DOUBLE) AS n, CAST(pos AS INTEGER) AS pos FROM (SELECT t.*, row_number() OVER (PARTITION BY t.qid ORDER BY k) AS pos FROM top30 t ANTI JOIN known o ON t.qid = o.qid AND t.term = o.term) WHERE pos <= 15""")
+def neighbor_expansion_dense(spark: SparkSession, d: str) -> DataFrame:
+    """Terms of the five nearest papers by vector, each counted ``max(1, bround(5 score))`` times; 30 most frequent, own terms out, first 15."""
+    papers = base.corpus(spark, d).select("pubkey", T.tokenize_expansion("doc_text").alias("tokens"))
+    texts = materialise(table(spark, d, "paper_vectors").filter("vec IS NOT NULL").select("vec_id", "pubkey").join(papers, "pubkey").select("vec_id", "tokens"), "tokens")
+    near = _dense(spark, d, 5).withColumn("times", F.greatest(F.lit(1.0), F.bround(5 * F.col("score"), 0)))
+    pool = near.join(texts.withColumnRenamed("vec_id", "docid"), "docid").select("qid", "rank", "times", F.posexplode("tokens").alias("at", "term"))
+    counted = pool.groupBy("qid", "term").agg(F.sum("times").alias("n"), F.min(F.struct("rank", "at")).alias("seen"))
+    top = counted.withColumn("k", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("n"), "seen"))).filter("k <= 30")
+    own = texts.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.explode("tokens").alias("term")).distinct()
+    left = top.join(own, ["qid", "term"], "left_anti")
+    return left.withColumn("pos", F.row_number().over(Window.partitionBy("qid").orderBy("k"))).filter("pos <= 15").select("qid", "term", "n", "pos")
+
+
+@query(f"""WITH {S.TOPICS}, {S.CORPUS}, f AS (SELECT t.qid, t.text AS original, {S.drop_handles('t.text')} AS clean, {S.joined(S.tok_expansion('t.text'))} AS keywords, {S.joined(S.tok_expansion("coalesce(c.title, '')"))} AS terms, t.gold AS pubkey
+        FROM topics t LEFT JOIN corpus c ON c.pubkey = t.gold)
+    SELECT qid AS index, original, keywords, concat_ws(' ', nullif(clean, ''), nullif(keywords, ''), nullif(terms, '')) AS expanded, pubkey FROM f""")
+def expansion_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of an expansion file: index, original, keywords, expanded, pubkey."""
+    titles = base.corpus(spark, d).select(F.col("pubkey").alias("gold"), "title")
+    some = lambda c: F.when(c != "", c)
+    rows = base.topics(spark, d).join(titles, "gold", "left")
+    keywords, terms = (F.array_join(T.tokenize_expansion(c), " ") for c in (F.col("text"), F.coalesce("title", F.lit(""))))
+    return rows.select(F.col("qid").alias("index"), F.col("text").alias("original"), keywords.alias("keywords"), F.concat_ws(" ", some(T.clean_drop_handles("text")), some(keywords), some(terms)).alias("expanded"), F.col("gold").alias("pubkey"))
+
+
+#: Keys of a strict expansion row.
+STRICT = ("colbert", "embedding", "expanded", "index", "keywords", "original", "pubkey", "sparse")
+
+
+@query(f"""WITH {S.TOPICS}, r AS (SELECT qid, row_number() OVER (ORDER BY qid) - 1 AS place FROM topics)
+    SELECT qid, qid % 5 NOT IN (1, 2, 3) AS valid, CASE qid % 5 WHEN 1 THEN 'keys' WHEN 2 THEN 'text' WHEN 3 THEN 'index' END AS reason FROM r""")
+def strict_expansion_check(spark: SparkSession, d: str) -> DataFrame:
+    """Expansion rows have exactly their keys, texts that aren't blank and the index of their place; rows are spoiled in one of these ways."""
+    from citeloom.operators.ordering import global_position
+
+    rows = global_position(base.topics(spark, d).select("qid", "text"), ["qid"])
+    k = F.col("qid") % 5
+    fields = {c: F.lit("x") for c in STRICT} | {"index": F.when(k == 3, F.col("position") + 1).otherwise(F.col("position")), "pubkey": F.col("qid"), "original": F.col("text"), "sparse": F.when(k == 2, " ").otherwise("x")}
+    struct = lambda names: F.to_json(F.struct(*[fields[c].alias(c) for c in names]))
+    lines = rows.select("qid", "position", F.when(k == 1, struct(STRICT[1:])).otherwise(struct(STRICT)).alias("value"))
+    reason = IO.expansion_fault(F.col("value"), F.col("position"), STRICT)
+    return lines.select("qid", reason.isNull().alias("valid"), reason.alias("reason"))
+
+
+@query("""WITH s AS (SELECT DISTINCT text_original AS src, text AS dst FROM final_de_tradottoen_test WHERE text_original IS NOT NULL AND text IS NOT NULL AND trim(text_original, ' ') <> '' AND trim(text, ' ') <> ''),
+    f AS (SELECT 'de-en' AS direction, src, min(dst) AS dst FROM s GROUP BY src), b AS (SELECT 'en-de' AS direction, dst AS src, min(src) AS dst FROM f GROUP BY dst),
+    q AS (SELECT DISTINCT qid, text_original AS src FROM final_de_tradottoen_test WHERE qid IS NOT NULL AND trim(text_original, ' ') <> ''),
+    v AS (SELECT q.qid, q.src, f.dst AS mid, b.dst AS back FROM q JOIN f ON f.src = q.src JOIN b ON b.src = f.dst WHERE f.dst <> q.src)
+    SELECT DISTINCT qid, md5('en-de|' || mid) AS key, md5(back) AS variant FROM v WHERE lower(trim(back, ' ')) <> lower(trim(src, ' '))""")
+def back_translations(spark: SparkSession, d: str) -> DataFrame:
+    """Variants by way of a pivot language from a cache keyed by direction: pivots equal to the source are skipped, variants equal to it and repeated ones dropped."""
+    pairs = table(spark, d, "final_de_tradottoen_test").select("qid", F.col("text_original").alias("src"), F.col("text").alias("dst"))
+    known = pairs.filter("trim(src) != '' AND trim(dst) != ''").groupBy("src").agg(F.min("dst").alias("dst"))
+    back = known.groupBy(F.col("dst").alias("src")).agg(F.min("src").alias("dst"))
+    cache = known.select(F.lit("de-en").alias("direction"), "src", "dst").unionByName(back.select(F.lit("en-de").alias("direction"), "src", "dst"))
+    rows = pairs.filter("qid IS NOT NULL AND trim(src) != ''").select("qid", "src").distinct()
+    return N.back_translated(rows, cache, "de-en", "en-de").select("qid", F.md5(F.concat(F.lit("en-de|"), "pivot")).alias("key"), F.md5("variant").alias("variant")).distinct()
+
+
+TRIALS = 200
+
+
+@query(f"""WITH t AS (SELECT CAST(unnest(range({TRIALS})) AS BIGINT) AS trial), c AS (SELECT trial, 40 + {_hex(_md5(42, "'threshold'", 'trial'), 8)} % 41 AS threshold, 1 + {_hex(_md5(42, "'terms'", 'trial'), 8)} % 10 AS terms,
+        {_hex(_md5(42, "'weight'", 'trial'), 8)} % 21 AS weight FROM t), u AS (SELECT min(trial) AS trial, threshold, terms, weight FROM c GROUP BY threshold, terms, weight)
+    SELECT trial, round(threshold / 100, 2) AS threshold, terms, round(weight / 2, 1) AS weight FROM u WHERE trial % 7 <> 0""")
+def search_trials(spark: SparkSession, d: str) -> DataFrame:
+    """Seeded random settings, each once, without those tried before (every seventh here): what a resumed search has left."""
+    drawn = N.random_settings(spark, TRIALS, {"threshold": (40, 80), "terms": (1, 10), "weight": (0, 20)}, seed=42)
+    done = drawn.filter("trial % 7 = 0").select("threshold", "terms", "weight")
+    left = drawn.join(done, ["threshold", "terms", "weight"], "left_anti")
+    return left.select("trial", F.round(F.col("threshold") / 100, 2).alias("threshold"), "terms", F.round(F.col("weight") / 2, 1).alias("weight"))
+
+
+@query(f"""WITH {GROUPS}, c AS (SELECT g.qid, g.gold, count(p.docid) AS n FROM gold g LEFT JOIN pool p USING (qid) GROUP BY g.qid, g.gold)
+    SELECT reason, CAST(count(*) AS BIGINT) AS queries FROM (SELECT CASE WHEN gold IS NULL THEN 'no_positive' WHEN n = 0 THEN 'no_candidates' WHEN n < 6 THEN 'few_candidates' ELSE 'kept' END AS reason FROM c) GROUP BY reason""")
+def group_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """Why queries have groups of hard and soft negatives or none."""
+    counts = _pool(spark, d).groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
+    n = F.coalesce("n", F.lit(0))
+    reason = F.when(F.col("gold").isNull(), "no_positive").when(n == 0, "no_candidates").when(n < 6, "few_candidates").otherwise("kept")
+    return base.gold(spark, d).join(counts, "qid", "left").groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("queries"))
+
+
+@query(f"""WITH {S.CORPUS}, {JUDGED}, p AS (SELECT run_id, qid, min(CASE WHEN rel > 0 AND rank <= 10 THEN rank END) AS hit, max(CASE WHEN rank = 1 AND rel > 0 THEN 1 ELSE 0 END) AS first FROM judged GROUP BY run_id, qid)
+    SELECT run_id, round(avg(coalesce(1.0 / hit, 0)), 6) AS mrr_10, round(avg(first), 6) AS precision_1 FROM p GROUP BY run_id""")
+def graded_mrr(spark: SparkSession, d: str) -> DataFrame:
+    """Reciprocal rank within ten and precision at one over graded lists."""
+    rel = F.col("rel") > 0
+    p = _judged(spark, d).groupBy("run_id", "qid").agg(F.min(F.when(rel & (F.col("rank") <= 10), F.col("rank"))).alias("hit"), F.max((rel & (F.col("rank") == 1)).cast("int")).alias("first"))
+    return p.groupBy("run_id").agg(F.round(F.avg(F.coalesce(1 / F.col("hit"), F.lit(0.0))), 6).alias("mrr_10"), F.round(F.avg("first"), 6).alias("precision_1"))
+
+
+@query(f"""WITH {S.RUNS}, {S.GOLD}, s AS (SELECT r.run_id, r.qid, r.docid, r.rank, CAST(coalesce(r.docid = g.gold, false) AS INTEGER) AS label FROM runs r JOIN gold g ON r.qid = g.qid),
+    g AS (SELECT run_id, qid, row_number() OVER (ORDER BY {_md5(42, 'run_id', 'qid')}, run_id, qid) AS k FROM s GROUP BY run_id, qid HAVING sum(label) >= 1 AND count(*) >= 2)
+    SELECT s.run_id, s.qid, s.docid, s.label FROM s JOIN g USING (run_id, qid) WHERE g.k <= 500""")
+def eval_sample_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of a seeded sample of at most 500 groups that have a positive and another document."""
+    label = F.coalesce(F.col("docid") == F.col("gold"), F.lit(False)).cast("int")
+    rows = base.runs(spark, d).join(base.gold(spark, d), "qid").select("run_id", "qid", "docid", label.alias("label"))
+    groups = rows.groupBy("run_id", "qid").agg(F.sum("label").alias("p"), F.count(F.lit(1)).alias("n")).filter("p >= 1 AND n >= 2")
+    chosen = groups.orderBy(N.seeded(42, "run_id", "qid"), "run_id", "qid").limit(500).select("run_id", "qid")
+    return rows.join(chosen, ["run_id", "qid"])

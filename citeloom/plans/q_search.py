@@ -196,21 +196,28 @@ SIGNALS = f"""{S.CORPUS}, {VECS}, {DENSE}, toks AS (SELECT v.vec_id, {S.tok_spar
     cand AS (SELECT d.qid, d.docid, d.score AS dense, coalesce(s.sparse, 0) AS sparse, l.late FROM dense d JOIN late l USING (qid, docid) LEFT JOIN sparse s USING (qid, docid))"""
 
 
-def _sparse_weights(spark: SparkSession, d: str) -> DataFrame:
-    """``id, term, w`` of every vector's paper: damped tf times idf."""
-    rows = _vectors(spark, d).join(base.corpus(spark, d).select("pubkey", "doc_text"), "pubkey").select(F.col("docid").alias("id"), T.tokenize_sparse("doc_text").alias("tokens"))
-    tf = rows.select("id", F.explode("tokens").alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    idf = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(rows.agg(F.count(F.lit(1)).alias("n"))))
-    return tf.join(idf, "term").select("id", "term", (F.col("tf") / (F.col("tf") + 1.0) * F.log(F.col("n") / F.col("df"))).alias("w"))
+def _sparse_weights(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(``id, term, w`` of every vector's paper, the same of its title alone): damped tf times idf over the papers."""
+    texts = base.corpus(spark, d).select("pubkey", T.tokenize_sparse("doc_text").alias("whole"), T.tokenize_sparse(F.coalesce("title", F.lit(""))).alias("title"))
+    rows = materialise(_vectors(spark, d).join(texts, "pubkey").select(F.col("docid").alias("id"), "whole", "title"), "tokens")
 
+    def tf(c: str) -> DataFrame:
+        return rows.select("id", F.explode(c).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
-def _signals(spark: SparkSession, d: str) -> DataFrame:
+    idf = tf("whole").groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(rows.agg(F.count(F.lit(1)).alias("n"))))
+    weight = (F.col("tf") / (F.col("tf") + 1.0) * F.log(F.col("n") / F.col("df"))).alias("w")
+    return tuple(tf(c).join(idf, "term").select("id", "term", weight) for c in ("whole", "title"))
+
+
+def _signals(spark: SparkSession, d: str, per_field: bool = False) -> DataFrame:
     pool = materialise(_dense(spark, d).select("qid", "docid", F.col("score").alias("dense")), "dense")
-    w = _sparse_weights(spark, d)
-    left = pool.select("qid", "docid").join(w.select(F.col("id").alias("qid"), "term", F.col("w").alias("a")), "qid")
+    w, titles = _sparse_weights(spark, d)
+    asked = titles if per_field else w
+    left = pool.select("qid", "docid").join(asked.select(F.col("id").alias("qid"), "term", F.col("w").alias("a")), "qid")
     sparse = left.join(w.select(F.col("id").alias("docid"), "term", F.col("w").alias("b")), ["docid", "term"]).groupBy("qid", "docid").agg(F.round(F.sum(F.col("a") * F.col("b")), 6).alias("sparse"))
     vectors = _vectors(spark, d).select(F.col("docid").alias("id"), R.tokens_of_vector("v").alias("t"))
-    both = pool.join(vectors.select(F.col("id").alias("qid"), F.col("t").alias("x")), "qid").join(vectors.select(F.col("id").alias("docid"), F.col("t").alias("y")), "docid")
+    pieces = F.slice("t", 1, 4) if per_field else F.col("t")
+    both = pool.join(vectors.select(F.col("id").alias("qid"), pieces.alias("x")), "qid").join(vectors.select(F.col("id").alias("docid"), F.col("t").alias("y")), "docid")
     late = both.select("qid", "docid", "dense", F.round(R.max_sim("x", "y"), 6).alias("late"))
     return late.join(sparse, ["qid", "docid"], "left").select("qid", "docid", "dense", F.coalesce("sparse", F.lit(0.0)).alias("sparse"), "late")
 
@@ -235,10 +242,20 @@ def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
     return R.hybrid(_signals(spark, d), (0.5, 0.15, 0.35), 10).select("qid", "docid", "score", "rank")
 
 
-@query(_hybrid_sql(0.35, 0.15, 0.5))
+PER_FIELD = (
+    SIGNALS.replace("sparse AS (SELECT", f"""ft AS (SELECT v.vec_id, {S.tok_sparse("coalesce(c.title, '')")} AS tokens FROM vecs v JOIN corpus c ON c.pubkey = v.pubkey),
+    fq AS (SELECT vec_id, term, tf / (tf + 1.0) * idf AS w FROM (SELECT vec_id, term, count(*) AS tf FROM (SELECT vec_id, unnest(tokens) AS term FROM ft) GROUP BY vec_id, term) JOIN idf USING (term)),
+    sparse AS (SELECT""")
+    .replace("JOIN sw a ON a.vec_id = d.qid", "JOIN fq a ON a.vec_id = d.qid")
+    .replace("list_transform(range(8), lambda i: ", "list_transform(range(4), lambda i: ")
+    .replace(")) / 8, 6) AS late", ")) / 4, 6) AS late")
+)
+
+
+@query(_hybrid_sql(0.35, 0.15, 0.5).replace(SIGNALS, PER_FIELD))
 def hybrid_per_field(spark: SparkSession, d: str) -> DataFrame:
-    """Signals from different query representations: vector for dense, paper text for sparse, pieces for late."""
-    return R.hybrid(_signals(spark, d), (0.35, 0.15, 0.5), 10).select("qid", "docid", "score", "rank")
+    """Each signal from its own field of the query: its vector for dense, its paper's title alone for sparse, the first half of its pieces for late."""
+    return R.hybrid(_signals(spark, d, per_field=True), (0.35, 0.15, 0.5), 10).select("qid", "docid", "score", "rank")
 
 
 def _scaled(s: str) -> str:

@@ -94,6 +94,24 @@ def rank_score_maps(maps: DataFrame) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(order))
 
 
+def rank_entry_maps(maps: DataFrame) -> DataFrame:
+    """Ranked rows of ``run_id, qid, entries`` (map of document to score and rank): explicit ranks first, then by score descending, document ascending."""
+    rows = maps.select("run_id", "qid", F.explode("entries").alias("docid", "e")).select("run_id", "qid", "docid", "e.score", F.when(F.col("e.rank") > 0, F.col("e.rank")).alias("given"))
+    order = Window.partitionBy("run_id", "qid").orderBy(F.col("given").asc_nulls_last(), F.col("score").desc_nulls_last(), "docid")
+    return rows.withColumn("rank", F.row_number().over(order)).drop("given")
+
+
+def expansion_fault(value: Column, place: Column, keys: tuple[str, ...]) -> Column:
+    """What is wrong with a JSON expansion row: its ``keys``, a blank ``text``, or an ``index`` that isn't its place; null if nothing is."""
+    exact = F.coalesce(F.array_sort(F.json_object_keys(value)) == F.array(*[F.lit(k) for k in sorted(keys)]), F.lit(False))
+    filled = F.lit(True)
+    for k in keys:
+        if k not in ("index", "pubkey"):
+            filled = filled & (F.coalesce(F.trim(F.get_json_object(value, f"$.{k}")), F.lit("")) != "")
+    number = F.get_json_object(value, "$.index").try_cast("bigint")
+    return F.when(~exact, "keys").when(~filled, "text").when(~F.coalesce(number == place, F.lit(False)), "index")
+
+
 def numbered(lines: DataFrame) -> DataFrame:
     """Lines with ``line``, a number that grows in reading order (consecutive within a file split)."""
     return lines.withColumn("line", F.monotonically_increasing_id() + 1)
