@@ -26,29 +26,28 @@ def split_queries(queries: DataFrame, ratios: tuple[float, float], seed: int = 4
     return queries.select(key).distinct().withColumn("part", F.when(place < dev, "dev").when(place < dev + test, "test").otherwise("train"))
 
 
-#: Rows that a hash bucket holds on average when candidates are drawn.
-BUCKET_ROWS = 30
+def drawn(queries: DataFrame, pool: DataFrame, n: Column, seed: int = 42) -> DataFrame:
+    """``qid, docid, draw`` (from 0): n documents of the whole pool for each query, all different (all there are, if those are fewer).
 
-
-def bucket_count(rows: DataFrame) -> int:
-    """Buckets for drawing from ``rows``."""
-    return max(1, rows.count() // BUCKET_ROWS)
+    The pool (distinct ``docid``) stands in seeded random order; a query draws from the place its own hash names onwards, round the end. Places are
+    global positions by ranges, and draws find them by an equi-join, so a query costs n rows at any size of the pool.
+    """
+    placed = global_position(pool.select("docid").withColumn("__order", seeded(seed, "docid")), ["__order", "docid"], "at").select("docid", "at")
+    count = pool.count()
+    if not count:
+        return queries.select("qid").join(pool.select("docid"), F.lit(False)).withColumn("draw", F.lit(0))
+    start = F.pmod(F.conv(F.substring(seeded(seed, "qid"), 1, 8), 16, 10).cast("bigint"), F.lit(count))
+    some = F.least(n.cast("int"), F.lit(count))
+    asked = queries.filter(some > 0).select("qid", start.alias("start"), F.explode(F.sequence(F.lit(0), some - 1)).alias("draw"))
+    return asked.withColumn("at", F.pmod(F.col("start") + F.col("draw"), F.lit(count))).join(placed, "at").select("qid", "docid", "draw")
 
 
 def random_negatives(queries: DataFrame, corpus: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """``qid, docid, pos``: n pseudo-random papers other than the gold for each query.
-
-    Papers fall into hash buckets of about ``BUCKET_ROWS``; a query draws from the bucket its own hash names and the next two, so each query
-    meets some 90 papers at any corpus size (all of them in a small corpus).
-    """
-    buckets = bucket_count(corpus)
-    bucket = F.pmod(F.conv(F.substring(seeded(seed, "docid"), 1, 8), 16, 10).cast("bigint"), F.lit(buckets))
-    papers = corpus.select("docid").withColumn("bucket", bucket)
-    draw = F.pmod(F.conv(F.substring(seeded(seed, "qid"), 1, 8), 16, 10).cast("bigint"), F.lit(buckets))
-    asked = queries.select("qid", "gold", F.explode(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.pmod(draw + i, F.lit(buckets)))).alias("bucket"))
-    pairs = asked.join(papers, "bucket").filter(~F.col("docid").eqNullSafe(F.col("gold")))
-    order = Window.partitionBy("qid").orderBy(seeded(seed, "qid", "docid"), "docid")
-    return pairs.select("qid", "docid").distinct().withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= n)
+    """``qid, docid, pos``: n pseudo-random documents of the whole corpus other than the gold for each query; all there are, if those are fewer."""
+    asked = queries.select("qid", "gold").distinct()
+    found = drawn(asked, corpus, F.lit(n + 1), seed).join(asked, "qid").filter(~F.col("docid").eqNullSafe(F.col("gold")))
+    order = Window.partitionBy("qid").orderBy("draw")
+    return found.withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= n).select("qid", "docid", "pos")
 
 
 def tiered_negatives(rows: DataFrame, n: int) -> DataFrame:

@@ -40,10 +40,16 @@ def split_groups(spark: SparkSession, d: str) -> DataFrame:
     return N.split_queries(rows, (0.15, 0.0), key="pubkey")
 
 
-@query(f"""WITH {S.TRAIN}, {S.CORPUS}, k AS (SELECT greatest(1, count(*) // 30) AS k FROM corpus), p AS (SELECT pubkey AS docid, {_hex(_md5(42, 'pubkey'), 8)} % k AS bucket FROM corpus, k),
-    q AS (SELECT qid, gold, ({_hex(_md5(42, 'qid'), 8)} % k + i) % k AS bucket FROM train, range(3) AS r(i), k),
-    j AS (SELECT DISTINCT qid, docid FROM q JOIN p USING (bucket) WHERE docid IS DISTINCT FROM gold)
-    SELECT * FROM (SELECT qid, docid, CAST(row_number() OVER (PARTITION BY qid ORDER BY {_md5(42, 'qid', 'docid')}, docid) AS INTEGER) AS pos FROM j) WHERE pos <= 15""")
+def _draws(name: str, queries: str, pool: str, n: str, seed: int) -> str:
+    """CTE of ``qid, docid, draw``: n documents of a pool for each query, from the place of its hash onwards in seeded order."""
+    return f"""{name}_p AS (SELECT docid, row_number() OVER (ORDER BY {_md5(seed, 'docid')}, docid) - 1 AS at, count(*) OVER () AS size FROM {pool}),
+    {name}_z AS (SELECT max(size) AS size FROM {name}_p),
+    {name}_a AS (SELECT qid, {_hex(_md5(seed, 'qid'), 8)} % size AS start, size, unnest(range(CAST(least(size, {n}) AS BIGINT))) AS draw FROM {queries}, {name}_z),
+    {name} AS (SELECT a.qid, p.docid, a.draw FROM {name}_a a JOIN {name}_p p ON p.at = (a.start + a.draw) % a.size)"""
+
+
+@query(f"""WITH {S.TRAIN}, {S.CORPUS}, docs AS (SELECT pubkey AS docid FROM corpus), asked AS (SELECT DISTINCT qid, gold FROM train), {_draws('drawn', 'asked', 'docs', '16', 42)}
+    SELECT * FROM (SELECT qid, docid, CAST(row_number() OVER (PARTITION BY qid ORDER BY draw) AS INTEGER) AS pos FROM drawn JOIN asked USING (qid) WHERE docid IS DISTINCT FROM gold) WHERE pos <= 15""")
 def random_negatives(spark: SparkSession, d: str) -> DataFrame:
     docs = base.corpus(spark, d).select(F.col("pubkey").alias("docid"))
     return N.random_negatives(base.train(spark, d), docs, 15)
@@ -76,12 +82,10 @@ def hard_negatives(spark: SparkSession, d: str) -> DataFrame:
     return N.tiered_negatives(first.select("qid", "docid", tier.cast("int").alias("tier"), F.col("rank").alias("place")), 15)
 
 
-def _drawn(seed: int) -> str:
+def _drawn(seed: int, n: int) -> str:
     """Random papers of each German query under a seed, as ``random_negatives`` draws them."""
-    return f"""p{seed} AS (SELECT pubkey AS docid, {_hex(_md5(seed, 'pubkey'), 8)} % k AS bucket FROM corpus, bk),
-    q{seed} AS (SELECT qid, gold, ({_hex(_md5(seed, 'qid'), 8)} % k + i) % k AS bucket FROM gold, range(3) AS r(i), bk),
-    j{seed} AS (SELECT DISTINCT qid, docid FROM q{seed} JOIN p{seed} USING (bucket) WHERE docid IS DISTINCT FROM gold),
-    d{seed} AS (SELECT qid, docid, row_number() OVER (PARTITION BY qid ORDER BY {_md5(seed, 'qid', 'docid')}, docid) AS place FROM j{seed})"""
+    return f"""{_draws(f'x{seed}', 'asked', 'docs', str(n + 1), seed)},
+    d{seed} AS (SELECT qid, docid, row_number() OVER (PARTITION BY qid ORDER BY draw) AS place FROM x{seed} JOIN asked USING (qid) WHERE docid IS DISTINCT FROM gold)"""
 
 
 def _in_turn(tiers: int) -> str:
@@ -94,7 +98,7 @@ def _in_turn(tiers: int) -> str:
     return ", ".join(parts) + ", s AS (" + " UNION ALL ".join(f"SELECT * FROM s{i}" for i in range(tiers)) + ")"
 
 
-@query(f"""WITH {S.RUNS}, {S.GOLD}, {S.CORPUS}, bk AS (SELECT greatest(1, count(*) // 30) AS k FROM corpus), {_drawn(42)}, {_drawn(43)},
+@query(f"""WITH {S.RUNS}, {S.GOLD}, {S.CORPUS}, docs AS (SELECT pubkey AS docid FROM corpus), asked AS (SELECT DISTINCT qid, gold FROM gold), {_drawn(42, 15)}, {_drawn(43, 30)},
     c AS (SELECT r.qid, r.docid, {TIER} AS tier, r.rank AS place FROM runs r JOIN gold g ON r.qid = g.qid JOIN corpus p ON p.pubkey = r.docid WHERE r.docid IS DISTINCT FROM g.gold AND rank <= 100 AND {TIER} IS NOT NULL
           UNION ALL SELECT qid, docid, {len(ORDER)}, place FROM d42 WHERE place <= 15 UNION ALL SELECT qid, docid, {len(ORDER) + 1}, place FROM d43 WHERE place <= 30), {_in_turn(len(ORDER) + 2)}
     SELECT * FROM (SELECT qid, docid, CAST(tier AS INTEGER) AS tier, CAST(row_number() OVER (PARTITION BY qid ORDER BY tier, place) AS INTEGER) AS pos FROM s) WHERE pos <= 15""")
@@ -192,26 +196,20 @@ def topic_dedup(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).withColumn("k", F.row_number().over(order)).filter("k = 1").drop("k")
 
 
-@query(f"""WITH {GROUPS}, bk AS (SELECT greatest(1, count(DISTINCT gold) // 30) AS bk FROM gold), h AS (SELECT qid, docid FROM groups WHERE kind = 'hard'), hn AS (SELECT qid, count(*) AS n FROM h GROUP BY qid), short AS (SELECT g.qid, g.gold, coalesce(hn.n, 0) AS n,
-        {_hex(_md5(7, 'g.qid'), 8)} % bk AS bucket FROM gold g LEFT JOIN hn USING (qid), bk WHERE coalesce(hn.n, 0) < 6),
-    src AS (SELECT DISTINCT gold AS docid, {_hex(_md5(7, 'gold'), 8)} % bk AS bucket FROM gold, bk WHERE gold IS NOT NULL),
-    c AS (SELECT s.qid, src.docid, s.n, row_number() OVER (PARTITION BY s.qid ORDER BY {_md5(7, 's.qid', 'src.docid')}) AS k FROM short s JOIN src USING (bucket)
-          WHERE src.docid IS DISTINCT FROM s.gold AND (s.qid, src.docid) NOT IN (SELECT (qid, docid) FROM h))
+@query(f"""WITH {GROUPS}, h AS (SELECT qid, docid FROM groups WHERE kind = 'hard'), hn AS (SELECT qid, count(*) AS n FROM h GROUP BY qid),
+    short AS (SELECT g.qid, g.gold, coalesce(hn.n, 0) AS n FROM gold g LEFT JOIN hn USING (qid) WHERE coalesce(hn.n, 0) < 6), src AS (SELECT DISTINCT gold AS docid FROM gold WHERE gold IS NOT NULL),
+    {_draws('drawn', 'short', 'src', '7', 7)},
+    c AS (SELECT s.qid, d.docid, s.n, row_number() OVER (PARTITION BY s.qid ORDER BY d.draw) AS k FROM short s JOIN drawn d USING (qid)
+          WHERE d.docid IS DISTINCT FROM s.gold AND (s.qid, d.docid) NOT IN (SELECT (qid, docid) FROM h))
     SELECT qid, docid, CAST(n + k AS BIGINT) AS pos FROM c WHERE n + k <= 6""")
 def pad_negatives(spark: SparkSession, d: str) -> DataFrame:
-    """Short lists filled from other queries' positives of the same hash bucket."""
+    """Lists of fewer than six filled from the positives of all other queries; of seven drawn at most those in the list and the own one drop out."""
     hard = N.hard_and_soft(_pool(spark, d), 5, 4, 10, 6).filter("kind = 'hard'").select("qid", "docid")
     counts = hard.groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
-
     source = base.gold(spark, d).filter("gold IS NOT NULL").select(F.col("gold").alias("docid")).distinct()
-    buckets = N.bucket_count(source)
-
-    def bucket(c: str):
-        return F.pmod(F.conv(F.substring(N.seeded(7, c), 1, 8), 16, 10).cast("bigint"), F.lit(buckets))
-
-    short = base.gold(spark, d).join(counts, "qid", "left").withColumn("n", F.coalesce("n", F.lit(0))).filter("n < 6").withColumn("bucket", bucket("qid"))
-    pairs = short.join(source.withColumn("bucket", bucket("docid")), "bucket").filter(~F.col("docid").eqNullSafe(F.col("gold"))).join(hard, ["qid", "docid"], "left_anti")
-    k = F.row_number().over(Window.partitionBy("qid").orderBy(N.seeded(7, "qid", "docid")))
+    short = base.gold(spark, d).join(counts, "qid", "left").withColumn("n", F.coalesce("n", F.lit(0))).filter("n < 6")
+    pairs = N.drawn(short, source, F.lit(7), 7).join(short, "qid").filter(~F.col("docid").eqNullSafe(F.col("gold"))).join(hard, ["qid", "docid"], "left_anti")
+    k = F.row_number().over(Window.partitionBy("qid").orderBy("draw"))
     return pairs.withColumn("pos", F.col("n") + k).filter("pos <= 6").select("qid", "docid", "pos")
 
 

@@ -304,6 +304,21 @@ def test_settings_and_reports(spark, tmp_path):
     assert first.endswith("e.json") and second.endswith("e_1.json") and '"qid": 1' in open(first).read()
 
 
+def test_draws_are_whole(spark):
+    docs = spark.createDataFrame([(f"d{i}",) for i in range(40)], "docid string")
+    asked = spark.createDataFrame([(q, f"d{q % 40}") for q in range(100)] + [(500, None)], "qid long, gold string")
+    lists = {}
+    for r in training.random_negatives(asked, docs, 15).collect():
+        lists.setdefault(r.qid, []).append(r.docid)
+    assert len(lists) == 101 and all(len(v) == len(set(v)) == 15 and f"d{q % 40}" not in v or q == 500 for q, v in lists.items())
+    # A small pool is given whole, an empty one gives nothing.
+    few = training.random_negatives(asked, docs.filter("docid IN ('d1', 'd2', 'd3')"), 15).groupBy("qid").count().collect()
+    assert {r["count"] for r in few} == {2, 3} and training.random_negatives(asked, docs.limit(0), 15).count() == 0
+    # All documents come up, none far more often than others.
+    often = training.random_negatives(asked, docs, 15).groupBy("docid").count().collect()
+    assert len(often) == 40 and max(r["count"] for r in often) < 4 * 1500 / 40
+
+
 def test_hard_negatives_are_filled(spark):
     rows = spark.createDataFrame([(1, x, t, i) for t, docs in enumerate(("abc", "abcdef", "fgh")) for i, x in enumerate(docs, 1)], "qid long, docid string, tier int, place int")
     got = sorted((r.pos, r.docid, r.tier) for r in training.quota_negatives(rows, {0: 2, 1: 3, 2: 15}, 7).collect())
