@@ -39,7 +39,9 @@ TASK_ROWS = 20_000
 #: Classes of a block of the exact comparison, and classes whose recall is measured.
 BLOCK_ROWS, SAMPLE = 50_000, 300
 #: Neighbours that a class keeps between rounds, those a curve gives, and rounds at most.
-BREADTH, FROM_CURVE, ROUNDS = 30, 5, 5
+BREADTH, FROM_CURVE, ROUNDS = 24, 5, 5
+#: Rows whose neighbours are compared together: a pair found again among them is given once.
+TOGETHER = 60_000
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -232,19 +234,20 @@ def second_neighbours(keyed: DataFrame, pairs: DataFrame, dim: int) -> DataFrame
         return compared(rows["v"].to_numpy(), rows["x"].to_numpy(), _matrix(rows["u"], dim), rows["f"].to_numpy(), BREADTH)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: pd.DataFrame | None = None
+        held: list[pd.DataFrame] = []
         for batch in batches:
-            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            if not len(rows):
-                continue
-            # The last class may go on in the next batch.
-            v = rows["v"].to_numpy()
-            end = len(v) - int(np.argmax(v[::-1] != v[-1])) if (v != v[-1]).any() else 0
-            if end:
-                yield work(rows.iloc[:end])
-            held = rows.iloc[end:]
-        if held is not None and len(held):
-            yield work(held)
+            held.append(batch)
+            if sum(map(len, held)) >= TOGETHER:
+                rows = pd.concat(held, ignore_index=True)
+                # The last class may go on in the next batch.
+                v = rows["v"].to_numpy()
+                end = len(v) - int(np.argmax(v[::-1] != v[-1])) if (v != v[-1]).any() else 0
+                if end:
+                    yield work(rows.iloc[:end])
+                held = [rows.iloc[end:]]
+        rows = pd.concat(held, ignore_index=True) if held else None
+        if rows is not None and len(rows):
+            yield work(rows)
 
     return rows.repartitionByRange("key", "v").sortWithinPartitions("key", "v").mapInPandas(scan, "c long, d long, s double")
 

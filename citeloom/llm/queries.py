@@ -59,7 +59,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    found = curves.neighbours(table(spark, d, "paper_vectors"), "vec_id", "vec", k=5, curves=12, window=32, hold=0.95)
+    found = curves.neighbours(table(spark, d, "paper_vectors"), "vec_id", "vec", k=5, curves=16, window=128, hold=0.92)
     return found.select(F.col("id").alias("vec_id"), F.col("other").alias("neighbour"), F.round("similarity", 4).alias("similarity"), "rank")
 
 
