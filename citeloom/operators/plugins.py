@@ -69,14 +69,27 @@ def check_scorer(model: PairScorer, query: str, relevant: str, other: str, least
     return a - b >= least
 
 
-def generate(df: DataFrame, text: str, out: str, factory: Callable[[], Generator], fallback: Column, valid: Callable[[Column], Column]) -> DataFrame:
-    """Generated texts, with the rule-based ``fallback`` where the generator gives nothing valid."""
+def generate(
+    df: DataFrame, text: str, out: str, factory: Callable[[], Generator], fallback: Column, valid: Callable[[Column], Column], check: Callable[[str], str | None] | None = None, attempts: int = 3
+) -> DataFrame:
+    """Generated texts, with the rule-based ``fallback`` where the generator gives nothing valid.
+
+    ``check`` tells what is wrong with an answer (None: nothing); such texts are asked for again, in one batch, with that said behind them, ``attempts`` times in all.
+    """
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = factory()
         for batch in batches:
-            yield pd.Series(model([t if isinstance(t, str) else "" for t in batch]), dtype=object)
+            asked = [t if isinstance(t, str) else "" for t in batch]
+            answers = model(asked)
+            for _ in range(attempts - 1 if check else 0):
+                wrong = [(i, said) for i, a in enumerate(answers) if (said := "no answer" if a is None else check(a))]
+                if not wrong:
+                    break
+                for (i, _), again in zip(wrong, model([f"{asked[i]}\n\nThe answer before was not valid: {said}" for i, said in wrong])):
+                    answers[i] = again
+            yield pd.Series([None if a is None or (check and check(a)) else a for a in answers], dtype=object)
 
     made = df.withColumn("__made", run(F.col(text)))
     return made.withColumn(out, F.when(F.coalesce(valid(F.col("__made")), F.lit(False)), F.col("__made")).otherwise(fallback)).drop("__made")

@@ -10,6 +10,7 @@ from citeloom.functions import text as T
 from citeloom.operators import plugins as P
 from citeloom.operators import retrieval as R
 from citeloom.plans import base
+from citeloom.plans import sqltext as S
 from citeloom.plans.registry import query
 from citeloom.session import table
 from citeloom.streaming import intake
@@ -20,7 +21,14 @@ def tokenize_sparse_stem(spark: SparkSession, d: str) -> DataFrame:
     return base.topics(spark, d).select("qid", F.array_join(ST.stemmed(T.tokenize_sparse("text")), " ").alias("terms"))
 
 
-@query()
+_WORDS = f"list_filter(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9\\-]{{3,}}'), lambda t: NOT list_contains({S.STOP}, lower(t)))"
+#: Keywords of ``text`` by SQL: telling words first, each once, in text order.
+KEYWORDS = f"""(SELECT coalesce(string_agg(t, ' ' ORDER BY k, p), '') FROM (SELECT t, k, p, row_number() OVER (ORDER BY k, p) AS r FROM (
+    SELECT t, min(p) AS p, CASE WHEN regexp_matches(t, '[0-9\\-]') OR regexp_matches(t, '^[A-Z]') OR length(t) > 5 THEN 0 ELSE 1 END AS k
+    FROM (SELECT unnest({_WORDS}) AS t, generate_subscripts({_WORDS}, 1) AS p) GROUP BY t)) WHERE r <= 12)"""
+
+
+@query(f"WITH {S.TOPICS} SELECT qid, {KEYWORDS} AS keywords FROM topics")
 def keyword_extraction(spark: SparkSession, d: str) -> DataFrame:
     return base.topics(spark, d).select("qid", F.array_join(P.keywords("text"), " ").alias("keywords"))
 
@@ -33,23 +41,34 @@ def encoded_search(spark: SparkSession, d: str) -> DataFrame:
     return R.dense_top_k(queries, docs, 10)
 
 
-@query()
+@query(f"""WITH {S.TOPICS} SELECT qid, CASE WHEN length(text) % 3 = 2 THEN {KEYWORDS} WHEN length(text) % 3 = 1 THEN 'again about ' || substr(text, 1, 40) ELSE 'about ' || substr(text, 1, 40) END AS expanded FROM topics""")
 def generated_expansion(spark: SparkSession, d: str) -> DataFrame:
-    """The generator plug-in with a stand-in that answers every other text, and the rule-based fallback."""
+    """The generator plug-in with a stand-in: a third of the texts is answered at once, a third when told what was wrong, a third never (the rule-based fallback)."""
 
     def factory():
-        return lambda texts: [f"about {t[:40]}" if len(t) % 2 else None for t in texts]
+        def answer(prompts: list[str]) -> list[str | None]:
+            out = []
+            for p in prompts:
+                text, again, _ = p.partition("\n\nThe answer before was not valid: ")
+                k = len(text) % 3
+                out.append(f"about {text[:40]}" if k == 0 else f"again about {text[:40]}" if k == 1 and again else "" if k == 1 else None)
+            return out
+
+        return answer
 
     fallback = F.array_join(P.keywords("text"), " ")
-    return P.generate(base.topics(spark, d).select("qid", "text"), "text", "expanded", factory, fallback, lambda c: F.trim(c) != "").select("qid", "expanded")
+    rows = base.topics(spark, d).select("qid", "text")
+    return P.generate(rows, "text", "expanded", factory, fallback, lambda c: F.trim(c) != "", lambda a: None if a.strip() else "blank").select("qid", "expanded")
 
 
-@query()
+@query(f"""WITH r AS (SELECT DISTINCT text_original AS src, text AS dst FROM final_de_tradottoen_test WHERE text_original IS NOT NULL), c AS (SELECT src, min(dst) AS dst FROM r WHERE dst IS NOT NULL GROUP BY src),
+    m AS (SELECT src, 'Translation: [en] ' || src AS raw FROM (SELECT DISTINCT src FROM r WHERE src NOT IN (SELECT src FROM c)))
+    SELECT DISTINCT src, dst FROM (SELECT src, dst FROM c UNION ALL SELECT src, {S.clean_translation('raw')} FROM m) WHERE dst <> src""")
 def translated(spark: SparkSession, d: str) -> DataFrame:
     """Cache first, generator stand-in for misses."""
     rows = table(spark, d, "final_de_tradottoen_test").filter("text_original IS NOT NULL").select(F.col("text_original").alias("src"), F.col("text").alias("dst"))
     cache = rows.filter("dst IS NOT NULL").groupBy("src").agg(F.min("dst").alias("dst"))
-    return P.translate_missing(rows, cache, lambda: lambda texts: ["Translation: " + t.upper() for t in texts])
+    return P.translate_missing(rows, cache, lambda: lambda texts: ["Translation: [en] " + t for t in texts])
 
 
 @query("SELECT DISTINCT run_id, qid, docid, run_rank, CASE WHEN NOT isnan(score) THEN score END AS score, run_at, loaded_at FROM run_entry")

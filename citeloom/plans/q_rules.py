@@ -12,11 +12,12 @@ from citeloom.operators import retrieval as R
 from citeloom.operators import training as N
 from citeloom.plans import base
 from citeloom.plans import sqltext as S
-from citeloom.plans.q_eval import JUDGED, _judged
+from citeloom.plans.q_eval import AP, GAIN, HIT, JUDGED, MRR, _judged
 from citeloom.plans.q_search import BM25, DENSE, VECS, _dense, _docs, _index, bm25_run
 from citeloom.plans.q_train import GROUPS, _hex, _md5, _pool
 from citeloom.plans.registry import query
 from citeloom.session import materialise, table
+from citeloom.sources import reports as RP
 from citeloom.sources import runs as IO
 
 # Names of files.
@@ -406,3 +407,27 @@ def eval_sample_rows(spark: SparkSession, d: str) -> DataFrame:
     groups = rows.groupBy("run_id", "qid").agg(F.sum("label").alias("p"), F.count(F.lit(1)).alias("n")).filter("p >= 1 AND n >= 2")
     chosen = groups.orderBy(N.seeded(42, "run_id", "qid"), "run_id", "qid").limit(500).select("run_id", "qid")
     return rows.join(chosen, ["run_id", "qid"])
+
+
+# Tables of evaluation runs.
+
+
+@query(f"""WITH {S.RANKED}, m AS (SELECT run_id, qid, {", ".join(f"CAST({HIT[k]} AS DOUBLE) AS recall_{k}" for k in HIT)}, {", ".join(f"{HIT[k]} / {k} AS precision_{k}" for k in (1, 5, 10))},
+        CAST({HIT[1]} AS DOUBLE) AS f1_1, CAST({MRR} AS DOUBLE) AS mrr_5, CAST({AP} AS DOUBLE) AS ap, {", ".join(f"CAST({v} AS DOUBLE) AS ndcg_{k}" for k, v in GAIN.items())} FROM ranked)
+    SELECT run_id, qid, metric, round(value, 6) AS value FROM (UNPIVOT m ON COLUMNS(* EXCLUDE (run_id, qid)) INTO NAME metric VALUE value)""")
+def metric_long(spark: SparkSession, d: str) -> DataFrame:
+    """All measures of all systems and queries, one a row."""
+    ranked = E.first_relevant_rank(base.runs(spark, d), base.gold(spark, d))
+    return RP.long_metrics(E.per_query(ranked).drop("gold", "rank")).withColumn("value", F.round("value", 6))
+
+
+@query(f"""WITH {S.RUNS}, {S.GOLD}, {PATHS}, c AS (SELECT run_id, path FROM (SELECT DISTINCT run_id, 'runs/dev/res_' || run_id || '_deDev.json' AS path FROM run_entry WHERE run_id IS NOT NULL)),
+    n AS (SELECT run_id, count(*) AS ranking_qids, count(g.qid) AS matched_qids FROM (SELECT DISTINCT run_id, qid FROM runs) r LEFT JOIN (SELECT DISTINCT qid FROM gold) g USING (qid) GROUP BY run_id)
+    SELECT n.run_id, CAST(ranking_qids AS BIGINT) AS ranking_qids, CAST(matched_qids AS BIGINT) AS matched_qids, round(matched_qids / (SELECT count(*) FROM gold), 6) AS coverage, x.split, x.lang
+    FROM n JOIN c USING (run_id) JOIN contexts x USING (path) WHERE matched_qids / (SELECT count(*) FROM gold) >= 0.3""")
+def run_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """Systems with their coverage and what the names of their files tell."""
+    names = table(spark, d, "run_entry").filter("run_id IS NOT NULL").select("run_id").distinct()
+    split, lang, _ = run_context("path")
+    contexts = names.withColumn("path", F.concat(F.lit("runs/dev/res_"), "run_id", F.lit("_deDev.json"))).select("run_id", split.alias("split"), lang.alias("lang"))
+    return RP.manifest(base.runs(spark, d), base.gold(spark, d), contexts, 0.3).withColumn("coverage", F.round("coverage", 6))

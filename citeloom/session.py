@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,3 +52,25 @@ def clear_scratch(spark: SparkSession) -> None:
     """Delete this application's intermediate tables; DataFrames that read them must be done with."""
     path = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, on any file system of the cluster."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def write_file(spark: SparkSession, path: str, parts: Iterable[str]) -> None:
+    """Write one text file on any file system of the cluster: beside the target first, then renamed, so that a reader never sees half of it."""
+    names = spark._jvm.org.apache.hadoop.fs
+    target, part = names.Path(path), names.Path(f"{path}.part")
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = system.create(part, True)
+    try:
+        for text in parts:
+            out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+    system.delete(target, False)
+    if not system.rename(part, target):
+        raise OSError(f"can't rename to {path}")

@@ -6,6 +6,7 @@ Ids are strings on the wire. Every parser also works on a DataFrame of lines or
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from citeloom.session import write_file
+
 PAPER = T.StructType([T.StructField(c, T.StringType()) for c in ("pubkey", "title", "abstract", "venue", "authors")])
 QUERY = T.StructType([T.StructField(c, T.StringType()) for c in ("index", "qid", "id", "expanded", "original", "text", "query", "pubkey")])
 #: Names of fields in run records, the first that has a value counts.
@@ -211,22 +214,17 @@ def write_json_array(df: DataFrame, path: str, valid: Column) -> int:
     bad = df.filter(~F.coalesce(valid, F.lit(False))).count()
     if bad:
         raise ValueError(f"{bad} rows aren't valid")
-    spark = df.sparkSession
-    names = spark._jvm.org.apache.hadoop.fs
-    target, part = names.Path(path), names.Path(f"{path}.part")
-    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    out, count = system.create(part, True), 0
-    try:
-        out.write(bytearray(b"["))
+    count = 0
+
+    def parts() -> Iterator[str]:
+        nonlocal count
+        yield "["
         for r in df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("j")).toLocalIterator():
-            out.write(bytearray((",\n" if count else "\n").encode() + r.j.encode()))
+            yield (",\n" if count else "\n") + r.j
             count += 1
-        out.write(bytearray(b"\n]\n"))
-    finally:
-        out.close()
-    system.delete(target, False)
-    if not system.rename(part, target):
-        raise OSError(f"can't rename to {path}")
+        yield "\n]\n"
+
+    write_file(df.sparkSession, path, parts())
     return count
 
 

@@ -269,6 +269,11 @@ def test_plugins_and_stems(spark):
     rows = {r.id: list(r.v) for r in plugins.encode(df, "text", "v", plugins.hashing_encoder(8)).collect()}
     assert sum(x * x for x in rows[1]) == pytest.approx(1) and rows[2] == [0.0] * 8
     assert [r.t for r in df.select(stemmed(F.split("text", " ")).alias("t")).collect()] == [["alpha", "beta"], None]
+    # Examples published with the algorithm.
+    pairs = "agreed agre motoring motor hopping hop filing file relational relat digitizer digit vietnamization vietnam decisiveness decis electrical electr replacement replac adoption adopt controll control cease ceas rate rate sky sky".split()
+    assert [stem(w) for w in pairs[::2]] == pairs[1::2]
+    made = plugins.generate(df, "text", "out", lambda: lambda ts: [f"{len(t)}" if "not valid: short" in t else "x" for t in ts], F.lit("rule"), lambda c: c != "", lambda a: "short" if a == "x" else None)
+    assert {r.out for r in made.collect()} == {str(len(t) + len("\n\nThe answer before was not valid: short")) for t in ("alpha beta", "")}
     made = plugins.generate(df, "text", "out", lambda: lambda ts: [None for _ in ts], F.lit("rule"), lambda c: c != "")
     assert {r.out for r in made.collect()} == {"rule"}
     assert plugins.check_scorer(lambda ps: [float(q in d) for q, d in ps], "a", "a b", "c")
@@ -299,8 +304,8 @@ def test_settings_and_reports(spark, tmp_path):
     assert [canonical_metric(m) for m in ("hit@10", "MAP", "ndcg@5", "f1", "mrr")] == ["recall_10", "ap", "ndcg_5", "f1_1", "mrr_5"]
     assert usable_run("a/b.json") and not usable_run("a/archive/b.json") and usable_run("a/archive/b.json", True)
     rows = spark.createDataFrame([(1, 0.5)], "qid long, mrr_5 double")
-    first = write_report(str(tmp_path / "e.json"), {"system": "s"}, {"mrr_5": 0.5}, rows)
-    second = write_report(str(tmp_path / "e.json"), {}, {})
+    first = write_report(spark, str(tmp_path / "e.json"), {"system": "s"}, {"mrr_5": 0.5}, rows)
+    second = write_report(spark, str(tmp_path / "e.json"), {}, {})
     assert first.endswith("e.json") and second.endswith("e_1.json") and '"qid": 1' in open(first).read()
 
 
