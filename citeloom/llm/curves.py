@@ -9,8 +9,9 @@ The k best of all curves are merged and reranked.
 Accuracy: approximate. README.md gives the recall measured against brute force. A window does not reach over the
 border of two tasks; the other curves, with other shifts, have other borders, so lists can differ a little with the number of tasks. With ``hold`` the
 result has that recall over a sample of classes: the curves then give ``BREADTH`` candidates each, and where that isn't enough, rounds of merging follow in which
-the neighbours of a class (and the classes it is a neighbour of) are compared with each other, so that neighbours of neighbours come in.
-Comparisons a vector don't grow with the number of vectors. Only if ``ROUNDS`` rounds don't do, all pairs are compared in blocks (exact, quadratic).
+the neighbours of a class (and the classes it is a neighbour of) are compared with each other, so that neighbours of neighbours come in; from the second
+round on also other curves. Comparisons a vector don't grow with the number of vectors. Only if ``ROUNDS`` rounds don't do, or a round adds
+less than ``GAIN``, all pairs are compared in blocks (exact, quadratic).
 
 Scale: rows shuffled are curves x classes, and 2 x ``BREADTH`` x classes in a round; work is linear in the rows. Only short lists leave
 a task. Nothing is broadcast but the projections (a few kB, in the closure) and ``SAMPLE`` vectors.
@@ -40,6 +41,8 @@ TASK_ROWS = 20_000
 BLOCK_ROWS, SAMPLE = 50_000, 300
 #: Neighbours that a class keeps between rounds, those a curve gives, and rounds at most.
 BREADTH, FROM_CURVE, ROUNDS = 24, 5, 5
+#: Recall that a round must add for another to follow.
+GAIN = 0.02
 #: Rows whose neighbours are compared together: a pair found again among them is given once.
 TOGETHER = 60_000
 
@@ -260,7 +263,6 @@ def neighbours(
     ``hold``: recall that the result must have; 0 takes what the curves give.
     """
     spark = df.sparkSession
-    planes = projections(dim, curves, seed)
 
     def to_unit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -278,13 +280,18 @@ def neighbours(
         firsts.groupBy("h").agg(F.min("id").alias("c"), F.sort_array(F.collect_list("id")).alias("ids"), F.min_by("u", "id").alias("u")), "classes"
     )
 
-    def place_on_curves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            unit = np.frombuffer(b"".join(batch["u"]), dtype=np.float32).reshape(-1, dim).astype(np.float64)
-            for curve, (matrix, shift) in enumerate(planes):
-                yield pd.DataFrame({"curve": curve, "key": curve_keys(unit, matrix, shift), "c": batch["c"], "u": batch["u"]})
+    def on_curves(planes: list[tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+        """``curve, key, c, u``: every class on every curve."""
+
+        def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if not len(batch):
+                    continue
+                unit = _matrix(batch["u"], dim).astype(np.float64)
+                for curve, (matrix, shift) in enumerate(planes):
+                    yield pd.DataFrame({"curve": curve, "key": curve_keys(unit, matrix, shift), "c": batch["c"], "u": batch["u"]})
+
+        return classes.select("c", "u").mapInPandas(place, "curve int, key long, c long, u binary")
 
     def slide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
@@ -307,17 +314,26 @@ def neighbours(
         pairs = merged(all_pairs(classes, count, k, least, dim), k)
     else:
         tasks = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), count * curves // TASK_ROWS))
-        placed = classes.select("c", "u").mapInPandas(place_on_curves, "curve int, key long, c long, u binary")
-        found = placed.repartitionByRange(tasks, "curve", "key", "c").sortWithinPartitions("curve", "key", "c").mapInPandas(slide, "c long, d long, s double")
-        pairs = merged(found, BREADTH if hold else k)
+
+        def from_curves(seed: int) -> DataFrame:
+            placed = on_curves(projections(dim, curves, seed))
+            return placed.repartitionByRange(tasks, "curve", "key", "c").sortWithinPartitions("curve", "key", "c").mapInPandas(slide, "c long, d long, s double")
+
+        pairs = merged(from_curves(seed), BREADTH if hold else k)
         if hold:
             pairs = materialise(pairs, "pairs")
-            keyed = materialise(classes.select("c", "u").mapInPandas(place_on_curves, "curve int, key long, c long, u binary").filter("curve = 0").drop("curve"), "keyed")
+            keyed = materialise(on_curves(projections(dim, 1, seed)).drop("curve"), "keyed")
+            before = 0.0
             for turn in range(ROUNDS + 1):
-                held = sample_recall(classes, merged(pairs, k), k, least, dim) >= hold
-                if held or turn == ROUNDS:
+                recall = sample_recall(classes, merged(pairs, k), k, least, dim)
+                held = recall >= hold
+                if held or turn == ROUNDS or recall - before < GAIN:
                     break
-                pairs = materialise(merged(pairs.unionByName(second_neighbours(keyed, pairs, dim)), BREADTH), "pairs")
+                before = recall
+                more = second_neighbours(keyed, pairs, dim)
+                # From the second round on other curves bring in what no chain of neighbours reaches.
+                more = more.unionByName(from_curves(seed + turn)) if turn else more
+                pairs = materialise(merged(pairs.unionByName(more), BREADTH), "pairs")
             pairs = merged(pairs if held else all_pairs(classes, count, k, least, dim), k)
     # Of a neighbouring class and of the own class at most k + 1 ids can be needed.
     others = pairs.join(classes.select(F.col("c").alias("d"), "ids"), "d").select("c", F.explode("ids").alias("other"), "s")
