@@ -12,13 +12,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.parquet as pq
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
-from citeloom.session import materialise
+from citeloom.session import materialise, open_shared
 
 K1, B = 1.2, 0.75
 #: Postings a task holds in memory at a time (some 40 bytes each), and the margin of sums that round to six digits.
@@ -114,8 +113,7 @@ class PostingBlock:
 
 def _read_block(path: str, columns: list[str]) -> pa.Table:
     """Columns of one file of the shared folder."""
-    system, inner = fs.FileSystem.from_uri(path if "://" in path else path.replace("file:/", "file:///", 1))
-    with system.open_input_file(inner) as f:
+    with open_shared(path) as f:
         return pq.read_table(f, columns=columns)
 
 

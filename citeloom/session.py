@@ -6,6 +6,8 @@ import tempfile
 import uuid
 from collections.abc import Iterable
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -74,3 +76,13 @@ def write_file(spark: SparkSession, path: str, parts: Iterable[str]) -> None:
     system.delete(target, False)
     if not system.rename(part, target):
         raise OSError(f"can't rename to {path}")
+
+
+def open_shared(path: str) -> pa.NativeFile:
+    """A file of the shared folder as Spark names it, opened from Python on an executor."""
+    if "://" not in path:
+        path = path.replace("file:/", "file:///", 1)
+    elif path.startswith(("s3a://", "s3n://")):
+        path = f"s3://{path.partition('://')[2]}"
+    system, inner = fs.FileSystem.from_uri(path)
+    return system.open_input_file(inner)

@@ -66,8 +66,14 @@ def read_stop_words(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """JSON lines; a malformed line is an error, blank lines are skipped."""
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    """JSON lines; blank lines are skipped, a line that isn't an object of the schema is an error that names it (its number in reading order)."""
+    lines = numbered(spark.read.text(path)).filter(F.trim("value") != "")
+    noted = T.StructType([*schema.fields, T.StructField("__bad", T.StringType())])
+    rows = lines.select("line", F.from_json("value", noted, {"columnNameOfCorruptRecord": "__bad"}).alias("r"))
+    wrong = [r.line for r in rows.filter("r IS NULL OR r.__bad IS NOT NULL").select("line").orderBy("line").limit(5).collect()]
+    if wrong:
+        raise ValueError(f"{path}: malformed lines {wrong}")
+    return rows.select(*[F.col("r")[c].alias(c) for c in schema.names])
 
 
 def read_tsv_queries(spark: SparkSession, path: str) -> DataFrame:

@@ -99,6 +99,17 @@ def test_run_readers(spark, tmp_path):
     assert got == {("7", "a", 1, 0.25), ("7", "b", 2, 2.0)}
 
 
+def test_json_lines_name_the_bad_line(spark, tmp_path):
+    from pyspark.sql import types
+
+    schema = types.StructType([types.StructField("a", types.IntegerType())])
+    (tmp_path / "good.jsonl").write_text('{"a": 1}\n\n{"a": 2, "b": 3}\n')
+    assert sorted(r.a for r in runs.read_json_lines(spark, str(tmp_path / "good.jsonl"), schema).collect()) == [1, 2]
+    (tmp_path / "bad.jsonl").write_text('{"a": 1}\n{"a": \n')
+    with pytest.raises(ValueError, match=r"\[2\]"):
+        runs.read_json_lines(spark, str(tmp_path / "bad.jsonl"), schema)
+
+
 def test_json_array_sink(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, None)], "qid int, text string")
     path = str(tmp_path / "out.json")
