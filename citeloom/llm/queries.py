@@ -37,7 +37,7 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
 def p2_cover(spark: SparkSession, d: str) -> DataFrame:
     """Per key: characters of its abstracts as its pieces cover them, and whether every piece keeps the limit."""
     new = F.col("end_at") - F.col("start_at")
-    cut = _pieces(spark, d).groupBy("pubkey").agg(F.sum(new).alias("chars"), (F.max(F.char_length("piece")) <= 1500).alias("fits"))
+    cut = _pieces(spark, d).filter("pubkey IS NOT NULL").groupBy("pubkey").agg(F.sum(new).alias("chars"), (F.max(F.char_length("piece")) <= 1500).alias("fits"))
     return cut.select("pubkey", F.col("chars").cast("long").alias("chars"), "fits")
 
 
@@ -154,7 +154,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": r"SELECT DISTINCT pubkey FROM collection_data WHERE pubkey IS NOT NULL AND length(regexp_replace(abstract, '^\s+|\s+$', '', 'g')) > 1500",
         "p2_cover": r"""SELECT pubkey, CAST(sum(length(t)) AS BIGINT) AS chars, true AS fits FROM (SELECT pubkey, regexp_replace(abstract, '^\s+|\s+$', '', 'g') AS t FROM collection_data)
-            WHERE t <> '' GROUP BY pubkey""",
+            WHERE t <> '' AND pubkey IS NOT NULL GROUP BY pubkey""",
         "p5_cover": r"""SELECT DISTINCT qid, CAST(length(text) AS BIGINT) AS chars, true AS joined FROM (SELECT qid, text FROM final_fr_test UNION ALL SELECT qid, text FROM final_de_tradottoen_test)
             WHERE regexp_matches(regexp_replace(text, '(https?://|www\.)\S+|[@#]\w+|[\p{L}\p{N}_-]*\p{N}[\p{L}\p{N}_-]*', ' ', 'g'), '\p{L}')""",
         "p3_found": f"SELECT run_id, qid, docid FROM ({_TOP}) WHERE r <= 5",

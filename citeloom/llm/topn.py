@@ -21,12 +21,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
-from citeloom.session import scratch_path
+from citeloom.session import open_shared, scratch_path
 
 
 #: Bytes of input (as Catalyst estimates them) for one clustered file.
@@ -64,13 +65,9 @@ def cluster_by_group(df: DataFrame, keys: list[str], item: str, score: str, row_
 
 def _row_groups(paths: list[str], keys: list[str], score: str) -> list[tuple[float, tuple | None, object, int]]:
     """(maximum score, the group if there is only one, open file, row-group number), best first."""
-    import pyarrow.fs as fs
-    import pyarrow.parquet as pq
-
     found = []
     for path in paths:
-        system, inner = fs.FileSystem.from_uri(path)
-        file = pq.ParquetFile(system.open_input_file(inner))
+        file = pq.ParquetFile(open_shared(path))
         at = {name: i for i, name in enumerate(file.schema_arrow.names)}
         for k in range(file.metadata.num_row_groups):
             meta = file.metadata.row_group(k)
@@ -127,7 +124,7 @@ def top_n_of_clusters(spark: SparkSession, path: str, keys: list[str], item: str
     kinds = to_arrow_schema(schema)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        paths = [p if "://" in p else p.replace("file:/", "file:///", 1) for batch in batches for p in batch.column("path").to_pylist()]
+        paths = [p for batch in batches for p in batch.column("path").to_pylist()]
         for rows in winners_of_files(paths, keys, item, score, n):
             yield from rows.cast(kinds).to_batches()
 
