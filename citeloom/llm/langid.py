@@ -166,66 +166,80 @@ class Judge:
         near = np.exp(-(d - d.min()) / SOFT)
         return near / near.sum()
 
-    def sure(self, found: np.ndarray, code: str) -> float:
-        """Confidence that n-grams are of a language; of an unknown one, how far they are from all."""
-        d = self.distances(found)
+    def sure(self, d: np.ndarray, code: str) -> float:
+        """Confidence that n-grams at these distances are of a language; of an unknown one, how far they are from all."""
         if code == UNKNOWN:
             return float(np.clip(0.5 + 2 * (d.min() - FOREIGN), 0.0, 1.0))
         return float(self.closeness(d)[self.codes.index(code)])
 
-    def judge(self, found: np.ndarray) -> tuple[str | None, float, float]:
-        """(language, confidence, lead over the runner-up)."""
-        d = self.distances(found)
+    def verdict(self, d: np.ndarray | None) -> tuple[str | None, float, float]:
+        """(language, confidence, lead over the runner-up) at distances to all languages."""
         if d is None:
             return None, 0.0, 0.0
         best = int(np.argmin(d))
         if d[best] > FOREIGN:
-            return UNKNOWN, self.sure(found, UNKNOWN), 1.0
+            return UNKNOWN, self.sure(d, UNKNOWN), 1.0
         rest = np.delete(d, best)
         lead = float(1 - d[best] / rest.min()) if len(rest) and rest.min() > 0 else 1.0
         return self.codes[best], float(self.closeness(d)[best]), lead
 
+    def judge(self, found: np.ndarray) -> tuple[str | None, float, float]:
+        """(language, confidence, lead over the runner-up) of n-grams."""
+        return self.verdict(self.distances(found))
+
     def segments(self, text: str | None) -> tuple[str | None, float, list[tuple[str, float, int, int, int]]]:
         """(main language, confidence, segments as (language, confidence, words, start, end)); the segments cover the text."""
         text = text or ""
         said = speaking_part(text)
-        parts: list[tuple[int, int, np.ndarray]] = []
+        starts: list[int] = []
+        sizes: list[int] = []
+        grams: list[np.ndarray] = []
         at = 0
         for end in [*(m.end() for m in SENTENCE.finditer(said)), len(said)]:
             words = language_words(said[at:end]) if at < end else []
             if words:
-                parts.append((at, len(words), self.grams(words)))
+                starts.append(at)
+                sizes.append(len(words))
+                grams.append(self.grams(words))
             at = end
-        main, sure, _ = self.judge(np.concatenate([found for _, _, found in parts]) if parts else np.empty(0, dtype=np.int64))
+        known: dict[tuple[int, int], np.ndarray | None] = {}
+
+        def between(i: int, j: int) -> np.ndarray | None:
+            # Distances of sentences i to j - 1; short texts ask for the same ones again and again.
+            if (i, j) not in known:
+                known[i, j] = self.distances(grams[i] if j == i + 1 else np.concatenate(grams[i:j])) if i < j else None
+            return known[i, j]
+
+        main, sure, _ = self.verdict(between(0, len(grams)))
         if main is None:
             return None, 0.0, []
         clear = []
-        for _, n, found in parts:
-            code, _, lead = self.judge(found) if n >= LEAST_WORDS else (None, 0.0, 0.0)
-            clear.append(code if lead >= LEAD else None)
+        for i, n in enumerate(sizes):
+            code, _, lead = self.verdict(between(i, i + 1)) if n >= LEAST_WORDS else (None, 0.0, 0.0)
+            clear.append((code if lead >= LEAD else None, i, i + 1))
         # Sentences that can't speak for themselves follow the one before, else the first that can, else the whole.
-        runs = self._joined([(code, *part) for code, part in zip(clear, parts)], main)
+        runs = self._joined(clear, main)
         # A run that isn't sure enough joins its neighbours.
-        runs = self._joined([(code if n > LEAST_WORDS and self.sure(found, code) >= SURE else None, at, n, found) for code, at, n, found in runs], main)
+        runs = self._joined([(code if sum(sizes[i:j]) > LEAST_WORDS and self.sure(between(i, j), code) >= SURE else None, i, j) for code, i, j in runs], main)
         amount: Counter = Counter()
-        for code, _, n, _ in runs:
-            amount[code] += n
+        for code, i, j in runs:
+            amount[code] += sum(sizes[i:j])
         first = amount.most_common(1)[0][0]
-        starts = [0, *(at for _, at, _, _ in runs[1:]), len(text)]
-        done = [(code, self.sure(found, code), n, starts[i], starts[i + 1]) for i, (code, _, n, found) in enumerate(runs)]
+        borders = [0, *(starts[i] for _, i, _ in runs[1:]), len(text)]
+        done = [(code, self.sure(between(i, j), code), sum(sizes[i:j]), borders[k], borders[k + 1]) for k, (code, i, j) in enumerate(runs)]
         return first, sure if first == main else max(p for c, p, _, _, _ in done if c == first), done
 
     @staticmethod
-    def _joined(parts: list[tuple], main: str) -> list[tuple]:
-        """Neighbouring parts (language or None, start, words, n-grams) of one language made one."""
-        last = next((p[0] for p in parts if p[0]), main)
-        out: list[tuple] = []
-        for code, at, n, found in parts:
+    def _joined(parts: list[tuple[str | None, int, int]], main: str) -> list[tuple[str, int, int]]:
+        """Neighbouring parts (language or None, first sentence, behind the last) of one language made one."""
+        last = next((code for code, _, _ in parts if code), main)
+        out: list[tuple[str, int, int]] = []
+        for code, i, j in parts:
             last = code or last
             if out and out[-1][0] == last:
-                out[-1] = (last, out[-1][1], out[-1][2] + n, np.concatenate([out[-1][3], found]))
+                out[-1] = (last, out[-1][1], j)
             else:
-                out.append((last, at, n, found))
+                out.append((last, i, j))
         return out
 
 
