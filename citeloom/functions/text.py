@@ -40,6 +40,8 @@ STOP_EN = tuple(
 #: Marks and names taken out of training texts, and links there.
 REFERENCES, LINK = r"\[[0-9]+\]|\([0-9]+\)|Google Scholar|Crossref|PubMed", r"http[^\s]+"
 ENDS = r"^\s+|\s+$"
+#: Tokens of posts, and the parts of a hashtag.
+SOCIAL_TOKEN, TAG_PART = r"#?[A-Za-z0-9_'\-]+", "[A-Z]?[a-z]+|[A-Z]+|[0-9]+"
 #: What generated translations echo.
 ECHOES = (r"(?s)^.*?\bassistant\b\s*", r"(?i)^(english|en|translation|traduction|übersetzung)\s*:\s*", r"(?s)^.*?nothing else\.\s*")
 #: Organisation and venue words of the cue score, in their case.
@@ -204,6 +206,19 @@ def term_variants(term: str | Column, lang: str = "en") -> Column:
     return F.array_distinct(F.array(t, bare, single))
 
 
+def social_terms(x: str | Column, emoji: dict[str, str], slang: dict[str, str], stop: Column | None = None) -> Column:
+    """Terms of a post: emoji as the words a table gives, hashtags split at case changes, digits and underscores, slang replaced, stop words and single letters out."""
+    y = _c(x)
+    for sign, name in emoji.items():
+        y = F.replace(y, F.lit(sign), F.lit(f" {name} "))
+    tokens = F.regexp_extract_all(y, F.lit(SOCIAL_TOKEN), F.lit(0))
+    split = F.flatten(F.transform(tokens, lambda t: F.when(t.startswith("#"), F.transform(F.regexp_extract_all(t, F.lit(TAG_PART), F.lit(0)), F.lower)).otherwise(F.array(t))))
+    table = F.create_map(*[F.lit(v) for pair in slang.items() for v in pair])
+    plain = F.transform(split, lambda t: F.coalesce(table[F.lower(t)], t))
+    words = stop_array() if stop is None else stop
+    return F.filter(plain, lambda t: (F.length(t) > 1) & ~F.array_contains(words, F.lower(t)))
+
+
 def rule_views(rows: DataFrame, sentences: dict[str, tuple[str, str, str]]) -> DataFrame:
     """``qid, lang, keywords, sparse, embedding, colbert, expanded`` of ``qid, lang, plain``, query terms ``q`` and document terms ``dd``."""
     some = lambda c: F.when(c != "", c)

@@ -140,6 +140,28 @@ def corpus_first(spark: SparkSession, d: str) -> DataFrame:
     return first.select("pubkey", "doc_text")
 
 
+#: Example tables of a caller: names of emoji, and slang.
+EMOJI = {"\U0001f9ec": "dna", "\U0001f637": "mask", "\U0001f914": "thinking"}
+SLANG = {"imo": "in my opinion", "btw": "by the way", "ppl": "people", "b4": "before", "thx": "thanks"}
+
+
+def _social_sql(x: str) -> str:
+    for sign, name in EMOJI.items():
+        x = f"replace({x}, '{sign}', ' {name} ')"
+    tokens = S.every(x, T.SOCIAL_TOKEN)
+    parts = S.every("t", T.TAG_PART)
+    split = f"flatten(list_transform({tokens}, lambda t: CASE WHEN starts_with(t, '#') THEN list_transform({parts}, lambda p: lower(p)) ELSE [t] END))"
+    named = "CASE lower(t) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SLANG.items()) + " ELSE t END"
+    return f"list_filter(list_transform({split}, lambda t: {named}), lambda t: length(t) > 1 AND NOT list_contains({S.STOP}, lower(t)))"
+
+
+@query(f"SELECT DISTINCT qid, {S.joined(_social_sql('text'))} AS terms FROM en_train WHERE text IS NOT NULL")
+def social_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Posts as terms: emoji named, hashtags split, slang written out."""
+    rows = table(spark, d, "en_train").filter("text IS NOT NULL")
+    return rows.select("qid", F.array_join(T.social_terms("text", EMOJI, SLANG), " ").alias("terms")).distinct()
+
+
 # Evaluation of lists with repeated documents.
 
 _LISTED = f"""{S.GOLD}, listed AS (SELECT run_id, qid, docid, row_number() OVER (PARTITION BY run_id, qid ORDER BY score DESC, docid) AS rank FROM run_entry WHERE score IS NOT NULL AND NOT isnan(score)),

@@ -175,6 +175,12 @@ def test_text_functions(spark):
     assert df.select(T.word_delimiter(F.lit("WiFi4You"))).first()[0] == ["WiFi4You", "Wi", "Fi", "4", "You"]
 
 
+def test_social_terms(spark):
+    df = spark.createDataFrame([("IMO the \U0001f637 helps #LongCOVID_Study2 a b",), ("",), (None,)], "t string")
+    got = [r.x for r in df.select(T.social_terms("t", {"\U0001f637": "mask"}, {"imo": "in my opinion"}).alias("x")).collect()]
+    assert got == [["in my opinion", "mask", "helps", "long", "covid", "study"], [], None]
+
+
 def test_retrieval_edges(spark):
     docs = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, [1.0, 0.0])], "docid long, v array<double>")
     queries = docs.filter("docid in (1, 3)").withColumnRenamed("docid", "qid")
