@@ -4,9 +4,33 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-#: Other names of measures.
+#: Other names of measures.
 METRIC_ALIASES = {"hit": "recall", "hits": "recall", "map": "ap", "mean_average_precision": "ap", "f1": "f1_1", "mrr5": "mrr_5", "mrr": "mrr_5"}
 
+#: By the beginning of an encoder's name, whether it gives all three signals, its query prefix and its input length (None: its own).
+ENCODERS = (
+    ("baai/bge-m3", True, "", 1024),
+    ("baai/bge", False, "Represent this sentence for searching relevant passages: ", None),
+)
+
+
+@dataclass(frozen=True)
+class EncoderRule:
+    """How texts go into an encoder."""
+
+    mode: str
+    query_prefix: str
+    max_length: int | None
+
+
+def encoder_rule(name: str, mode: str = "auto", query_prefix: str | None = None, max_length: int | None = None) -> EncoderRule:
+    """Mode, prefix and length for an encoder: what the caller gives, else what its family asks for."""
+    if max_length is not None and max_length < 1:
+        raise ValueError("max_length must be positive")
+    family = next((x[1:] for x in ENCODERS if name.lower().startswith(x[0])), (False, "", None))
+    wanted = {"multivector": "hybrid", "auto": "hybrid" if family[0] else "dense"}.get(mode, mode)
+    return EncoderRule(wanted, family[1] if query_prefix is None else query_prefix, family[2] if max_length is None else max_length)
+
 
 @dataclass(frozen=True)
 class RetrievalConfig:

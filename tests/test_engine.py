@@ -310,11 +310,16 @@ def test_stream_intake_drops_repeats(spark, tmp_path):
 
 
 def test_settings_and_reports(spark, tmp_path):
-    from citeloom.operators.config import RetrievalConfig, canonical_metric, usable_run
+    from citeloom.operators.config import RetrievalConfig, canonical_metric, encoder_rule, usable_run
     from citeloom.sources.reports import write_report
 
     assert RetrievalConfig(top_k=10).pool(25) == 25 and RetrievalConfig(top_k=10).pool(100) == 30
     assert RetrievalConfig(mode="auto").resolved_mode(True) == "hybrid" and RetrievalConfig(mode="auto").resolved_mode(False) == "dense"
+    rule = encoder_rule("BAAI/bge-large-en")
+    assert (rule.mode, rule.query_prefix.endswith(": "), rule.max_length) == ("dense", True, None) and encoder_rule("BAAI/bge-m3").mode == "hybrid" and encoder_rule("BAAI/bge-m3").max_length
+    assert encoder_rule("other", "multivector", "q: ", 64).mode == "hybrid" and encoder_rule("other", query_prefix="q: ").query_prefix == "q: " and encoder_rule("other").query_prefix == ""
+    with pytest.raises(ValueError):
+        encoder_rule("other", max_length=0)
     for bad in ({"dense_weight": 0, "sparse_weight": 0, "late_weight": 0}, {"top_k": 0}, {"mode": "x"}, {"late_weight": -1}):
         with pytest.raises(ValueError):
             RetrievalConfig(**bad)
