@@ -115,10 +115,13 @@ def profiles(df: DataFrame, text: str = "text", label: str = "lang", sample: int
         total: dict[str, Counter] = {}
         for batch in batches:
             for t, code in zip(batch["t"], batch["l"]):
-                own = total.setdefault(code, Counter())
-                for w in language_words(speaking_part(t)):
-                    own.update(word_grams(w))
-        for code, found in total.items():
+                total.setdefault(code, Counter()).update(language_words(speaking_part(t)))
+        for code, words in total.items():
+            # The n-grams of a word once, however often it stands.
+            found: Counter = Counter()
+            for w, n in words.items():
+                for g in word_grams(w):
+                    found[g] += n
             yield pd.DataFrame({"l": code, "g": list(found), "n": list(found.values())})
 
     counts = chosen.mapInPandas(count, "l string, g string, n long").groupBy("l", "g").agg(F.sum("n").alias("n"))
