@@ -161,14 +161,13 @@ def _keys_of(codes: np.ndarray, train: bool, plan: dict[int, list] | None = None
 
 def _wanted(n: int) -> list[tuple[int, int, int, int, int]]:
     """(kind, range of training lengths, i, start, size) of the n-grams of an evaluation text of n words."""
-    out = set()
+    out, ranges = set(), set()
     for m in partner_lengths(n):
         if m > LONG:
-            size = segments(m)[1]
-            out |= {(2, length_range(m), 0, start, size) for start in range(n - size + 1)}
+            ranges.add((length_range(m), segments(m)[1]))
         else:
             out |= {(1, m // STEP, *at) for at in places(n, m)}
-    return sorted(out)
+    return sorted(out) + [(2, mark, 0, start, size) for mark, size in sorted(ranges) for start in range(n - size + 1)]
 
 
 def _hashed(classes: DataFrame, train: bool) -> DataFrame:

@@ -44,6 +44,8 @@ ITEM = re.compile(r"([ \t]*)(?:[-*+•‣–]|\(?\d{1,4}[.)]|\(?[a-z][.)])[ \t]+
 ROW = re.compile(r"[ \t]*\|")
 #: Block elements of HTML.
 TAG = re.compile(r"<(/?)(h[1-6]|p|div|section|article|ul|ol|li|table|tr|pre|blockquote)\b[^<>]*>", re.I)
+#: Indentation and nesting from which list items count as of one level.
+DEEPEST = 100
 #: A lead keeps to what it leads up to this share of a piece.
 LEAD = 0.25
 
@@ -79,7 +81,7 @@ def _line_blocks(text: str, start: int, end: int) -> list[tuple[int, str, int]]:
             elif (m := UNDERLINE.match(line)) and not blank and kind == "leaf" and "\n" not in text[out[-1][0] : at].rstrip("\n"):
                 out[-1] = (out[-1][0], "heading", 1 if m[1][0] == "=" else 2)
             elif m := ITEM.match(line):
-                out.append((at, "item", len(m[1].expandtabs(4))))
+                out.append((at, "item", min(len(m[1].expandtabs(4)), DEEPEST)))
             elif ROW.match(line):
                 if kind != "table" or blank:
                     out.append((at, "table", 0))
@@ -107,7 +109,7 @@ def blocks(text: str) -> list[tuple[int, int, str, int]]:
         elif name[0] == "h":
             marks.append((m.start(), m.end(), "heading", int(name[1])))
         else:
-            marks.append((m.start(), m.end(), "item" if name == "li" else "leaf", depth))
+            marks.append((m.start(), m.end(), "item" if name == "li" else "leaf", min(max(depth, 0), DEEPEST)))
     starts: list[tuple[int, str, int]] = []
     for (start, body, kind, level), stop in zip(marks, [m[0] for m in marks[1:]] + [len(text)]):
         inner = _line_blocks(text, body, stop)

@@ -158,6 +158,14 @@ def test_pieces_end_at_natural_boundaries():
     assert [len(p) for _, _, p in splitter.pieces("x" * 1000, 500, 50)] == [450, 500, 150]
 
 
+def test_deep_nesting_is_bounded():
+    deep = "\n".join(" " * i + "- item with some words" for i in range(1500))
+    page = "<ul><li>word " * 1500 + "</li></ul>" * 1500
+    for text in (deep, page, "# a\n" * 3000, "- a:\n" * 3000, "```\n" * 3001):
+        found = splitter.pieces(text, 300, 20)
+        assert "".join(text.strip()[a:b] for a, b, _ in found) == text.strip() and max(len(p) for _, _, p in found) <= 300
+
+
 def test_splitting_table(spark):
     rows = [("a", "x" * 10, 1), ("b", None, 2), ("c", "  \n", 3), ("d", "word " * 400, 4), ("d", "word " * 400, 4), (None, "y " * 2000, 5)]
     df = spark.createDataFrame(rows, "pubkey string, abstract string, end_at_ int")
