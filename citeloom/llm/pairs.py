@@ -31,8 +31,10 @@ from citeloom.llm.text import WORD, fold
 SHINGLE = 3
 #: Share of the response's shingles in the prompt, or of both texts' words in the common subsequence, from which a response copies.
 COPY_SHINGLES, COPY_LCS = 0.6, 0.75
-#: Share of a refusal template that a sentence must render in order, and what each foreign word between its words takes off.
-REFUSES, FOREIGN_WORD = 0.75, 0.35
+#: Share of a refusal template that a sentence must render in order, that of one in the first person, and what each foreign word between its words takes off.
+REFUSES, REFUSES_FIRST, FOREIGN_WORD = 0.75, 0.66, 0.35
+#: Words of the first person, folded.
+FIRST_PERSON = frozenset("i my me ich mir mich mein meine meinen je j mes mon ma yo mi mis io mio mia mie".split())
 
 #: Whole-sentence refusals of chat models; ``{a|b}`` stands for each of its alternatives.
 TEMPLATES = """\
@@ -63,6 +65,14 @@ i am afraid i {can not|will not|must} {translate|help|provide|decline|do} {this|
 it {would not be|is not} {appropriate|right|responsible|ethical|possible} {for me to|to} {translate|provide|render|repeat} {this|that|a}
 {this|that|the} {text|content|post|message|sentence} can not be translated
 {i will|i shall} not be {translating|providing|able to translate|able to provide} {this|that|a|the} {text|translation|one|post}
+i would rather not {translate|render|help|provide|answer|do} {this|that|with|a}
+i {must|respectfully|will have to|need to} decline
+i {do not|will not|can not} translate {such|this kind of|that kind of|harmful|offensive} {content|text|posts|material}
+unable to translate {this|that|the} {text|content|post|message}
+translation of {this|that|the} {text|content|post|message} is not {possible|available|allowed}
+{it is|this is|that is} against my {guidelines|policy|policies|rules|instructions} to {translate|help|do|render}
+i am {not designed|not built|not meant|not supposed} to {translate|help|answer|process} {this|that|such}
+i am {not permitted|not authorized|forbidden} to {translate|provide|render|help} {this|that|a|with}
 no translation {is available|is possible|available|possible} {for this text|for this post|here}
 translation {refused|declined|not available|not possible|unavailable|can not be provided}
 my {programming|training|safety guidelines} {does not allow|do not allow|does not permit|prevents} {me to|me from} {translate|translating|this}
@@ -77,6 +87,10 @@ kann ich {dabei|ihnen dabei|dir dabei|damit} {leider nicht|nicht} {helfen|weiter
 ich kann {diese anfrage|diese bitte|diesen auftrag} {leider nicht|nicht} {erfüllen|bearbeiten|beantworten|ausführen}
 {ich muss|muss ich} {die übersetzung|diese anfrage|diese bitte|den auftrag|das} {leider ablehnen|ablehnen|verweigern}
 ich {lehne|verweigere} {die übersetzung|diese anfrage|eine übersetzung} ab
+{als ki|als sprachmodell|als assistent|leider} bin ich nicht {in der lage|befugt|berechtigt}
+{das|dies|dieses} {kann|darf|werde} ich {leider nicht|nicht} {tun|machen|übersetzen}
+ich {kann|darf|werde} {das|dies|es} {leider nicht|nicht} {tun|machen}
+ich {möchte|will} {das|diesen text|diese nachricht} {lieber nicht|nicht} {übersetzen|wiedergeben}
 ich bin nicht in der lage {das|diesen text|eine übersetzung} zu {übersetzen|liefern|erstellen}
 es ist mir {leider nicht|nicht} möglich {das|diesen text|den beitrag} zu übersetzen
 {als ki|als sprachmodell|als assistent} {kann|darf|möchte|muss} ich {das nicht|nicht|keine|dies nicht|ablehnen}
@@ -97,6 +111,10 @@ je {refuse|décline} {de traduire|cette demande|la traduction}
 il m est impossible de {traduire|fournir|vous aider|répondre} {ce|cette|une|cela|à}
 en tant que {modèle de langage|modèle|assistant|ia} je {ne peux|ne puis|dois|ne suis} {pas|refuser|décliner}
 {désolé|désolée|je regrette|je suis désolé|malheureusement} {mais je|je} ne {peux|puis} pas {traduire|vous aider|faire|répondre}
+je ne {peux|puis|vais|veux} pas {le|la|les} {traduire|faire}
+je ne {peux|puis} pas {donner suite|répondre|accéder} à {cette|votre} {demande|requête}
+je {préfère|préférerais} ne pas {traduire|répondre|donner} {ce|cela|de|à}
+je {dois|me dois de} {décliner|refuser}
 je ne {traduirai|traduis} pas {ce texte|ce message|ce contenu|cela}
 {ce texte|ce message|ce contenu|cette demande} ne peut {pas être traduit|être traduit|pas être traduite|pas être traité}
 {aucune traduction|la traduction} {n est possible|ne peut être fournie|n est disponible|est impossible}
@@ -110,6 +128,10 @@ no {estoy en condiciones de|soy capaz de|me es posible|me está permitido} {trad
 me niego a traducir {este|ese|esto|eso}
 como {modelo de lenguaje|modelo|asistente|ia} {no puedo|no debo|debo rechazar} {traducir|ofrecer|ayudar|esta}
 {lo siento|lo lamento|lamentablemente} {pero no|no} puedo {traducir|ayudar|ayudarte|hacer}
+no puedo {traducirlo|hacerlo|ayudarte|ayudarle|ayudar} {lo siento|con eso|con esto|en esto}
+{lo siento|lamentablemente} no {puedo|voy a} {traducirlo|hacerlo}
+no puedo traducir {esto|eso} {lo siento|porque}
+{no estoy autorizado|no estoy autorizada|no se me permite} {a|para} {traducir|ayudar|responder}
 {no voy a|no debo|no quiero|prefiero no} traducir {este|ese|esta|el|esto}
 {este texto|este mensaje|este contenido} no {puede ser traducido|se puede traducir|se traducirá}
 {la|una} traducción no {es posible|está disponible|se puede ofrecer}
@@ -123,6 +145,9 @@ non {sono in grado di|mi è possibile|mi è permesso} {tradurre|fornire|aiutare|
 mi rifiuto di tradurre {questo|ciò|il}
 come {modello linguistico|modello|assistente|ia} {non posso|devo rifiutare|non sono in grado} {tradurre|fornire|aiutare|questa|di}
 {mi dispiace|spiacente|purtroppo} {ma non|non} posso {tradurre|aiutare|aiutarti|farlo}
+non posso {tradurlo|farlo|aiutarti|aiutarla} {mi dispiace|con questo|in questo}
+{mi dispiace|purtroppo} non {posso|intendo} {tradurlo|farlo}
+{non sono autorizzato|non sono autorizzata|non mi è consentito} {a|di} {tradurre|aiutare|rispondere}
 {non intendo|non voglio|non devo|preferisco non} tradurre {questo|quel|il|ciò}
 {questo testo|questo messaggio|questo contenuto} non può essere tradotto
 {la|una} traduzione non {è possibile|è disponibile|può essere fornita}
@@ -196,7 +221,7 @@ def expanded(template: str) -> list[str]:
 class Refusals:
     """Refusal templates and the sentences that render one.
 
-    A sentence may lack a quarter of a template's words, so it has one of the template's longest words that are one more than that; those
+    A sentence may lack a third of a template's words, so it has one of the template's longest words that are one more than that; those
     words find the templates to compare. Templates most of whose words it has are aligned by the common subsequence, foreign
     words in between taken off.
     """
@@ -204,7 +229,7 @@ class Refusals:
     def __init__(self, lines: str = TEMPLATES) -> None:
         self.templates = sorted({tuple(written_out(t)) for line in lines.splitlines() for t in expanded(line)})
         self.words = [frozenset(t) for t in self.templates]
-        self.least = [REFUSES * len(t) for t in self.templates]
+        self.least = [REFUSES_FIRST * len(t) for t in self.templates]
         self.keys: dict[str, list[int]] = {}
         for k, (own, least) in enumerate(zip(self.words, self.least)):
             lost = len(self.templates[k]) - math.ceil(least)
@@ -222,16 +247,22 @@ class Refusals:
             row = new
         return max(row) / len(template)
 
+    @staticmethod
+    def needed(words: list[str]) -> float:
+        """Share of a template that a sentence must render: refusals mostly speak in the first person, reports that something can't be done don't."""
+        return REFUSES if FIRST_PERSON.isdisjoint(words) else REFUSES_FIRST
+
     def in_sentence(self, words: list[str]) -> bool:
         """Whether a sentence renders a template."""
         own = set(words)
+        needed = self.needed(words)
         tried: set[int] = set()
         for w in self.keys.keys() & own:
             for k in self.keys[w]:
                 # A word may stand twice in a template, so the distinct ones bound what can be lost.
                 if k not in tried and len(self.words[k] - own) <= len(self.templates[k]) - self.least[k]:
                     tried.add(k)
-                    if self.aligned(self.templates[k], words) >= REFUSES:
+                    if self.aligned(self.templates[k], words) >= needed:
                         return True
         return False
 
