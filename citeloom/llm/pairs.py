@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from citeloom.llm.langid import Judge, speaking_part
 from citeloom.llm.text import WORD, fold
 
+#: Defects, the weightiest first.
+ORDER = ("empty", "copy", "refusal", "wrong_language", "truncated")
 SHINGLE = 3
 #: Share of the response's shingles in the prompt, or of both texts' words in the common subsequence, from which a response copies.
 COPY_SHINGLES, COPY_LCS = 0.6, 0.75

@@ -93,10 +93,20 @@ def p5_cover(spark: SparkSession, d: str) -> DataFrame:
     return found.select("qid", chars.cast("long").alias("chars"), (total == chars).alias("joined")).distinct()
 
 
-def p6_found(spark: SparkSession, d: str) -> DataFrame:
+def _defects(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "final_de_tradottoen_test").select("qid", "text_original", "text").distinct()
-    found = pairs.defects(rows, _profiles(spark, d)).filter("defect IS NOT NULL")
-    return found.groupBy("qid").agg(F.min("defect").alias("defect"))
+    return pairs.defects(rows, _profiles(spark, d)).filter("defect IS NOT NULL")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    weight = F.array_position(F.array(*map(F.lit, pairs.ORDER)), F.col("defect"))
+    return _defects(spark, d).groupBy("qid").agg(F.min_by("defect", weight).alias("defect"))
+
+
+def p6_defects(spark: SparkSession, d: str) -> DataFrame:
+    """Every defect of each pair, in one row a query."""
+    rows = _defects(spark, d).select("qid", F.explode("all_defects").alias("defect")).distinct()
+    return rows.groupBy("qid").agg(F.array_join(F.array_sort(F.collect_set("defect")), ",").alias("defects"))
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -139,7 +149,7 @@ def queries() -> dict[str, Query]:
         f.__name__: f
         for f in (
             p1_found, p1_report, p2_found, p2_pieces, p2_cover, p3_found, p3_lists, p4_found, p4_neighbours, p5_found, p5_segments, p5_cover,
-            p6_found, p7_ids, p8_found, p8_report, p9_found, p9_scores, p9_rates,
+            p6_found, p6_defects, p7_ids, p8_found, p8_report, p9_found, p9_scores, p9_rates,
         )
     }
 
