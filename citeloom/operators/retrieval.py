@@ -179,9 +179,11 @@ def bm25(terms: DataFrame, weights: DataFrame, k: int) -> DataFrame:
         if held:
             yield from _scored_block(held, vocabulary, files, k, schema)
 
+    wanted = weights.select("docid", "term", "w").join(asked.select("term").distinct(), "term", "left_semi").select("docid", "term", "w")
+    # A fixed number keeps all cores busy on small tables; where there are far more partitions than cores, adaptive execution joins small ones.
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    wanted = weights.select("docid", "term", "w").join(asked.select("term").distinct(), "term", "left_semi")
-    found = wanted.select("docid", "term", "w").repartition(parts, "docid").sortWithinPartitions("docid").mapInArrow(scan, f"qid {kinds[0]}, docid {kinds[1]}, score double")
+    spread = wanted.repartition(parts, "docid") if parts <= 4 * spark.sparkContext.defaultParallelism else wanted.repartition("docid")
+    found = spread.sortWithinPartitions("docid").mapInArrow(scan, f"qid {kinds[0]}, docid {kinds[1]}, score double")
     return top_k(found, k)
 
 
