@@ -223,6 +223,22 @@ def test_bm25_against_brute_force(spark, monkeypatch):
     assert retrieval.bm25(asked.limit(0), known, 7).count() == retrieval.bm25(asked, known.limit(0), 7).count() == 0
 
 
+def test_bm25_shuffles_no_answers(spark, monkeypatch):
+    rng = random.Random(7)
+    docs = spark.createDataFrame([(f"d{i:03}", [f"t{int(rng.random() ** 2 * 30)}" for _ in range(8)], [f"t{int(rng.random() * 40)}" for _ in range(20)]) for i in range(150)], "docid string, a array<string>, b array<string>")
+    asked = spark.createDataFrame([(q, f"t{t}", 1.0 + t % 2) for q in range(25) for t in rng.sample(range(45), 6)], "qid long, term string, qw double")
+    index = retrieval.write_index(docs.repartition(3), {"a": F.col("a"), "b": F.col("b")})
+    weights = retrieval.weighted_postings(index, {"a": 2.0})
+    scores = asked.join(weights, "term").groupBy("qid", "docid").agg(F.round(F.sum(F.col("qw") * F.col("w")), 6).alias("score"))
+    want = {(r.qid, r.docid, r.score, r["rank"]) for r in retrieval.top_k(scores, 9).collect()}
+    for size in (retrieval.BLOCK_POSTINGS, 700, 90):
+        monkeypatch.setattr(retrieval, "BLOCK_POSTINGS", size)
+        found = retrieval.bm25(asked, index, 9, {"a": 2.0})
+        assert {(r.qid, r.docid, r.score, r["rank"]) for r in found.collect()} == want
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Window" not in plan
+
+
 def test_dense_search_against_brute_force(spark, monkeypatch):
     rng = random.Random(5)
     rows = [(i, [float(rng.randrange(-2, 3)) for _ in range(4)]) for i in range(200)] + [(900, None), (901, [1.0, None, 0.0, 0.0]), (902, [1.0])]
