@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -19,9 +19,12 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
     return base.corpus(spark, d).withColumnRenamed("pubkey", "docid")
 
 
+def _fields() -> dict[str, Column]:
+    return {c: T.tokenize_sparse(F.coalesce(c, F.lit(""))) for c in ("title", "abstract")}
+
+
 def _index(spark: SparkSession, d: str) -> DataFrame:
-    none = F.lit("")
-    return R.write_index(_docs(spark, d).select("docid", "title", "abstract"), {c: T.tokenize_sparse(F.coalesce(c, none)) for c in ("title", "abstract")})
+    return R.write_index(_docs(spark, d).select("docid", "title", "abstract"), _fields())
 
 
 INDEX = f"""{S.CORPUS}, docs AS (SELECT pubkey AS docid, 'title' AS field, {S.tok_sparse("coalesce(title, '')")} AS tokens FROM corpus
@@ -136,14 +139,10 @@ def grid_eval(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {BM25} SELECT b.qid, b.docid, CAST(row_number() OVER (PARTITION BY b.qid ORDER BY b.score DESC, b.docid) AS INTEGER) AS rank FROM bm_s b JOIN topics t USING (qid) JOIN corpus g ON g.pubkey = t.gold JOIN corpus c ON c.pubkey = b.docid WHERE lower(c.venue) = lower(g.venue)")
 def filtered_search(spark: SparkSession, d: str) -> DataFrame:
     """BM25 with a mandatory venue: that of the gold paper; the filter acts before the ranking."""
-    papers = base.corpus(spark, d).select("pubkey", F.lower("venue").alias("venue"))
-    wanted = base.topics(spark, d).join(papers.withColumnRenamed("pubkey", "gold"), "gold").select("qid", F.col("venue").alias("must"))
-    weights = R.weighted_postings(_index(spark, d), {"title": 2.0}).join(papers.withColumnRenamed("pubkey", "docid"), "docid")
+    docs = _docs(spark, d).select("docid", "title", "abstract", F.lower("venue").alias("grp"))
+    wanted = base.topics(spark, d).join(docs.select(F.col("docid").alias("gold"), "grp"), "gold").select("qid", "grp")
     terms = R.query_terms(base.topics(spark, d), T.tokenize_sparse("text")).join(wanted, "qid")
-    hits = terms.join(weights, (terms["term"] == weights["term"]) & (F.col("must") == F.col("venue")))
-    scored = hits.groupBy("qid", "docid").agg(F.round(F.sum(F.col("qw") * F.col("w")), 6).alias("score"))
-    order = Window.partitionBy("qid").orderBy(F.desc("score"), "docid")
-    return scored.select("qid", "docid", F.row_number().over(order).alias("rank"))
+    return R.bm25_in_groups(terms, docs, _fields(), {"title": 2.0})
 
 
 # Vectors. Query vectors are those whose id is divisible by 100, against all vectors.

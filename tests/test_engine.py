@@ -239,6 +239,17 @@ def test_bm25_shuffles_no_answers(spark, monkeypatch):
         assert "Exchange" not in plan and "Window" not in plan
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_filtered_search_shuffles_no_pairs(spark, sql, monkeypatch):
+    want = sorted(map(tuple, sql.execute(catalog.oracle_sql()["filtered_search"]).fetchall()))
+    for size in (retrieval.BLOCK_POSTINGS, 300):
+        monkeypatch.setattr(retrieval, "BLOCK_POSTINGS", size)
+        found = catalog.queries()["filtered_search"](spark, DATA)
+        assert sorted((r.qid, r.docid, r["rank"]) for r in found.collect()) == want
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Join" not in plan
+
+
 def test_dense_search_against_brute_force(spark, monkeypatch):
     rng = random.Random(5)
     rows = [(i, [float(rng.randrange(-2, 3)) for _ in range(4)]) for i in range(200)] + [(900, None), (901, [1.0, None, 0.0, 0.0]), (902, [1.0])]
