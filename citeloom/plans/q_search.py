@@ -123,17 +123,11 @@ GRID = [(a, b) for a in (0.5, 1.0, 2.0) for b in (0.0, 1.0, 4.0)]
 def grid_eval(spark: SparkSession, d: str) -> DataFrame:
     """Clause weights tried at once: partial scores are computed a single time, each grid point only reranks."""
     queries = _expanded(spark, d)
-    weights = R.weighted_postings(_index(spark, d))
-
-    def part(c: str, x: str, y: str) -> DataFrame:
-        s = R.query_terms(queries, T.tokenize_sparse(F.coalesce(c, F.lit("")))).join(weights, "term").groupBy("qid", "docid").agg(F.sum(F.col("qw") * F.col("w")).alias(x))
-        return s.withColumn(y, F.lit(0.0)).select("qid", "docid", "x", "y")
-
-    pairs = part("text", "x", "y").unionByName(part("third", "y", "x")).groupBy("qid", "docid").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
-    grid = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in GRID]))
-    rows = pairs.withColumn("g", grid).select("qid", "docid", "g.a", "g.b", F.round(F.col("g.a") * F.col("x") + F.col("g.b") * F.col("y"), 6).alias("score"))
-    top = R.top_k(rows, 10, ("a", "b", "qid")).join(base.topics(spark, d).select("qid", "gold"), "qid")
-    return top.groupBy("a", "b").agg(F.sum(F.coalesce((F.col("docid") == F.col("gold")).cast("bigint"), F.lit(0))).alias("hits"))
+    none = F.lit(0.0)
+    text, venue = (R.query_terms(queries, T.tokenize_sparse(F.coalesce(c, F.lit("")))) for c in ("text", "third"))
+    both = text.select("qid", "term", F.col("qw").alias("qx"), none.alias("qy")).unionByName(venue.select("qid", "term", none.alias("qx"), F.col("qw").alias("qy")))
+    terms = both.groupBy("qid", "term").agg(F.sum("qx").alias("qx"), F.sum("qy").alias("qy")).join(queries.select("qid", "gold"), "qid")
+    return R.bm25_grid(terms, _index(spark, d), GRID, 10)
 
 
 @query(f"WITH {BM25} SELECT b.qid, b.docid, CAST(row_number() OVER (PARTITION BY b.qid ORDER BY b.score DESC, b.docid) AS INTEGER) AS rank FROM bm_s b JOIN topics t USING (qid) JOIN corpus g ON g.pubkey = t.gold JOIN corpus c ON c.pubkey = b.docid WHERE lower(c.venue) = lower(g.venue)")

@@ -250,6 +250,16 @@ def test_filtered_search_shuffles_no_pairs(spark, sql, monkeypatch):
         assert "Exchange" not in plan and "Join" not in plan
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_grid_eval_makes_no_pairs(spark, sql, monkeypatch):
+    want = sorted(map(tuple, sql.execute(catalog.oracle_sql()["grid_eval"]).fetchall()))
+    for size in (retrieval.BLOCK_POSTINGS, 300):
+        monkeypatch.setattr(retrieval, "BLOCK_POSTINGS", size)
+        found = catalog.queries()["grid_eval"](spark, DATA)
+        assert sorted((r.a, r.b, r.hits) for r in found.collect()) == want
+        assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_dense_search_against_brute_force(spark, monkeypatch):
     rng = random.Random(5)
     rows = [(i, [float(rng.randrange(-2, 3)) for _ in range(4)]) for i in range(200)] + [(900, None), (901, [1.0, None, 0.0, 0.0]), (902, [1.0])]
