@@ -13,7 +13,7 @@ from citeloom.operators import training as N
 from citeloom.plans import base
 from citeloom.plans import sqltext as S
 from citeloom.plans.q_eval import AP, GAIN, HIT, JUDGED, MRR, _judged
-from citeloom.plans.q_search import BM25, DENSE, VECS, _dense, _docs, _index, bm25_run
+from citeloom.plans.q_search import BM25, DENSE, VECS, _dense, _docs, _index, _run, bm25_run
 from citeloom.plans.q_train import GROUPS, _hex, _md5, _pool
 from citeloom.plans.registry import query
 from citeloom.session import materialise, table
@@ -245,7 +245,7 @@ def ltr_gold_set(spark: SparkSession, d: str) -> DataFrame:
     topics = base.topics(spark, d).select("qid", "gold", F.array_distinct(T.tokenize_sparse("text")).alias("asked"))
     papers = materialise(_docs(spark, d).select("docid", F.array_distinct(T.tokenize_sparse(F.coalesce("title", F.lit("")))).alias("own"), F.array_distinct(T.tokenize_sparse("doc_text")).alias("whole")), "terms")
     share = lambda c: F.round(F.size(F.array_intersect("asked", c)) / F.greatest(F.lit(1), F.size("asked")), 6)
-    rows = bm25_run(spark, d, 64).select("qid", "docid", F.col("score").alias("bm25")).join(topics, "qid").join(papers, "docid")
+    rows = _run(spark, d, 64).select("qid", "docid", F.col("score").alias("bm25")).join(topics, "qid").join(papers, "docid")
     rows = rows.select("qid", "docid", "bm25", share("own").alias("title_share"), share("whole").alias("text_share"), F.coalesce(F.col("docid") == F.col("gold"), F.lit(False)).cast("int").alias("label"))
     every = Window.partitionBy("qid")
     sets = rows.withColumns({"__hi": F.max("label").over(every), "__lo": F.min("label").over(every)}).filter("__hi = 1 AND __lo = 0").drop("__hi", "__lo")

@@ -4,6 +4,7 @@ import json
 import math
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -260,6 +261,14 @@ def test_grid_eval_makes_no_pairs(spark, sql, monkeypatch):
         assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+@pytest.mark.parametrize("name", ["prf_terms", "neighbor_expansion", "neighbor_expansion_simple"])
+def test_terms_of_papers_are_not_shuffled_one_by_one(spark, name):
+    plan = catalog.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(qid#\d+L?, term#", plan)
+    assert "MapInArrow" not in plan
+
+
 def test_dense_search_against_brute_force(spark, monkeypatch):
     rng = random.Random(5)
     rows = [(i, [float(rng.randrange(-2, 3)) for _ in range(4)]) for i in range(200)] + [(900, None), (901, [1.0, None, 0.0, 0.0]), (902, [1.0])]
