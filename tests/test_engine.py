@@ -6,12 +6,13 @@ import os
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from citeloom.functions import dist
 from citeloom.functions import text as T
-from citeloom.operators import evaluation, ordering, retrieval, statistics, training
+from citeloom.operators import evaluation, ordering, retrieval, statistics, training, wordvec
 from citeloom.plans import catalog
 from citeloom.sources import runs
 
@@ -422,6 +423,46 @@ def test_word2vec_covers_rare_words_without_stop_words(spark):
     assert min(counts[w] for w in seen) == 3
 
 
+@pytest.mark.parametrize("step", [1, 7])
+def test_word_vectors_equal_plain_training(step):
+    rng = np.random.default_rng(5)
+    ids, ends, counts = rng.integers(0, 9, 45).astype(np.int32), np.array([4, 5, 30, 45]), np.arange(20, 11, -1)
+    size, window, passes, negative = 6, 3, 4, 5
+    rng = np.random.default_rng(1)
+    vectors, out = (rng.random((9, size), dtype=np.float32) * 2 - 1).astype(float) / size, np.zeros((9, size))
+    share = np.cumsum(counts**0.75) / np.sum(counts**0.75)
+    whole = 45 - 45 % step
+    for done in range(passes):
+        for a, z in ((0, whole), (whole, 45)):
+            if a == z:
+                continue
+            reach, drawn = rng.integers(1, window + 1, z - a), rng.random((z - a, negative))
+            for b in range(a, z, step):
+                # All errors of a step are taken against the vectors before it.
+                old, old_out = vectors.copy(), out.copy()
+                rate = 0.025 - (0.025 - 0.0001) * (done * 45 + b) / (passes * 45)
+                for i in range(b, min(b + step, z)):
+                    start, end = max([0, *(e for e in ends if e <= i)]), min(e for e in ends if e > i)
+                    near = [j for j in range(max(start, i - reach[i - a]), min(end, i + reach[i - a] + 1)) if j != i]
+                    mean = old[ids[near]].mean(axis=0) if near else np.zeros(size)
+                    for k, w in enumerate([ids[i], *np.searchsorted(share, drawn[i - a], "right")]):
+                        if k == 0 or w != ids[i]:
+                            g = ((k == 0) - 1 / (1 + np.exp(-old_out[w] @ mean))) * rate
+                            out[w] += g * mean
+                            for j in near:
+                                vectors[ids[j]] += g * old_out[w]
+    found = wordvec.train(ids, ends, counts, size, window, passes, step=step)
+    assert np.abs(out).max() > 1e-3 and np.allclose(found, vectors, atol=1e-6)
+
+
+def test_word_vectors_do_not_depend_on_partitions(spark):
+    texts = [(f"{i:03}", [f"w{(i * i + j * (i % 5 + 1)) % 23}" for j in range(i % 40)]) for i in range(120)] + [("long", [f"w{j % 19}" for j in range(3000)]), ("rare", ["once"]), ("null", None)]
+    rows = spark.createDataFrame(texts, "pubkey string, words array<string>")
+    one, other = ({r.word: r.v for r in wordvec.word_vectors(t, "pubkey", "words", 8, 4, 3, 2).collect()} for t in (rows.repartition(1), rows.repartition(5, "pubkey").orderBy(F.desc("pubkey"))))
+    assert one == other and one.keys() == {f"w{i}" for i in range(23)}
+    assert all(abs(sum(x * x for x in v) - 1) < 1e-9 for v in one.values())
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 def test_pivot_and_samples_cover_every_run(spark):
     from citeloom.plans import base
