@@ -463,6 +463,62 @@ def test_word_vectors_do_not_depend_on_partitions(spark):
     assert all(abs(sum(x * x for x in v) - 1) < 1e-9 for v in one.values())
 
 
+def test_word_vectors_with_shared_draws_equal_plain_training():
+    rng = np.random.default_rng(6)
+    ids, ends, counts = rng.integers(0, 9, 45).astype(np.int32), np.array([4, 5, 30, 45]), np.arange(20, 11, -1)
+    size, window, negative, pool, step = 6, 3, 5, 8, 7
+    rng = np.random.default_rng(1)
+    vectors, out = (rng.random((9, size), dtype=np.float32) * 2 - 1).astype(float) / size, np.zeros((9, size))
+    for done in range(3):
+        for a, z, t in ((0, 42, 7), (42, 45, 3)):
+            reach, drawn = rng.integers(1, window + 1, z - a), rng.random(((z - a) // t, pool))
+            for s, b in enumerate(range(a, z, t)):
+                old, old_out = vectors.copy(), out.copy()
+                rate = 0.025 - (0.025 - 0.0001) * (done * 45 + b) / (3 * 45)
+                for i in range(b, b + t):
+                    start, end = max([0, *(e for e in ends if e <= i)]), min(e for e in ends if e > i)
+                    near = [j for j in range(max(start, i - reach[i - a]), min(end, i + reach[i - a] + 1)) if j != i]
+                    mean = old[ids[near]].mean(axis=0) if near else np.zeros(size)
+                    for k, w in enumerate([ids[i], *np.searchsorted(wordvec.shares(counts), drawn[s], "right")]):
+                        if k == 0 or w != ids[i]:
+                            g = ((k == 0) - 1 / (1 + np.exp(-old_out[w] @ mean))) * rate * (1 if k == 0 else negative / pool)
+                            out[w] += g * mean
+                            for j in near:
+                                vectors[ids[j]] += g * old_out[w]
+    found = wordvec.train(ids, ends, counts, size, window, 3, step=step, pool=pool)
+    assert np.abs(out).max() > 1e-3 and np.allclose(found, vectors, atol=1e-6)
+
+
+def test_word_vectors_are_trained_in_several_tasks(spark):
+    # Words of a topic stand together; every tenth text has one that is rare.
+    rng = random.Random(1)
+    texts = [(f"{i:04}", [f"{'rare' if j == 9 and i % 50 < 5 else 'often'}-{i % 5}-{rng.choice('abcd') if j != 9 else ''}" for j in range(20)]) for i in range(2000)]
+    rows = spark.createDataFrame(texts, "pubkey string, words array<string>")
+    one, other = ({r.word: np.array(r.v) for r in wordvec.word_vectors(t, "pubkey", "words", 16, 5, 3, 10, part=13_000, parts=9).collect()} for t in (rows.repartition(1), rows.repartition(5)))
+    assert one.keys() == {w for _, words in texts for w in words} and all((one[w] == other[w]).all() for w in one)
+    for w, v in one.items():
+        near = sorted(one, key=lambda x: -(one[x] @ v))[:4]
+        assert {x.split("-")[1] for x in near} == {w.split("-")[1]} and abs(v @ v - 1) < 1e-9
+    # Three tasks train, each on its own part of the texts.
+    trained = [spark.sparkContext.statusTracker().getStageInfo(s) for j in spark.sparkContext.statusTracker().getJobIdsForGroup() for s in spark.sparkContext.statusTracker().getJobInfo(j).stageIds]
+    assert sum(s.numTasks == 3 and s.numCompletedTasks == 3 for s in trained if s) >= 20
+
+
+def test_neighbours_equal_brute_force(spark, monkeypatch):
+    # Several slices, the last of them smaller than the list.
+    monkeypatch.setattr(wordvec, "SLICE", 31)
+    rng = random.Random(2)
+    texts = spark.createDataFrame([(f"{i:03}", [f"w{int(rng.paretovariate(0.4)) % 97}" for _ in range(60)]) for i in range(150)], "pubkey string, words array<string>")
+    given = texts, "pubkey", "words", 8, 4, 3, 2
+    v = {r.word: np.array(r.v) for r in wordvec.word_vectors(*given).collect()}
+    assert len(v) > 62
+    got = sorted((r.word, r["rank"], r.term, r.score) for r in wordvec.neighbours(wordvec.trained(*given), 10).collect())
+    want = [(w, i, x, -s) for w in v for i, (s, x) in enumerate(sorted((-round(float(v[w] @ v[x]), 6), x) for x in v if x != w)[:10], 1)]
+    assert [x[:3] for x in got] == [x[:3] for x in sorted(want)] and np.allclose([x[3] for x in got], [x[3] for x in sorted(want)], atol=2e-6)
+    none = wordvec.trained(texts, "pubkey", "words", 8, 4, 10**6, 2)
+    assert wordvec.neighbours(none, 10).count() == 0
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 def test_pivot_and_samples_cover_every_run(spark):
     from citeloom.plans import base
